@@ -155,7 +155,7 @@ def v3_raw(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("msg "), F.col("rule_code"), F.lit(" at "), F.col("line_number").cast("string"))
         .alias("message"),
         "line_number", (F.col("l_linenumber") - 1).cast("int").alias("column"),
-        (F.col("line_number") - 1 + F.col("l_linenumber")).cast("int").alias("end_line_number"),
+        (F.col("line_number") + 2 - F.col("l_linenumber")).cast("int").alias("end_line_number"),
         "tool_severity",
         _case(F.col("l_partkey") % 3, [(0, "HIGH"), (1, "LOW")], "MEDIUM").alias("tool_confidence"),
         F.when(F.col("l_partkey") % 4 == 0, F.lit(None).cast("string"))
@@ -172,7 +172,7 @@ SQL_V3_RAW = SQL_V3 + """,
 v3r as (select review_id, file_path, tool,
   cast(row_number() over (partition by review_id, file_path, tool order by l_linenumber, l_partkey, l_suppkey, l_quantity) as bigint) as item_ord,
   rule_code, pylint_type, concat('msg ', rule_code, ' at ', cast(line_number as varchar)) as message,
-  line_number, cast(l_linenumber - 1 as int) as "column", cast(line_number - 1 + l_linenumber as int) as end_line_number,
+  line_number, cast(l_linenumber - 1 as int) as "column", cast(line_number + 2 - l_linenumber as int) as end_line_number,
   tool_severity,
   case l_partkey % 3 when 0 then 'HIGH' when 1 then 'LOW' else 'MEDIUM' end as tool_confidence,
   case when l_partkey % 4 = 0 then null else concat('Fix ', rule_code) end as suggestion,

@@ -6,6 +6,7 @@ import importlib
 
 MODULES = [
     "revspark.plans.queries_findings",
+    "revspark.plans.queries_ingest",
 ]
 
 
