@@ -7,6 +7,7 @@ import importlib
 MODULES = [
     "revspark.plans.queries_findings",
     "revspark.plans.queries_ingest",
+    "revspark.plans.queries_code",
 ]
 
 
