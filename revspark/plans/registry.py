@@ -8,6 +8,7 @@ MODULES = [
     "revspark.plans.queries_findings",
     "revspark.plans.queries_ingest",
     "revspark.plans.queries_code",
+    "revspark.plans.queries_text",
 ]
 
 
