@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from revspark.functions.text import pr_summary, splitlines
 from revspark.operators import aggregates as A
-from revspark.operators.dedup import dedup_findings, rank_findings
-from revspark.schemas import FINDING_COLUMNS
 
 
 def eligible_files(pr_files: DataFrame) -> DataFrame:
@@ -45,7 +43,8 @@ def pr_rollup(requests: DataFrame, prs: DataFrame, reviewed_files: DataFrame,
     n = reviewed_files.groupBy("pr_key").agg(F.count(F.lit(1)).alias("files_analyzed"),
                                              F.sum("total_lines").alias("total_lines"))
     agg = findings.groupBy("pr_key").agg(*A.severity_count_aggs(), A.score_deduction().alias("_ded"))
-    j = (requests.join(prs.select("pr_key", "number", "title"), "pr_key", "left")
+    req = requests.select("pr_key", "repo_owner", "repo_name", "pr_number")
+    j = (req.join(prs.select("pr_key", "number", "title"), "pr_key", "left")
          .join(n, "pr_key", "left").join(agg, "pr_key", "left"))
     cnt = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ["n_findings"] + A.COUNT_COLUMNS}
     score = A.pr_score_expr(F.col("_ded"))
@@ -68,15 +67,5 @@ def pr_rollup(requests: DataFrame, prs: DataFrame, reviewed_files: DataFrame,
                             F.lit(" from "), F.col("_full"))).alias("summary"))
 
 
-def pr_findings(file_findings: DataFrame) -> DataFrame:
-    """Per-file keep-best dedup and rank for PR files (keyed with file_ord so a
-    PR listing the same name twice keeps both entries)."""
-    f = file_findings.withColumn("_fk", F.concat_ws("#", F.col("pr_key").cast("string"),
-                                                     F.col("file_ord").cast("string"), F.col("file_path")))
-    d = dedup_findings(f.select(*FINDING_COLUMNS, "pr_key", "file_ord", "_fk"),
-                       keys=["review_id", "_fk", "file_path", "pr_key", "file_ord", "line_number"])
-    return rank_findings(d, partition=("pr_key", "file_ord"))
-
-
 def file_line_counts(files: DataFrame) -> DataFrame:
     return files.select("pr_key", "file_ord", F.size(splitlines(F.col("code"))).alias("total_lines"))

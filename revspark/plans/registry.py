@@ -9,6 +9,7 @@ MODULES = [
     "revspark.plans.queries_ingest",
     "revspark.plans.queries_code",
     "revspark.plans.queries_text",
+    "revspark.plans.queries_pr",
 ]
 
 
