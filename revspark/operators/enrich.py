@@ -40,7 +40,7 @@ def cache_lookup(prompts: DataFrame, responses: DataFrame, now, ttl_seconds: int
     are the work list: one row per distinct prompt key.
     """
     now_c = now if not isinstance(now, str) else F.lit(now).cast("timestamp")
-    fresh = responses.filter((F.length("response") > 0)
+    fresh = responses.filter((F.length("response") > 0) & (F.col("ts") <= now_c)
                              & (F.col("ts") > now_c - F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")))
     latest = fresh.groupBy("prompt_key").agg(F.max_by("response", "ts").alias("response"),
                                              F.max("ts").alias("cached_ts"))

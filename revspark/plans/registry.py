@@ -10,6 +10,7 @@ MODULES = [
     "revspark.plans.queries_code",
     "revspark.plans.queries_text",
     "revspark.plans.queries_pr",
+    "revspark.plans.queries_ai",
 ]
 
 
