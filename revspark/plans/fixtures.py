@@ -29,7 +29,11 @@ def _case(col, pairs, default=None):
 # ---------------------------------------------------------------------------
 
 def v1_files(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    return v1_from_documents(table(spark, sf_dir, "documents"))
+
+
+def v1_from_documents(d: DataFrame) -> DataFrame:
+    """V1 from a documents DataFrame (batch or stream)."""
     ext = _case(F.col("doc_id") % 6, [(0, ".py"), (1, ".js"), (2, ".go"), (3, ".R"), (4, ".cc")], "")
     path = F.concat(F.lit("src/"), F.col("source"), F.lit("/"),
                     F.when(F.col("doc_id") % 4 == 0, F.lit("test_")).otherwise(F.lit("mod_")),

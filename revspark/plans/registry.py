@@ -11,6 +11,7 @@ MODULES = [
     "revspark.plans.queries_text",
     "revspark.plans.queries_pr",
     "revspark.plans.queries_ai",
+    "revspark.plans.queries_misc",
 ]
 
 
