@@ -148,7 +148,7 @@ ai as (select review_id, file_path, agent_name, item_ord, case when bare then 1
 Q["ai_items"] = q_ai_items
 SQL["ai_items"] = "with " + _SQL_AI + """
 select review_id, file_path, agent_name, cast(item_ord as bigint) as item_ord, line_number, severity, category, message,
-  suggestion, owasp_category, confidence from ai"""
+  suggestion, owasp_category, cast(confidence as double) as confidence from ai"""
 
 
 # --- F8 ----------------------------------------------------------------------

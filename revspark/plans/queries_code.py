@@ -140,7 +140,7 @@ def _rule_out(df):
 Q["test_rules"] = lambda s, sf: _rule_out(_testing(s, sf).filter(F.col("source_ord").isin(4, 5)))
 SQL["test_rules"] = "with " + _SQL_V7_LINES + f"""
 select review_id, file_path, 4 as source_ord, 1 as line_number, 'high' as severity, 'test_quality' as category,
-  '{R5_MESSAGE}' as message, '{R5_SUGGESTION}' as suggestion, 0.85 as confidence
+  '{R5_MESSAGE}' as message, '{R5_SUGGESTION}' as suggestion, cast(0.85 as double) as confidence
 from v7a where is_test and not asserts
 union all
 select review_id, file_path, 5, 1, 'medium', 'test_quality', '{R6_MESSAGE.replace("'", "''")}',
@@ -180,4 +180,5 @@ tf as (
 
 Q["coverage_rules"] = lambda s, sf: _rule_out(_testing(s, sf).filter(F.col("source_ord") <= 3))
 SQL["coverage_rules"] = "with " + SQL_V7_TESTING + """
-select review_id, file_path, source_ord, line_number, severity, category, message, suggestion, confidence from tf"""
+select review_id, file_path, source_ord, line_number, severity, category, message, suggestion,
+  cast(confidence as double) as confidence from tf"""

@@ -112,7 +112,7 @@ select review_id, file_path, case tool when 'ruff' then 0 else 1 end as source_o
   {sql_case('rule_code', L.QUALITY_CATEGORY, 'code_smell', 'exact_prefix')} as category,
   message, coalesce(suggestion, '') as suggestion, 'QualityAgent' as agent_name,
   concat(tool, ':', rule_code) as rule_id, cast(null as varchar) as code_snippet,
-  cast(null as varchar) as owasp_category, 0.9 as confidence
+  cast(null as varchar) as owasp_category, cast(0.9 as double) as confidence
 from v3r where tool in ('ruff', 'pylint')"""
 
 Q["bandit_findings"] = lambda s, sf: _finding_out(security_findings(v3_raw(s, sf)))
