@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from revspark.operators.reviewers import (Reviewer, ReviewerSet, ReviewInputs, is_test_file, run_reviewers,
-                                          testing_findings)
+                                          testing_findings as run_testing_rules)
 from revspark.operators.structure import elements_of, extract_elements
 
 PLAIN = """import os
@@ -65,7 +65,7 @@ def test_testing_rules(spark):
     files = spark.createDataFrame([(1, "src/mod.py", PLAIN), (2, "tests/test_thing.py", TEST_SRC),
                                    (3, "src/broken.py", "def broken("), (4, "tests/test_ok.py", "import pytest\n")],
                                   "review_id long, file_path string, code string")
-    f = testing_findings(files, extract_elements(files))
+    f = run_testing_rules(files, extract_elements(files))
     got = sorted((r.review_id, r.source_ord, r.line_number, r.severity, r.category) for r in f.collect())
     assert got == [
         (1, 0, 12, "medium", "low_coverage"),     # add: complexity 7
