@@ -67,7 +67,7 @@ def test_testing_rules(spark):
                                   "review_id long, file_path string, code string")
     f = run_testing_rules(files, extract_elements(files))
     got = sorted((r.review_id, r.source_ord, r.line_number, r.severity, r.category) for r in f.collect())
-    assert got == [
+    assert got == sorted([
         (1, 0, 12, "medium", "low_coverage"),     # add: complexity 7
         (1, 0, 12, "low", "missing_test"),        # add: 5 args
         (1, 2, 1, "low", "edge_case"),            # error handling
@@ -75,7 +75,7 @@ def test_testing_rules(spark):
         (1, 3, 21, "info", "edge_case"),          # while
         (2, 4, 1, "high", "test_quality"),        # no assert / pytest
         (2, 5, 1, "medium", "test_quality"),      # helper/check but no test_ function
-    ]
+    ])
 
 
 def test_reviewer_set_and_isolation(spark):
