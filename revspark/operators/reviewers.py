@@ -163,65 +163,54 @@ def security_reviewer(inputs: ReviewInputs, agent_ord: int = 1) -> DataFrame:
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
-def testing_findings(files: DataFrame, elements: DataFrame, responses: DataFrame | None = None,
+def testing_findings(files: DataFrame | None, elements: DataFrame, responses: DataFrame | None = None,
                      agent_ord: int = 2) -> DataFrame:
-    """R1-R7 on code elements; AI items appended; failed parses skip the file."""
-    el = elements.withColumn("_test", is_test_file(F.col("file_path")))
-    fn = el.filter(F.col("kind").isin("function", "async_function") & ~F.col("_test")
-                   & ~(F.col("name").startswith("__") & F.col("name").endswith("__")))
-    src = F.when(F.col("kind") == "function", 0).otherwise(1)
-    r1 = fn.filter(F.col("complexity") > 5).select(
-        *FILE_KEY, src.alias("source_ord"), (F.col("walk_ord") * 2).alias("item_ord"),
-        F.col("line").alias("line_number"), F.lit("medium").alias("severity"),
-        F.lit("low_coverage").alias("category"),
-        F.format_string(R1_MESSAGE.replace("{name}", "%s").replace("{c}", "%d"), "name", "complexity")
-        .alias("message"),
-        F.format_string(R1_SUGGESTION.replace("{c}", "%d"), "complexity").alias("suggestion"),
-        F.lit("0.80").alias("confidence"))
-    r2 = fn.filter(F.col("n_args") > 3).select(
-        *FILE_KEY, src.alias("source_ord"), (F.col("walk_ord") * 2 + 1).alias("item_ord"),
-        F.col("line").alias("line_number"), F.lit("low").alias("severity"),
-        F.lit("missing_test").alias("category"),
-        F.format_string(R2_MESSAGE.replace("{name}", "%s").replace("{n}", "%d"), "name", "n_args")
-        .alias("message"),
-        F.lit(R2_SUGGESTION).alias("suggestion"), F.lit("0.70").alias("confidence"))
-    r4 = el.filter((F.col("kind") == "loop") & ~F.col("_test")).select(
-        *FILE_KEY, F.lit(3).alias("source_ord"), F.col("walk_ord").alias("item_ord"),
-        F.col("line").alias("line_number"), F.lit("info").alias("severity"),
-        F.lit("edge_case").alias("category"), F.lit(R4_MESSAGE).alias("message"),
-        F.lit(R4_SUGGESTION).alias("suggestion"), F.lit("0.60").alias("confidence"))
-    # per-file flags: one partial-aggregated pass over the elements
-    flags = el.groupBy(*FILE_KEY).agg(
-        F.first("_test").alias("_test"),
-        F.bool_or(F.col("kind") == "error_handling").alias("has_eh"),
-        F.bool_or((F.col("kind") == "function") & F.col("name").startswith("test_")).alias("has_test_fn"),
-        F.bool_or((F.col("kind") == "function") & ~F.col("name").startswith("test_")
-                  & ~F.col("name").startswith("_")).alias("has_public_fn"),
-        F.bool_or((F.col("kind") == "parse_error") & (F.col("name") != "SyntaxError")).alias("failed"))
-
-    def one(cond, source_ord, sev, cat, msg, sug, conf):
-        return flags.filter(cond).select(
-            *FILE_KEY, F.lit(source_ord).alias("source_ord"), F.lit(0).cast("long").alias("item_ord"),
-            F.lit(1).alias("line_number"), F.lit(sev).alias("severity"), F.lit(cat).alias("category"),
-            F.lit(msg).alias("message"), F.lit(sug).alias("suggestion"), F.lit(conf).alias("confidence"))
-
-    r3 = one(~F.col("_test") & F.col("has_eh") & ~F.col("failed"), 2, "low", "edge_case",
-             R3_MESSAGE, R3_SUGGESTION, "0.75")
-    r6 = one(F.col("_test") & F.col("has_public_fn") & ~F.col("has_test_fn") & ~F.col("failed"), 5,
-             "medium", "test_quality", R6_MESSAGE, R6_SUGGESTION, "0.90")
-    # R5 needs the text: evaluated on the files (no code in any shuffle), then
-    # joined to the small per-file flag rows to drop failed parses
-    failed = flags.filter("failed").select(*FILE_KEY)
-    r5 = (files.filter(is_test_file(F.col("file_path")) & ~F.col("code").contains("assert")
-                       & ~F.col("code").contains("pytest"))
-          .select(*FILE_KEY, F.lit(4).alias("source_ord"), F.lit(0).cast("long").alias("item_ord"),
-                  F.lit(1).alias("line_number"), F.lit("high").alias("severity"),
-                  F.lit("test_quality").alias("category"), F.lit(R5_MESSAGE).alias("message"),
-                  F.lit(R5_SUGGESTION).alias("suggestion"), F.lit("0.85").alias("confidence"))
-          .join(failed, FILE_KEY, "left_anti"))
-    rules = r1.unionByName(r2).unionByName(r3).unionByName(r4).unionByName(r5).unionByName(r6)
+    """R1-R7 on code elements; AI items appended; failed parses skip the file.
+
+    One narrow pass: every element row yields its candidate findings (function
+    rows R1/R2, loop rows R4, the per-file summary row R3/R5/R6) as an array
+    that is exploded — no shuffle, no join, the elements are read once.
+    ``files`` is not read (the per-file facts travel on the summary rows); it
+    stays in the signature for symmetry with the other reviewers.
+    """
+    test = is_test_file(F.col("file_path"))
+    kind = F.col("kind")
+    name = F.col("name")
+    fn_ok = kind.isin("function", "async_function") & ~test & ~(name.startswith("__") & name.endswith("__"))
+    src_fn = F.when(kind == "function", 0).otherwise(1)
+    is_file = (kind == "file") & ~F.coalesce(F.col("parse_failed"), F.lit(True))
+
+    def cand(cond, source_ord, item_ord, line, sev, cat, msg, sug, conf):
+        return F.when(cond, F.struct(
+            F.lit(source_ord).cast("int").alias("source_ord") if isinstance(source_ord, int)
+            else source_ord.cast("int").alias("source_ord"),
+            item_ord.cast("long").alias("item_ord"), line.cast("int").alias("line_number"),
+            F.lit(sev).alias("severity"), F.lit(cat).alias("category"),
+            (msg if not isinstance(msg, str) else F.lit(msg)).alias("message"),
+            (sug if not isinstance(sug, str) else F.lit(sug)).alias("suggestion"),
+            F.lit(conf).alias("confidence")))
+
+    walk, one, zero = F.col("walk_ord").cast("long"), F.lit(1), F.lit(0)
+    cands = F.array(
+        cand(fn_ok & (F.col("complexity") > 5), src_fn, walk * 2, F.col("line"), "medium", "low_coverage",
+             F.format_string(R1_MESSAGE.replace("{name}", "%s").replace("{c}", "%d"), name, F.col("complexity")),
+             F.format_string(R1_SUGGESTION.replace("{c}", "%d"), F.col("complexity")), "0.80"),
+        cand(fn_ok & (F.col("n_args") > 3), src_fn, walk * 2 + 1, F.col("line"), "low", "missing_test",
+             F.format_string(R2_MESSAGE.replace("{name}", "%s").replace("{n}", "%d"), name, F.col("n_args")),
+             R2_SUGGESTION, "0.70"),
+        cand((kind == "loop") & ~test, 3, walk, F.col("line"), "info", "edge_case", R4_MESSAGE, R4_SUGGESTION,
+             "0.60"),
+        cand(is_file & ~test & F.col("has_error_handling"), 2, zero, one, "low", "edge_case", R3_MESSAGE,
+             R3_SUGGESTION, "0.75"),
+        cand(is_file & test & F.col("no_assertions"), 4, zero, one, "high", "test_quality", R5_MESSAGE,
+             R5_SUGGESTION, "0.85"),
+        cand(is_file & test & F.col("has_public_function") & ~F.col("has_test_function"), 5, zero, one,
+             "medium", "test_quality", R6_MESSAGE, R6_SUGGESTION, "0.90"))
+    rules = (elements.select(*FILE_KEY, F.explode(F.filter(cands, lambda c: c.isNotNull())).alias("c"))
+             .select(*FILE_KEY, "c.*"))
     out = to_findings(rules, "TestingAgent", agent_ord)
     if responses is not None:
+        failed = elements.filter((kind == "file") & F.col("parse_failed")).select(*FILE_KEY)
         ai = ai_findings(responses, "TestingAgent", agent_ord, 9).join(failed, FILE_KEY, "left_anti")
         out = out.unionByName(ai)
     return out

@@ -15,7 +15,7 @@ from revspark.operators.dedup import dedup_findings, rank_findings
 from revspark.operators.reviewers import testing_findings
 from revspark.operators.structure import extract_elements
 from revspark.plans.fixtures import SQL_V4, table, v4_pr_files, v7_code_expr
-from revspark.plans.pr import attach_contents, eligible_files, file_line_counts, pr_rollup
+from revspark.plans.pr import attach_contents, eligible_files, pr_rollup
 from revspark.plans.queries_code import SQL_V7_TESTING
 from revspark.plans.queries_ingest import sql_case
 from revspark.sources.files import validate_pr_requests
@@ -88,21 +88,33 @@ def _contents(spark, sf):
     return d.select("repo", "path", "ref", "p_partkey", content.alias("content"), enc.alias("encoding"))
 
 
-def _pipeline(spark, sf):
+def _attached(spark, sf):
+    """Requests, PR records, PR files and the eligible files with their text."""
     req = _requests(spark, sf)
     prs, files = ingest_prs(_pr_json(spark, sf), _files_json(spark, sf))
     prs = prs.join(req.select("pr_key", F.concat_ws("/", "repo_owner", "repo_name").alias("repo"), "post_review"),
                    "pr_key")
     contents = ingest_contents(_contents(spark, sf)).select("repo", "path", "ref", "code")
     att = attach_contents(files, prs, contents)
-    rf = att.select((F.col("pr_key") * FILE_STRIDE + F.col("file_ord")).alias("review_id"),
-                    F.col("filename").alias("file_path"), "code", "pr_key", "file_ord")
-    fx = rf.select("review_id", "file_path", "code")
-    tf = testing_findings(fx, extract_elements(fx))
+    return req, prs, files, att
+
+
+def _pipeline(spark, sf):
+    """... plus per-file review: the syntax-tree job runs once (its elements are
+    checkpointed because both the findings and the per-file line counts read
+    them), then keep-best dedup and rank per file."""
+    req, prs, files, att = _attached(spark, sf)
+    fx = att.select((F.col("pr_key") * FILE_STRIDE + F.col("file_ord")).alias("review_id"),
+                    F.col("filename").alias("file_path"), "code")
+    el = extract_elements(fx, checkpoint=True)
+    tf = testing_findings(None, el)
     findings = rank_findings(dedup_findings(tf)).withColumn(
         "pr_key", (F.col("review_id") / FILE_STRIDE).cast("long")).withColumn(
         "file_ord", (F.col("review_id") % FILE_STRIDE).cast("long"))
-    return req, prs, files, att, rf, findings
+    stats = el.filter(F.col("kind") == "file").select(
+        (F.col("review_id") / FILE_STRIDE).cast("long").alias("pr_key"),
+        (F.col("review_id") % FILE_STRIDE).cast("long").alias("file_ord"), F.col("n_lines").alias("total_lines"))
+    return req, prs, files, att, stats, findings
 
 
 # ---------------------------------------------------------------------------
@@ -245,7 +257,7 @@ select pr_key, file_ord, filename, status from v4 where status <> 'removed' and
 
 # --- J3 / F2 -------------------------------------------------------------------
 def q_pr_contents(spark, sf):
-    _, _, _, att, _, _ = _pipeline(spark, sf)
+    _, _, _, att = _attached(spark, sf)
     return att.select("pr_key", "file_ord", "filename", F.md5("code").alias("md5"))
 
 
@@ -260,8 +272,8 @@ from ef join part on part.p_partkey = ef.l_partkey"""
 
 # --- A10 + T8 ------------------------------------------------------------------
 def q_pr_rollup(spark, sf):
-    req, prs, _, att, _, findings = _pipeline(spark, sf)
-    out = pr_rollup(req, prs, file_line_counts(att), findings)
+    req, prs, _, _, stats, findings = _pipeline(spark, sf)
+    out = pr_rollup(req, prs, stats, findings)
     return out.select("pr_key", "status", "files_analyzed", "total_lines", "n_findings", "n_critical", "n_high",
                       "n_medium", "n_low", "n_info", "overall_score")
 
@@ -303,8 +315,8 @@ from ro"""
 
 
 def q_pr_summary(spark, sf):
-    req, prs, _, att, _, findings = _pipeline(spark, sf)
-    return pr_rollup(req, prs, file_line_counts(att), findings).select("pr_key", "summary")
+    req, prs, _, _, stats, findings = _pipeline(spark, sf)
+    return pr_rollup(req, prs, stats, findings).select("pr_key", "summary")
 
 
 _SQL_PR_SUMMARY = f"""case when not ok then 'Could not fetch PR #' || cast(pr_number as varchar) || ' from ' || repo_owner || '/' || repo_name
@@ -340,8 +352,8 @@ from c where comment_ord <= 20"""
 
 # --- S13 ---------------------------------------------------------------------
 def q_review_payloads(spark, sf):
-    req, prs, _, att, _, findings = _pipeline(spark, sf)
-    roll = pr_rollup(req, prs, file_line_counts(att), findings)
+    req, prs, _, _, stats, findings = _pipeline(spark, sf)
+    roll = pr_rollup(req, prs, stats, findings)
     p = review_payloads(prs.select("pr_key", "head_sha", "post_review"), findings, roll.select("pr_key", "summary"))
     parsed = F.from_json("payload", "commit_id string, body string, event string, "
                                     "comments array<struct<path string, line int, body string>>")
@@ -362,7 +374,7 @@ where ok and post_review and n_findings > 0"""
 
 # --- S14 ---------------------------------------------------------------------
 def q_comment_payloads(spark, sf):
-    *_, prs, _, att, _, findings = _pipeline(spark, sf)
+    _, prs, _, _, _, findings = _pipeline(spark, sf)
     p = comment_payloads(findings, prs.select("pr_key", "head_sha"))
     return p.select("pr_key", "file_path", "line_number", F.md5("payload").alias("md5"))
 

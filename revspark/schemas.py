@@ -133,4 +133,11 @@ CODE_ELEMENTS = T.StructType([
     T.StructField("has_return", T.BooleanType()),
     T.StructField("is_async", T.BooleanType()),
     T.StructField("complexity", T.IntegerType()),
+    # per-file summary, set on the one ``kind='file'`` row of every file
+    T.StructField("n_lines", T.IntegerType()),
+    T.StructField("has_error_handling", T.BooleanType()),
+    T.StructField("has_test_function", T.BooleanType()),
+    T.StructField("has_public_function", T.BooleanType()),
+    T.StructField("parse_failed", T.BooleanType()),
+    T.StructField("no_assertions", T.BooleanType()),
 ])
