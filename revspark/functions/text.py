@@ -13,8 +13,12 @@ from revspark.functions.lookups import case_exact
 
 # Line breaks recognised by Python's str.splitlines (FIXED VALUES).
 LINE_BREAK_REGEX = r"\r\n|[\n\r\u000B\f\u001c-\u001e\u0085\u2028\u2029]"
-# Characters removed by Python's str.rstrip / str.strip (whitespace in the
-# Unicode sense plus the separators \x1c-\x1f).
+# The breaks other than "\n": text without any of them splits on a literal "\n".
+RARE_BREAKS = "\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029"
+# Characters Python's str.strip / str.rstrip remove: derived by rule from
+# str.isspace (no whitespace code point lies above U+3000).
+PY_WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+# Same set as a regex class (used where a regex is needed anyway).
 _WS = "[\\s\\u001c-\\u001f\\u0085\\p{Z}]"
 
 # Severity icons for finding reports and review comments (FIXED VALUES).
@@ -30,34 +34,49 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a Column -> Column
+    function).  Higher-order expressions are not de-duplicated by the
+    optimizer, so a value used several times is bound through a one-element
+    ``transform`` instead of being recomputed."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def splitlines(text) -> Column:
     """Python ``str.splitlines()`` as an array<string>.
 
     Split on every recognised break, then drop the one empty element a final
-    break leaves behind (``"a\\n"`` -> ``["a"]``, ``""`` -> ``[]``).
+    break leaves behind (``"a\\n"`` -> ``["a"]``, ``""`` -> ``[]``).  Text
+    holding no break other than ``\\n`` takes the literal split (no regex).
     """
-    parts = F.split(_c(text), LINE_BREAK_REGEX, -1)
-    return F.when(_c(text).isNull(), F.lit(None)).when(
-        F.element_at(parts, -1) == F.lit(""), F.slice(parts, 1, F.size(parts) - 1)
-    ).otherwise(parts)
+    def parts(t):
+        plain = F.length(F.translate(t, RARE_BREAKS, "")) == F.length(t)
+        return F.when(plain, F.split(t, "\n", -1)).otherwise(F.split(t, LINE_BREAK_REGEX, -1))
+
+    def drop_last_empty(p):
+        return F.when(F.element_at(p, -1) == F.lit(""), F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+
+    return F.when(_c(text).isNull(), F.lit(None)).otherwise(
+        let(let(_c(text), parts), drop_last_empty))
 
 
 def rstrip(text) -> Column:
-    return F.regexp_replace(_c(text), _WS + "+$", "")
+    return F.rtrim(_c(text), F.lit(PY_WHITESPACE))
 
 
 def strip(text) -> Column:
-    return F.regexp_replace(_c(text), "^" + _WS + "+|" + _WS + "+$", "")
+    return F.btrim(_c(text), F.lit(PY_WHITESPACE))
 
 
 def sanitize(text) -> Column:
     """Drop NUL, CRLF/CR -> LF, rstrip each line, rejoin, end with one LF."""
-    t = F.regexp_replace(_c(text), "\u0000", "")
-    t = F.regexp_replace(F.regexp_replace(t, "\r\n", "\n"), "\r", "\n")
+    t = F.translate(F.replace(F.translate(_c(text), "\u0000", ""), F.lit("\r\n"), F.lit("\n")), "\r", "\n")
     joined = F.array_join(F.transform(splitlines(t), lambda x: rstrip(x)), "\n")
-    return F.when(_c(text).isNull(), F.lit(None)).when(
-        (F.length(joined) > 0) & ~joined.endswith("\n"), F.concat(joined, F.lit("\n"))
-    ).otherwise(joined)
+
+    def finish(j):
+        return F.when((F.length(j) > 0) & ~j.endswith("\n"), F.concat(j, F.lit("\n"))).otherwise(j)
+
+    return F.when(_c(text).isNull(), F.lit(None)).otherwise(let(joined, finish))
 
 
 def truncate(text, max_length: int = 500, suffix: str = "...") -> Column:
@@ -77,21 +96,24 @@ def context_lines(lines: Column, line_number: Column, k: int, style: str = "bar"
     ``style='colon'``: ``">>> "``/4 spaces + ``n: line``.  Clipped at file ends.
     ``lines`` is the T1 array of the file; only the slice is touched.
     """
-    start0 = F.greatest(F.lit(0), line_number - F.lit(k + 1))        # 0-based
-    end0 = F.least(F.size(lines), line_number + F.lit(k))             # exclusive
-    n = F.greatest(end0 - start0, F.lit(0))
-    window = F.slice(lines, start0 + 1, n)
-
-    def fmt(x, i):
-        num = start0 + i + 1
-        marker = F.when(num == line_number, F.lit(">>> ")).otherwise(F.lit("    "))
-        if style == "bar":
-            body = F.format_string("%4d | %s", num, x)
-        else:
-            body = F.format_string("%d: %s", num, x)
-        return F.concat(marker, body)
-
-    return F.array_join(F.transform(window, fmt), "\n")
+    def block(ls):
+        start0 = F.greatest(F.lit(0), line_number - F.lit(k + 1))        # 0-based
+        end0 = F.least(F.size(ls), line_number + F.lit(k))                # exclusive
+        n = F.greatest(end0 - start0, F.lit(0))
+        window = F.slice(ls, start0 + 1, n)
+
+        def fmt(x, i):
+            num = start0 + i + 1
+            marker = F.when(num == line_number, F.lit(">>> ")).otherwise(F.lit("    "))
+            if style == "bar":
+                body = F.format_string("%4d | %s", num, x)
+            else:
+                body = F.format_string("%d: %s", num, x)
+            return F.concat(marker, body)
+
+        return F.array_join(F.transform(window, fmt), "\n")
+
+    return let(lines, block)
 
 
 def finding_markdown(severity, category, file_path, line_number, message,

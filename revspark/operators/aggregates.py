@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revspark.functions import lookups as L
-from revspark.functions.text import review_summary, severity_list, splitlines, strip
+from revspark.functions.text import let, review_summary, severity_list, splitlines, strip
 from revspark.schemas import (COMPLEXITY_WEIGHTS, DEFAULT_AGENTS, NO_ISSUES, SCORE_WEIGHT_DEFAULT,
                               SCORE_WEIGHTS, SEVERITIES)
 
@@ -124,14 +124,24 @@ def complexity_scores(counts: DataFrame, keys=("review_id",)) -> DataFrame:
 
 
 def line_metrics(files: DataFrame, keys=("review_id", "file_path"), code_col: str = "code") -> DataFrame:
-    """Total / blank / comment / code lines per file (Python ``splitlines``)."""
-    lines = splitlines(F.col(code_col))
-    stripped = F.transform(lines, lambda x: strip(x))
-    total = F.size(lines)
-    blank = F.size(F.filter(stripped, lambda x: F.length(x) == 0))
-    comments = F.size(F.filter(stripped, lambda x: x.startswith("#")))
-    return files.select(*keys, total.alias("total_lines"), blank.alias("blank_lines"),
-                        comments.alias("comment_lines"), (total - blank - comments).alias("code_lines"))
+    """Total / blank / comment / code lines per file (Python ``splitlines``).
+
+    The text is split once and the blank/comment counts come from one
+    ``aggregate`` pass over the lines (each line stripped once).
+    """
+    def count(lines):
+        def step(acc, x):
+            s = strip(x)
+            return F.struct((acc["b"] + F.when(F.length(s) == 0, 1).otherwise(0)).alias("b"),
+                            (acc["c"] + F.when(s.startswith("#"), 1).otherwise(0)).alias("c"),
+                            (acc["t"] + 1).alias("t"))
+        zero = F.struct(F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit(0).alias("t"))
+        return F.aggregate(lines, zero, step)
+
+    m = let(splitlines(F.col(code_col)), count)
+    return files.select(*keys, m.alias("_m")).select(
+        *keys, F.col("_m.t").alias("total_lines"), F.col("_m.b").alias("blank_lines"),
+        F.col("_m.c").alias("comment_lines"), (F.col("_m.t") - F.col("_m.b") - F.col("_m.c")).alias("code_lines"))
 
 
 def file_reviews(files: DataFrame, findings: DataFrame, keys=("review_id", "file_path"),
