@@ -42,6 +42,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def where_computed(df, cond: Column):
+    """``df.filter(cond)`` for a condition on an already computed, expensive
+    column (parsed JSON, decoded text).  A plain Filter is pushed below the
+    projection that computes the column and the expression is then evaluated
+    twice; a 0-or-1 row generator is not pushed, so the value is computed once.
+    """
+    return df.select("*", F.explode(F.array_compact(F.array(F.when(cond, F.lit(True))))).alias("_keep")) \
+        .drop("_keep")
+
+
 def splitlines(text) -> Column:
     """Python ``str.splitlines()`` as an array<string>.
 

@@ -183,14 +183,19 @@ def ai_findings(responses: DataFrame, agent: str, agent_ord: int, source_ord: in
     are exploded (``forall`` over the array), so the all-or-nothing rule needs
     no shuffle: one bad item drops every item of that call.
     """
+    from revspark.functions.text import let
     from revspark.sources.responses import response_items
 
     items = response_items(F.col(text_col))
-    batch_ok = F.forall(items, lambda it: item_checks(it, agent)[1])
-    x = (responses.select("review_id", "file_path", items.alias("_items"),
-                          F.coalesce(batch_ok, F.lit(False)).alias("batch_ok"))
-         .filter(F.col("batch_ok") | F.lit(keep_bad))
-         .select("review_id", "file_path", "batch_ok", F.posexplode("_items").alias("_pos", "item")))
+    def pack(its):
+        ok = F.coalesce(F.forall(its, lambda it: item_checks(it, agent)[1]), F.lit(False))
+        return F.struct(F.when(ok | F.lit(keep_bad), its).alias("items"), ok.alias("ok"))
+
+    # the items are parsed once; a rejected batch carries no array, so the
+    # generator emits nothing for it (no Filter to push below the parse)
+    x = (responses.select("review_id", "file_path", let(items, pack).alias("_p"))
+         .select("review_id", "file_path", F.col("_p.ok").alias("batch_ok"),
+                 F.posexplode("_p.items").alias("_pos", "item")))
     fields, ok = item_checks(F.col("item"), agent)
     cols = [F.col("review_id"), F.col("file_path"),
             (F.col("_pos") + 1).cast("long").alias("item_ord"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.functions.text import pr_summary, splitlines
+from revspark.functions.text import pr_summary, splitlines, where_computed
 from revspark.operators import aggregates as A
 
 
@@ -27,8 +27,8 @@ def attach_contents(pr_files: DataFrame, prs: DataFrame, contents: DataFrame) ->
     """
     f = eligible_files(pr_files).join(prs.select("pr_key", "repo", "head_sha"), "pr_key")
     c = contents.select("repo", F.col("path").alias("filename"), F.col("ref").alias("head_sha"), "code")
-    return (f.join(c, ["repo", "filename", "head_sha"])
-            .filter(F.col("code").isNotNull() & (F.length("code") > 0)))
+    return where_computed(f.join(c, ["repo", "filename", "head_sha"]),
+                          F.col("code").isNotNull() & (F.length("code") > 0))
 
 
 def pr_rollup(requests: DataFrame, prs: DataFrame, reviewed_files: DataFrame,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revspark.functions.text import finding_comment
+from revspark.functions.text import finding_comment, where_computed
 
 _REF = T.StructType([T.StructField("sha", T.StringType()), T.StructField("ref", T.StringType())])
 
@@ -60,7 +60,7 @@ def ingest_prs(pr_json: DataFrame, files_json: DataFrame):
     request later rolls up as failed (A10).
     """
     p = F.when(F.regexp_like(F.col("json"), F.lit(r"^\s*\{")), F.from_json("json", PR_SCHEMA))
-    prs = (pr_json.withColumn("p", p).filter(F.col("p").isNotNull())
+    prs = (where_computed(pr_json.withColumn("p", p), F.col("p").isNotNull())
            .select("pr_key",
                    F.coalesce(F.col("p.number"), F.col("pr_number")).alias("number"),
                    _s(F.col("p.title")).alias("title"),
