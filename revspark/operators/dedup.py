@@ -47,27 +47,75 @@ def pos_columns(order_cols=ORDER_COLUMNS) -> list[str]:
 
 
 def rank_findings(df: DataFrame, order_cols=ORDER_COLUMNS,
-                  partition=("review_id", "file_path")) -> DataFrame:
-    """``rank`` inside each file: severity, then line, stable on ``pos``."""
-    w = Window.partitionBy(*partition).orderBy(
-        "severity_rank", "line_number", *pos_columns(order_cols))
-    return df.withColumn("rank", F.row_number().over(w))
+                  partition=("review_id", "file_path"), method: str = "range") -> DataFrame:
+    """``rank`` inside each file: severity, then line, stable on ``pos``.
+
+    ``method='range'`` (default) is skew-safe (:func:`row_number_by_range`): a
+    file holding a large share of all findings is spread over many tasks.
+    ``method='window'`` is the plain per-file window (one task per file).
+    """
+    order = ["severity_rank", "line_number", *pos_columns(order_cols)]
+    if method == "window":
+        w = Window.partitionBy(*partition).orderBy(*order)
+        return df.withColumn("rank", F.row_number().over(w))
+    return row_number_by_range(df, list(partition), order, "rank")
+
+
+def row_number_by_range(df: DataFrame, partition: list, order: list, name: str = "rn",
+                        num_partitions: int | None = None) -> DataFrame:
+    """``row_number() over (partition by … order by …)`` without sending a group
+    to one task.  ``partition + order`` must identify a row.
+
+    1. range-partition and sort on the full key: a hot group spans several
+       range partitions (boundaries come from sampling);
+    2. number the rows of each range partition in order (monotonic id = task
+       index in the high bits, row position in the low bits) and materialise
+       with a reliable checkpoint, so the numbers are fixed for every reader
+       and survive executor loss;
+    3. per (task, group): first id and row count — a small table with at most
+       one row per task and group;
+    4. the offset of a group inside a task = rows of the same group in earlier
+       tasks (a running sum over at most #tasks rows per group);
+    5. join the offsets back (AQE broadcasts them when they are small).
+    """
+    from revspark.session import checkpoint_root
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*partition, *order]
+    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+         .withColumn("_rid", F.monotonically_increasing_id())
+         .withColumn("_task", F.shiftright(F.col("_rid"), 33))
+         .checkpoint(eager=True))
+    g = s.groupBy("_task", *partition).agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*partition).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return (s.join(g, ["_task", *partition])
+            .withColumn(name, (F.col("_rid") - F.col("_first") + F.col("_off") + 1).cast("int"))
+            .drop("_rid", "_task", "_first", "_off"))
 
 
 def severity_line(df: DataFrame) -> Column:
     return F.concat(F.lit("- ["), F.col("severity"), F.lit("] "), F.substring("message", 1, 100))
 
 
-def top_findings(ranked: DataFrame, n: int = 10, by=("review_id", "file_path")) -> DataFrame:
-    """The first ``n`` ranked findings per group as ``- [severity] message`` lines.
+def top_findings(findings: DataFrame, n: int = 10, by=("review_id", "file_path"),
+                 order_cols=ORDER_COLUMNS) -> DataFrame:
+    """The first ``n`` findings per group (W2 order) as ``- [severity] message`` lines.
 
-    ``rank <= n`` becomes a window-group limit (applied before and after the
-    shuffle), and the grouped list holds at most ``n`` entries.
+    Without a ``rank`` column the order is computed here with ``row_number() <=
+    n``, which Catalyst plans as a window-group limit applied before and after
+    the shuffle — a huge group ships at most ``n`` rows per map task.  The
+    grouped list holds at most ``n`` entries.
     """
     by = list(by)
-    top = ranked.filter(F.col("rank") <= n)
+    if "rank" in findings.columns:
+        top = findings.filter(F.col("rank") <= n)
+    else:
+        w = Window.partitionBy(*by).orderBy("severity_rank", "line_number", *pos_columns(order_cols))
+        top = findings.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     return (top.groupBy(*by)
-            .agg(F.array_sort(F.collect_list(F.struct("rank", severity_line(ranked).alias("line"))))
+            .agg(F.array_sort(F.collect_list(F.struct("rank", severity_line(top).alias("line"))))
                  .alias("_l"), F.count(F.lit(1)).alias("n_top"))
             .select(*by, "n_top", F.array_join(F.transform("_l", lambda s: s["line"]), "\n")
                     .alias("top_lines")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revspark.functions.text import context_lines, splitlines
@@ -25,11 +25,14 @@ def enrich(findings: DataFrame, responses: DataFrame, fallback: str | None,
     r = responses.select(key, F.col("response").alias("_resp"),
                          F.coalesce(F.col("error"), F.lit(False)).alias("_err"))
     j = findings.join(r, key, "left")
-    batch = Window.partitionBy("review_id", "file_path", "agent_name")
-    bad = F.max(F.col("_err").cast("int")).over(batch) == 1
+    # batches with an error response: one partial-aggregated flag per batch
+    # (a huge batch costs one row per map task), joined back
+    batch = ["review_id", "file_path", "agent_name"]
+    bad = j.groupBy(*batch).agg(F.bool_or(F.coalesce(F.col("_err"), F.lit(False))).alias("_bad"))
     resp = F.when(F.length("_resp") > 0, F.col("_resp"))
     new = F.coalesce(resp, F.col("suggestion")) if fallback is None else F.coalesce(resp, F.lit(fallback))
-    return j.withColumn("suggestion", F.when(bad, F.col("suggestion")).otherwise(new)).drop("_resp", "_err")
+    return (j.join(bad, batch).withColumn("suggestion", F.when(F.col("_bad"), F.col("suggestion")).otherwise(new))
+            .drop("_resp", "_err", "_bad"))
 
 
 def cache_lookup(prompts: DataFrame, responses: DataFrame, now, ttl_seconds: int = CACHE_TTL_SECONDS):

@@ -63,8 +63,7 @@ select review_id, file_path, line_number, severity, message, cast(rank as bigint
 
 # --- W3 ----------------------------------------------------------------------
 def q_top10_findings(spark, sf):
-    r = rank_findings(_dedup(spark, sf), order_cols=V2_ORDER)
-    t = top_findings(r, 10)
+    t = top_findings(_dedup(spark, sf), 10, order_cols=V2_ORDER)
     return t.select("review_id", "file_path", F.col("n_top").cast("bigint").alias("n_top"), "top_lines")
 
 

@@ -60,6 +60,6 @@ def review_files(inputs: ReviewInputs, reviewers: ReviewerSet | None = None,
 def review_summary_prompts(findings: DataFrame, file_reviews: DataFrame) -> DataFrame:
     """W3 + T11: the summary prompt per reviewed file (top 10 findings)."""
     from revspark.operators.prompts import build_prompts
-    top = top_findings(findings, 10)
+    top = top_findings(findings.drop("rank"), 10)
     d = file_reviews.select(*FILE_KEY, "overall_score").join(top, FILE_KEY, "left")
     return build_prompts("summary", d)

@@ -90,3 +90,23 @@ def test_zero_filled_and_agent_summaries(spark):
     s = {r.agent_name: r.summary for r in A.agent_summaries(df, df.select("review_id")).collect()}
     assert s == {"QualityAgent": "Found 1 critical, 2 high severity issues", "SecurityAgent": "No issues found",
                  "TestingAgent": "No issues found"}
+
+
+def test_row_number_by_range_spreads_hot_group(spark):
+    """A file with most of the rows spans several range partitions; the numbers
+    must equal a plain per-file row_number."""
+    from pyspark.sql import Window
+    from revspark.operators.dedup import row_number_by_range
+    rows = [("hot.py", i % 7, i) for i in range(6000)] + [(f"f{j}.py", j % 3, j) for j in range(300)]
+    df = spark.createDataFrame(rows, "file_path string, line_number int, item_ord long")
+    got = row_number_by_range(df, ["file_path"], ["line_number", "item_ord"], "rn", num_partitions=8)
+    assert got.select("_task" if "_task" in got.columns else "rn").count() == len(rows)
+    w = Window.partitionBy("file_path").orderBy("line_number", "item_ord")
+    want = df.withColumn("rn", F.row_number().over(w))
+    a = sorted((r.file_path, r.item_ord, r.rn) for r in got.collect())
+    b = sorted((r.file_path, r.item_ord, r.rn) for r in want.collect())
+    assert a == b
+    # the hot file really was split across tasks
+    tasks = (df.repartitionByRange(8, "file_path", "line_number", "item_ord")
+             .filter(F.col("file_path") == "hot.py").select(F.spark_partition_id()).distinct().count())
+    assert tasks > 1
