@@ -139,21 +139,37 @@ def _is_string(v: Column) -> Column:
     return F.schema_of_variant(v) == F.lit("STRING")
 
 
-def item_checks(item: Column, agent: str) -> tuple[dict, Column]:
-    """Field values (with the agent's defaults) and the validity of one item."""
-    sev_d, cat_d, conf = AI_DEFAULTS[agent]
+def _agent_defaults(agent):
+    """(severity, category, confidence, is_security) for a reviewer given by
+    name (literal) or by a column holding the name (per row)."""
+    if isinstance(agent, str):
+        sev, cat, conf = AI_DEFAULTS[agent]
+        return F.lit(sev), F.lit(cat), F.lit(conf), F.lit(agent == "SecurityAgent")
+    pairs = list(AI_DEFAULTS.items())
+    return (L.case_exact(agent, [(a, d[0]) for a, d in pairs], "medium"),
+            L.case_exact(agent, [(a, d[1]) for a, d in pairs], "code_smell"),
+            L.case_exact(agent, [(a, d[2]) for a, d in pairs], "0.70"),
+            agent == F.lit("SecurityAgent"))
+
+
+def item_checks(item: Column, agent) -> tuple[dict, Column]:
+    """Field values (with the reviewer's defaults) and the validity of one item.
+
+    ``agent`` is a reviewer name, or a Column with the name per row (one pass
+    over the responses of every reviewer)."""
+    sev_d, cat_d, conf, is_sec = _agent_defaults(agent)
     is_obj = F.schema_of_variant(item).startswith("OBJECT")
     sev_v, cat_v = _field(item, "severity"), _field(item, "category")
     msg_v, sug_v, line_v = _field(item, "message"), _field(item, "suggestion"), _field(item, "line_number")
     own_v = _field(item, "owasp_category")
 
     def str_or_default(v, d):
-        return F.when(v.isNull(), F.lit(d)).otherwise(F.try_variant_get(v, "$", "string"))
+        return F.when(v.isNull(), d).otherwise(F.try_variant_get(v, "$", "string"))
 
     sev = str_or_default(sev_v, sev_d)
     cat = str_or_default(cat_v, cat_d)
-    msg = str_or_default(msg_v, "")
-    sug = str_or_default(sug_v, "")
+    msg = str_or_default(msg_v, F.lit(""))
+    sug = str_or_default(sug_v, F.lit(""))
     line_dec = F.try_variant_get(line_v, "$", "decimal(38,6)")
     line = F.when(line_v.isNull(), F.lit(1)).otherwise(line_dec.try_cast("int"))
     line_ok = line_v.isNull() | (line_dec.isNotNull() & (line_dec == F.floor(line_dec))
@@ -164,45 +180,55 @@ def item_checks(item: Column, agent: str) -> tuple[dict, Column]:
           & (sug_v.isNull() | _is_string(sug_v))
           & msg_v.isNotNull() & _is_string(msg_v) & (F.length(msg) > 0)
           & line_ok)
+    own_s = F.try_variant_get(own_v, "$", "string")
+    own_truthy = own_v.isNotNull() & ~F.is_variant_null(own_v) & ~(_is_string(own_v) & (F.length(own_s) == 0))
+    # only the security reviewer reads (and validates) an OWASP class
+    ok = ok & (~is_sec | ~own_truthy | _is_string(own_v))
     fields = {"severity": sev, "category": cat, "message": msg, "suggestion": sug,
-              "line_number": line, "confidence": F.lit(conf)}
-    if agent == "SecurityAgent":
-        own_s = F.try_variant_get(own_v, "$", "string")
-        own_truthy = own_v.isNotNull() & ~F.is_variant_null(own_v) & \
-            ~(_is_string(own_v) & (F.length(own_s) == 0))
-        ok = ok & (~own_truthy | _is_string(own_v))
-        fields["owasp_category"] = F.when(own_truthy, own_s).otherwise(L.infer_owasp(cat))
+              "line_number": line, "confidence": conf,
+              "owasp_category": F.when(is_sec, F.when(own_truthy, own_s).otherwise(L.infer_owasp(cat)))}
     return fields, F.coalesce(ok, F.lit(False))
 
 
-def ai_findings(responses: DataFrame, agent: str, agent_ord: int, source_ord: int,
-                text_col: str = "response", keep_bad: bool = False) -> DataFrame:
-    """F7 + F8 + S11 for one reviewer: responses(review_id, file_path, response) -> findings.
+def ai_findings(responses: DataFrame, agent: str | None, agent_ord: int | None, source_ord: int,
+                text_col: str = "response", keep_bad: bool = False, agent_ords: dict | None = None) -> DataFrame:
+    """F7 + F8 + S11: responses(review_id, file_path[, agent_name], response) -> findings.
 
     One response row is one model call.  Its items are checked *before* they
     are exploded (``forall`` over the array), so the all-or-nothing rule needs
-    no shuffle: one bad item drops every item of that call.
+    no shuffle: one bad item drops every item of that call.  With ``agent=None``
+    the reviewer comes from each row's ``agent_name`` (defaults per row,
+    ``agent_ords`` maps names to reviewer order) — one pass for all reviewers.
     """
     from revspark.functions.text import let
+    from revspark.schemas import DEFAULT_AGENTS
     from revspark.sources.responses import response_items
 
+    who = agent if agent is not None else F.col("agent_name")
+    keys = ["review_id", "file_path"] + (["agent_name"] if agent is None else [])
     items = response_items(F.col(text_col))
+
     def pack(its):
-        ok = F.coalesce(F.forall(its, lambda it: item_checks(it, agent)[1]), F.lit(False))
+        ok = F.coalesce(F.forall(its, lambda it: item_checks(it, who)[1]), F.lit(False))
         return F.struct(F.when(ok | F.lit(keep_bad), its).alias("items"), ok.alias("ok"))
 
-    # the items are parsed once; a rejected batch carries no array, so the
-    # generator emits nothing for it (no Filter to push below the parse)
-    x = (responses.select("review_id", "file_path", let(items, pack).alias("_p"))
-         .select("review_id", "file_path", F.col("_p.ok").alias("batch_ok"),
-                 F.posexplode("_p.items").alias("_pos", "item")))
-    fields, ok = item_checks(F.col("item"), agent)
-    cols = [F.col("review_id"), F.col("file_path"),
-            (F.col("_pos") + 1).cast("long").alias("item_ord"),
-            *[v.alias(k) for k, v in fields.items()]]
-    if keep_bad:
-        cols += [F.col("batch_ok"), ok.alias("item_ok")]
-    y = x.select(*cols)
+    def row(it, i):
+        fields, ok = item_checks(it, who)
+        return F.struct((i + 1).cast("long").alias("item_ord"), *[v.alias(k) for k, v in fields.items()],
+                        ok.alias("item_ok"))
+
+    # The items are parsed once; a rejected batch carries no array, so the
+    # generator emits nothing for it (no Filter to push below the parse).  The
+    # item fields are extracted inside the generator, so later projections
+    # read plain columns instead of re-extracting them from the VARIANT.
+    y = (responses.select(*keys, let(items, pack).alias("_p"))
+         .select(*keys, F.col("_p.ok").alias("batch_ok"), F.inline(F.transform("_p.items", row))))
+    if not keep_bad:
+        y = y.drop("batch_ok", "item_ok")
     if keep_bad:
         return y
-    return to_findings(y, agent, agent_ord, source_ord)
+    if agent is not None:
+        return to_findings(y, agent, agent_ord, source_ord)
+    ords = agent_ords or {n: i for i, (n, _) in enumerate(DEFAULT_AGENTS)}
+    y = y.withColumn("agent_ord", L.case_exact(F.col("agent_name"), list(ords.items()), None).cast("int"))
+    return to_findings(y, None, None, source_ord)

@@ -112,12 +112,8 @@ _AGENTS = [("QualityAgent", 0), ("SecurityAgent", 1), ("TestingAgent", 2)]
 
 
 def _ai_all(spark, sf):
-    resp = responses(spark, sf)
-    out = None
-    for name, ordinal in _AGENTS:
-        f = ai_findings(resp.filter(F.col("agent_name") == name), name, ordinal, 9)
-        out = f if out is None else out.unionByName(f)
-    return out
+    """Every reviewer's stored answers in one pass (defaults chosen per row)."""
+    return ai_findings(responses(spark, sf), None, None, 9, agent_ords=dict(_AGENTS))
 
 
 def q_ai_items(spark, sf):
@@ -162,15 +158,14 @@ def _checker(agent):
 
 def q_bad_batches(spark, sf):
     from revspark.operators.normalize import item_checks
+    from revspark.functions.text import let
     resp = responses(spark, sf)
-    out = None
-    for name, _ in _AGENTS:
-        items = response_items(F.col("response"))
-        ok = F.coalesce(F.forall(items, _checker(name)), F.lit(False))
-        d = resp.filter(F.col("agent_name") == name).select(
-            "review_id", "file_path", "agent_name", F.size(items).cast("bigint").alias("n_items"), ok.alias("batch_ok"))
-        out = d if out is None else out.unionByName(d)
-    return out.withColumn("n_items", F.when(F.col("n_items") >= 0, F.col("n_items")))
+    check = _checker(F.col("agent_name"))
+    st = let(response_items(F.col("response")), lambda its: F.struct(
+        F.size(its).cast("bigint").alias("n"), F.coalesce(F.forall(its, check), F.lit(False)).alias("ok")))
+    out = resp.select("review_id", "file_path", "agent_name", st.alias("_s"))
+    return out.select("review_id", "file_path", "agent_name",
+                      F.when(F.col("_s.n") >= 0, F.col("_s.n")).alias("n_items"), F.col("_s.ok").alias("batch_ok"))
 
 
 Q["bad_batches"] = q_bad_batches
