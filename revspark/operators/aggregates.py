@@ -144,6 +144,13 @@ def line_metrics(files: DataFrame, keys=("review_id", "file_path"), code_col: st
         F.col("_m.c").alias("comment_lines"), (F.col("_m.t") - F.col("_m.b") - F.col("_m.c")).alias("code_lines"))
 
 
+def line_metrics_rollup(metrics: DataFrame, by=("language",)) -> DataFrame:
+    """A11 rollup: files and line counts per group (language, repository, …)."""
+    return metrics.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_files"),
+        *[F.sum(c).cast("long").alias(c) for c in ("total_lines", "blank_lines", "comment_lines", "code_lines")])
+
+
 def file_reviews(files: DataFrame, findings: DataFrame, keys=("review_id", "file_path"),
                  ai_summaries: DataFrame | None = None) -> DataFrame:
     """One review row per file: lines, counts, score, status, summary.

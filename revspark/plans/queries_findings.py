@@ -216,3 +216,33 @@ select review_id, file_path, cast(1 as bigint) as files_analyzed, total_lines, n
          {_sev_list_sql('n_critical', 'n_high', 'n_medium', 'n_low')}, ' severity). Score: ',
          printf('%.1f', overall_score), '/100') as summary
 from s"""
+
+
+# --- W3 + T11 summary prompts ---------------------------------------------------
+def q_summary_prompts(spark, sf):
+    from revspark.plans.review import review_summary_prompts
+    d = _dedup(spark, sf)
+    files = d.select("review_id", "file_path").distinct() \
+        .withColumn("total_lines", v2_total_lines(F.col("review_id")))
+    fr = A.file_reviews(files, d)
+    p = review_summary_prompts(d, fr, order_cols=V2_ORDER)
+    return p.select("review_id", "file_path", "kind", "prompt_key")
+
+
+def _summary_system():
+    from revspark.operators.prompts import SYSTEM
+    return SYSTEM["summary"].replace("'", "''")
+
+
+Q["summary_prompts"] = q_summary_prompts
+SQL["summary_prompts"] = _SQL_RANKED + f""",
+t as (select review_id, file_path, string_agg(concat('- [', severity, '] ', substring(message, 1, 100)), chr(10)
+        order by rank) as top_lines from r where rank <= 10 group by review_id, file_path),
+a as (select review_id, file_path, sum({_W_SQL}) as ded from k group by review_id, file_path),
+s as (select review_id, file_path, cast(round(cast(greatest(cast(0 as double), 100 - cast(ded as double)
+        / greatest(cast(1 as double), (80 + review_id % 200) / cast(100 as double))) as decimal(12,6)), 1) as double)
+        as score from a)
+select s.review_id, s.file_path, 'summary' as kind,
+  sha256(concat_ws(chr(0), '{_summary_system()}', 'Score ' || printf('%.1f', score) || '/100.' || chr(10)
+    || 'Main findings:' || chr(10) || coalesce(nullif(top_lines, ''), 'No significant issues found.'))) as prompt_key
+from s left join t on t.review_id = s.review_id and t.file_path = s.file_path"""

@@ -427,3 +427,24 @@ select review_id, file_path,
   || case when review_id % 3 = 0 then chr(10) || chr(10) || 'Overall ' || file_path || ' needs attention.' else '' end
   as summary
 from s"""
+
+
+# --- A11 rollup ------------------------------------------------------------------
+def q_line_metrics_by_language(spark, sf):
+    v = v1_files(spark, sf).withColumn("language", L.detect_language(F.col("file_path"), F.col("code")))
+    m = A.line_metrics(v, keys=("review_id", "language"))
+    return A.line_metrics_rollup(m, ["language"]).select(
+        "language", F.col("n_files").cast("bigint").alias("n_files"), "total_lines", "blank_lines",
+        "comment_lines", "code_lines")
+
+
+Q["line_metrics_by_language"] = q_line_metrics_by_language
+_LANG_E, _LANG_SELECT = SQL["detect_language"].split(f"with {SQL_V1},", 1)[1].split("\nselect review_id", 1)
+SQL["line_metrics_by_language"] = (
+    "with " + SQL_V1_LINES + ", m as (select review_id, len(ls) as t, "
+    "len(list_filter(ls, lambda x: trim(x) = '')) as b, "
+    "len(list_filter(ls, lambda x: starts_with(trim(x), '#'))) as c from v1l), "
+    + _LANG_E.strip() + ", lang as (select review_id" + _LANG_SELECT + ") "
+    "select language, cast(count(*) as bigint) as n_files, cast(sum(t) as bigint) as total_lines, "
+    "cast(sum(b) as bigint) as blank_lines, cast(sum(c) as bigint) as comment_lines, "
+    "cast(sum(t - b - c) as bigint) as code_lines from m join lang using (review_id) group by language")

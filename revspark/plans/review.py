@@ -57,9 +57,11 @@ def review_files(inputs: ReviewInputs, reviewers: ReviewerSet | None = None,
     return ReviewOutput(findings, fr, reviews, failures)
 
 
-def review_summary_prompts(findings: DataFrame, file_reviews: DataFrame) -> DataFrame:
+def review_summary_prompts(findings: DataFrame, file_reviews: DataFrame, order_cols=None) -> DataFrame:
     """W3 + T11: the summary prompt per reviewed file (top 10 findings)."""
     from revspark.operators.prompts import build_prompts
-    top = top_findings(findings.drop("rank"), 10)
+    from revspark.schemas import ORDER_COLUMNS
+    f = findings.drop("rank") if "rank" in findings.columns else findings
+    top = top_findings(f, 10, order_cols=order_cols or ORDER_COLUMNS)
     d = file_reviews.select(*FILE_KEY, "overall_score").join(top, FILE_KEY, "left")
     return build_prompts("summary", d)

@@ -18,8 +18,8 @@ def read_files(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
     to a stable hash of the path.
     """
     if fmt == "text":
-        df = (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-              .text(path)
+        # keywords, not .option(): text() passes its own wholetext default
+        df = (spark.read.text(path, wholetext=True, recursiveFileLookup=True)
               .select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("code")))
     else:
         df = spark.read.format(fmt).load(path)

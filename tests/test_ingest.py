@@ -77,3 +77,29 @@ def test_normalise_and_validate(spark):
     assert r == [(1, "high", "style", 5), (2, "medium", "other", None)]
     ok, rej = validate_findings(f)
     assert ok.count() == 1 and [x.reason for x in rej.collect()] == ["line_number < 1"]
+
+
+def test_read_files_directory(spark, tmp_path):
+    from revspark.sources.files import read_files
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg" / "a.py").write_text("import os\ndef f():\n    return 1\n")
+    (tmp_path / "b.js").write_text("function f() { let x = 1 }\n")
+    got = {r.file_path.rsplit("/", 1)[-1]: (r.language, r.code) for r in read_files(spark, str(tmp_path)).collect()}
+    assert got["a.py"] == ("python", "import os\ndef f():\n    return 1\n")
+    assert got["b.js"][0] == "javascript"
+
+
+def test_review_store_latest_wins_and_lookup(spark):
+    import datetime as dt
+
+    from revspark.session import shared_path
+    from revspark.sources.store import get_review, read_reviews, write_reviews
+    path = shared_path(spark, "test-store")
+    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    write_reviews(spark.createDataFrame([(1, 90.0, t0), (2, 80.0, t0)], "review_id long, overall_score double, ts timestamp"),
+                  path, write_id=0)
+    write_reviews(spark.createDataFrame([(2, 70.0, t1)], "review_id long, overall_score double, ts timestamp"),
+                  path, write_id=1)
+    assert sorted((r.review_id, r.overall_score) for r in read_reviews(spark, path).collect()) == [(1, 90.0), (2, 70.0)]
+    assert [r.overall_score for r in get_review(spark, path, 2).collect()] == [70.0]
+    assert get_review(spark, path, 3).count() == 0
