@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revspark.functions import text as TX
-from revspark.operators.dedup import dedup_findings, rank_findings
+from revspark.operators.dedup import dedup_findings
 from revspark.operators.reviewers import testing_findings
 from revspark.operators.structure import extract_elements
 from revspark.plans.fixtures import SQL_V4, table, v4_pr_files, v7_code_expr
@@ -108,7 +108,9 @@ def _pipeline(spark, sf):
                     F.col("filename").alias("file_path"), "code")
     el = extract_elements(fx, checkpoint=True)
     tf = testing_findings(None, el)
-    findings = rank_findings(dedup_findings(tf)).withColumn(
+    # de-duplicated per file; ranking is left to the consumers that need it
+    # (first-N comments rank with a window-group limit)
+    findings = dedup_findings(tf).withColumn(
         "pr_key", (F.col("review_id") / FILE_STRIDE).cast("long")).withColumn(
         "file_ord", (F.col("review_id") % FILE_STRIDE).cast("long"))
     stats = el.filter(F.col("kind") == "file").select(

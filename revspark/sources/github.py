@@ -130,14 +130,22 @@ def ingest_pr_comments(df: DataFrame) -> DataFrame:
 # Sinks
 # ---------------------------------------------------------------------------
 
-def comment_rows(findings: DataFrame, limit: int = 20) -> DataFrame:
+def comment_rows(findings: DataFrame, limit: int = 20,
+                 order_cols=("agent_ord", "source_ord", "item_ord")) -> DataFrame:
     """W4 + T6: the first ``limit`` findings of each PR in file order then rank.
 
-    ``findings`` carries ``pr_key, file_ord, rank`` (W2 rank inside the file).
-    ``row_number() <= limit`` is planned as a window group limit, which also
-    trims rows before the shuffle, so a PR with millions of findings only ships
-    ``limit`` rows per task.
+    ``findings`` carries ``pr_key, file_ord`` and either the W2 ``rank`` inside
+    the file or the columns to compute it (``severity_rank, line_number,
+    pos_*``).  Only a file's first ``limit`` findings can be among its PR's
+    first ``limit``, so the per-file rank is computed with ``row_number() <=
+    limit`` — both windows plan as window-group limits that trim rows before
+    the shuffle: a PR or file with millions of findings ships ``limit`` rows per
+    task.
     """
+    if "rank" not in findings.columns:
+        per_file = Window.partitionBy("pr_key", "file_ord").orderBy(
+            "severity_rank", "line_number", *[f"pos_{c}" for c in order_cols])
+        findings = findings.withColumn("rank", F.row_number().over(per_file)).filter(F.col("rank") <= limit)
     w = Window.partitionBy("pr_key").orderBy("file_ord", "rank")
     return (findings.withColumn("comment_ord", F.row_number().over(w))
             .filter(F.col("comment_ord") <= limit)
