@@ -132,8 +132,28 @@ def _lit(v):
     return v if isinstance(v, Column) else F.lit(v)
 
 
+def map_lookup(col: Column, pairs, default) -> Column:
+    """Exact-match table as a literal map lookup (first key wins).
+
+    ``col`` is referenced once, so a large input expression (another lookup, a
+    parsed field) is not copied into every branch the way a CASE chain does."""
+    seen, flat = set(), []
+    for k, v in pairs:
+        if k in seen:
+            continue
+        seen.add(k)
+        flat += [F.lit(k), v if isinstance(v, Column) else F.lit(v)]
+    found = F.try_element_at(F.create_map(*flat), col)
+    return found if default is None else F.coalesce(found, _lit(default))
+
+
 def case_exact(col: Column, pairs, default) -> Column:
-    """``CASE col WHEN k1 THEN v1 ... ELSE default END`` (first key wins)."""
+    """``CASE col WHEN k1 THEN v1 ... ELSE default END`` (first key wins).
+
+    Tables with string keys and literal values are looked up in a literal map
+    (the input is evaluated once); other tables stay a CASE chain."""
+    if len(pairs) >= 3 and all(isinstance(k, str) and not isinstance(v, Column) for k, v in pairs):
+        return map_lookup(col, pairs, default)
     expr = None
     for k, v in pairs:
         cond = col == F.lit(k)
@@ -142,15 +162,26 @@ def case_exact(col: Column, pairs, default) -> Column:
 
 
 def case_prefix(col: Column, pairs, default, exact_first: bool = False) -> Column:
-    """First key (in list order) that ``col`` starts with; exact match optional first."""
-    expr = None
-    conds = []
+    """First key (in list order) that ``col`` starts with; exact match optional first.
+
+    Compact form: for each distinct key length L one literal-map lookup of the
+    first L characters yields (position in the list, value); the smallest
+    position wins (``least`` skips misses).  The expression size grows with the
+    number of distinct key lengths, not with the number of keys.
+    """
+    by_len: dict[int, dict] = {}
+    for i, (k, v) in enumerate(pairs):
+        by_len.setdefault(len(k), {}).setdefault(k, (i, v))
+    cands = []
+    for n, table in sorted(by_len.items()):
+        flat = []
+        for k, (i, v) in table.items():
+            flat += [F.lit(k), F.struct(F.lit(i).alias("i"), _lit(v).alias("v"))]
+        cands.append(F.try_element_at(F.create_map(*flat), F.substring(col, 1, n)))
+    best = (F.least(*cands) if len(cands) > 1 else cands[0])["v"]
     if exact_first:
-        conds += [(col == F.lit(k), v) for k, v in pairs]
-    conds += [(col.startswith(F.lit(k)), v) for k, v in pairs]
-    for cond, v in conds:
-        expr = F.when(cond, _lit(v)) if expr is None else expr.when(cond, _lit(v))
-    return expr.otherwise(_lit(default))
+        return F.coalesce(map_lookup(col, pairs, None), best, _lit(default))
+    return F.coalesce(best, _lit(default))
 
 
 # ---------------------------------------------------------------------------

@@ -16,13 +16,13 @@ def _col_or(df: DataFrame, name: str, default) -> Column:
 
 
 def coerce_severity(c: Column) -> Column:
-    low = F.lower(c)
-    return F.when(low.isin(*SEVERITIES), low).otherwise(F.lit("medium"))
+    """Lower-cased severity if it is in the vocabulary, else medium (input read once)."""
+    return L.map_lookup(F.lower(c), [(v, v) for v in SEVERITIES], "medium")
 
 
 def coerce_category(c: Column) -> Column:
-    low = F.lower(c)
-    return F.when(low.isin(*CATEGORIES), low).otherwise(F.lit("other"))
+    """Lower-cased category if it is in the vocabulary, else other (input read once)."""
+    return L.map_lookup(F.lower(c), [(v, v) for v in CATEGORIES], "other")
 
 
 def to_findings(df: DataFrame, agent_name: str | None = None, agent_ord: int | None = None,
