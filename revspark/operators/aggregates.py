@@ -62,14 +62,16 @@ def agent_summaries(findings: DataFrame, reviews: DataFrame, agents=None,
     """A4 + J5: one summary per (review, agent) for every registered agent and
     every agent that reported something.
 
-    ``agents`` is the small registered list (name[, description]); it is turned
-    into a literal inline table and cross-joined with the reviews — its size is
-    the number of registered reviewers, never data-dependent.
+    ``agents`` is the small registered list (name[, description]); it becomes a
+    literal array exploded per review — its size is the number of registered
+    reviewers, never data-dependent.
     """
     names = [a[0] if isinstance(a, (tuple, list)) else a for a in (agents or DEFAULT_AGENTS)]
-    spark = reviews.sparkSession
-    reg = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "agent_name string, agent_ord int")
-    spine = reviews.select(key).distinct().crossJoin(F.broadcast(reg))
+    # every review gets one row per registered reviewer: a literal array
+    # exploded per review (a generator, no join)
+    reg = F.array(*[F.struct(F.lit(n).alias("agent_name"), F.lit(i).alias("agent_ord"))
+                    for i, n in enumerate(names)])
+    spine = reviews.select(key).distinct().select(key, F.inline(reg)).drop("agent_ord")
     counts = findings.groupBy(key, "agent_name").agg(*severity_count_aggs())
     j = spine.join(counts, [key, "agent_name"], "full_outer")
     return j.select(

@@ -14,6 +14,9 @@ from revspark.session import table_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # timestamps in the tables are wall-clock UTC (TIMESTAMP_NTZ); casts and
+    # windows over them are defined in UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(table_path(sf_dir, name))
 
 
