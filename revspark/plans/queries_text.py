@@ -9,8 +9,7 @@ from revspark.functions import text as TX
 from revspark.operators import aggregates as A
 from revspark.operators.enrich import with_context
 from revspark.operators.normalize import quality_findings, security_findings
-from revspark.operators.reviewers import (R5_MESSAGE, R5_SUGGESTION, ReviewInputs, is_test_file,
-                                          rule_scan)
+from revspark.operators.reviewers import ReviewInputs, is_test_file, rule_scan
 from revspark.plans.fixtures import (SCAN_RULES, SQL_V1, SQL_V2, SQL_V2_DEDUP, SQL_V3_RAW, SQL_V4, v1_files,
                                      v2_findings, v2_total_lines, v3_raw, v4_pr_files)
 from revspark.plans.queries_ingest import sql_case

@@ -1,5 +1,4 @@
 """Registered queries vs their oracle SQL on the smallest driver tables."""
-import math
 import os
 
 import duckdb
