@@ -67,6 +67,9 @@ def review_batch_sink(make_inputs: Callable, reviewers=None):
     return sink
 
 
-def read_stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_stream_table(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
     """A file-source stream over parquet files (a folder or a glob)."""
-    return spark.readStream.schema(schema).parquet(path)
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(path)
