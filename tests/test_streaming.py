@@ -52,3 +52,20 @@ def test_rate_limit_windows_complete_mode(spark):
     got = sorted((r.window_start.strftime("%H:%M:%S"), r.client, r.n, r.over_limit)
                  for r in spark.read.parquet(out).collect())
     assert got == [("00:00:00", 7, 5, True), ("00:00:00", 8, 1, False), ("00:01:00", 7, 2, False)]
+
+
+def test_review_sink_is_idempotent_per_batch(spark):
+    from revspark.operators.reviewers import ReviewInputs
+    from revspark.streaming.review_stream import review_batch_sink
+    files = spark.createDataFrame([(1, "tests/test_a.py", "x = 1\n"), (2, "src/b.py", "def f(a, b, c, d):\n    return a\n")],
+                                  "review_id long, file_path string, code string")
+    sink = review_batch_sink(lambda b: ReviewInputs(files=b))
+    out = shared_path(spark, "test-sink")
+    sink(files, 0, out)
+    sink(files, 0, out)          # the same micro-batch retried
+    sink(files.limit(1), 1, out)
+    got = spark.read.parquet(out)
+    assert got.filter("batch_id = 0").count() == 2 and got.count() == 3
+    r = {row.review_id: (row.n_findings, row.overall_score) for row in got.filter("batch_id = 0").collect()}
+    # R5 (high x 0.85) -> 100 - 6.8 = 93.2; R2 (low x 0.70) -> 99.3
+    assert r[1] == (1, 93.2) and r[2] == (1, 99.3)
