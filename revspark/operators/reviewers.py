@@ -73,9 +73,12 @@ class ReviewInputs:
     scan_rules: list | None = None
 
     def get_elements(self) -> DataFrame:
+        """The syntax-tree elements of ``files``.  With stored model answers the
+        testing reviewer reads them twice (rules, failed-parse exclusion), so
+        they are then checkpointed once instead of parsed twice."""
         if self.elements is None:
             from revspark.operators.structure import extract_elements
-            self.elements = extract_elements(self.files)
+            self.elements = extract_elements(self.files, checkpoint=self.ai_responses is not None)
         return self.elements
 
 
