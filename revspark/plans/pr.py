@@ -7,11 +7,14 @@ PR rollup in file order -> payloads.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revspark.functions.text import pr_summary, splitlines, where_computed
 from revspark.operators import aggregates as A
+from revspark.operators.dedup import dedup_findings
 
 
 def eligible_files(pr_files: DataFrame) -> DataFrame:
@@ -69,3 +72,48 @@ def pr_rollup(requests: DataFrame, prs: DataFrame, reviewed_files: DataFrame,
 
 def file_line_counts(files: DataFrame) -> DataFrame:
     return files.select("pr_key", "file_ord", F.size(splitlines(F.col("code"))).alias("total_lines"))
+
+
+FILE_STRIDE = 1_000_000  # per-file review id = pr_key * FILE_STRIDE + file_ord (file_ord < 1e6)
+
+
+@dataclass
+class PRReviewOutput:
+    findings: DataFrame      # de-duplicated per file, with pr_key and file_ord
+    file_stats: DataFrame    # (pr_key, file_ord, total_lines) of the files reviewed
+    rollup: DataFrame        # one row per request (A10 + T8)
+    payloads: DataFrame      # review bodies to post (S13)
+    failures: list           # reviewers that contributed nothing (U2)
+
+
+def review_prs(requests: DataFrame, prs: DataFrame, pr_files: DataFrame, contents: DataFrame,
+               reviewers=None, scan_rules=None, limit: int = 20) -> PRReviewOutput:
+    """Review pull requests end to end.
+
+    ``requests(pr_key, repo_owner, repo_name, pr_number)``; ``prs`` from
+    :func:`ingest_prs` plus ``repo`` and ``post_review``; ``pr_files`` from
+    :func:`ingest_prs`; ``contents(repo, path, ref, code)``.  Eligible files (F1)
+    get their text at the head commit (J3, F2) and are reviewed one by one (the
+    syntax tree is parsed once and checkpointed: the findings and the line
+    counts both read it), findings are de-duplicated per file and rolled up
+    per PR in file order (A10); payloads carry the first ``limit`` comments.
+    """
+    from revspark.operators.reviewers import ReviewInputs, run_reviewers
+    from revspark.operators.structure import extract_elements
+    from revspark.sources.github import review_payloads
+
+    att = attach_contents(pr_files, prs, contents)
+    files = att.select((F.col("pr_key") * FILE_STRIDE + F.col("file_ord")).alias("review_id"),
+                       F.col("filename").alias("file_path"), "code")
+    el = extract_elements(files, checkpoint=True)
+    raw, failures = run_reviewers(ReviewInputs(files=files, elements=el, scan_rules=scan_rules), reviewers)
+    findings = (dedup_findings(raw)
+                .withColumn("pr_key", (F.col("review_id") / FILE_STRIDE).cast("long"))
+                .withColumn("file_ord", (F.col("review_id") % FILE_STRIDE).cast("long")))
+    stats = el.filter(F.col("kind") == "file").select(
+        (F.col("review_id") / FILE_STRIDE).cast("long").alias("pr_key"),
+        (F.col("review_id") % FILE_STRIDE).cast("long").alias("file_ord"), F.col("n_lines").alias("total_lines"))
+    rollup = pr_rollup(requests, prs, stats, findings)
+    payloads = review_payloads(prs.select("pr_key", "head_sha", "post_review"), findings,
+                               rollup.select("pr_key", "summary"), limit)
+    return PRReviewOutput(findings, stats, rollup, payloads, failures)

@@ -15,7 +15,7 @@ from revspark.operators.dedup import dedup_findings
 from revspark.operators.reviewers import testing_findings
 from revspark.operators.structure import extract_elements
 from revspark.plans.fixtures import SQL_V4, table, v4_pr_files, v7_code_expr
-from revspark.plans.pr import attach_contents, eligible_files, pr_rollup
+from revspark.plans.pr import attach_contents, eligible_files, pr_rollup, review_prs
 from revspark.plans.queries_code import SQL_V7_TESTING
 from revspark.plans.queries_ingest import sql_case
 from revspark.sources.files import validate_pr_requests
@@ -25,7 +25,6 @@ from revspark.sources.github import (comment_payloads, comment_rows, ingest_cont
 Q = {}
 SQL = {}
 
-FILE_STRIDE = 1_000_000  # per-file review id = pr_key * FILE_STRIDE + file_ord
 
 
 # ---------------------------------------------------------------------------
@@ -100,23 +99,12 @@ def _attached(spark, sf):
 
 
 def _pipeline(spark, sf):
-    """... plus per-file review: the syntax-tree job runs once (its elements are
-    checkpointed because both the findings and the per-file line counts read
-    them), then keep-best dedup and rank per file."""
+    """The fixture inputs reviewed with the library's PR plan (default reviewers:
+    without scanner reports or stored answers only the testing rules fire)."""
     req, prs, files, att = _attached(spark, sf)
-    fx = att.select((F.col("pr_key") * FILE_STRIDE + F.col("file_ord")).alias("review_id"),
-                    F.col("filename").alias("file_path"), "code")
-    el = extract_elements(fx, checkpoint=True)
-    tf = testing_findings(None, el)
-    # de-duplicated per file; ranking is left to the consumers that need it
-    # (first-N comments rank with a window-group limit)
-    findings = dedup_findings(tf).withColumn(
-        "pr_key", (F.col("review_id") / FILE_STRIDE).cast("long")).withColumn(
-        "file_ord", (F.col("review_id") % FILE_STRIDE).cast("long"))
-    stats = el.filter(F.col("kind") == "file").select(
-        (F.col("review_id") / FILE_STRIDE).cast("long").alias("pr_key"),
-        (F.col("review_id") % FILE_STRIDE).cast("long").alias("file_ord"), F.col("n_lines").alias("total_lines"))
-    return req, prs, files, att, stats, findings
+    contents = ingest_contents(_contents(spark, sf)).select("repo", "path", "ref", "code")
+    out = review_prs(req, prs, files, contents)
+    return req, prs, files, att, out.file_stats, out.findings, out
 
 
 # ---------------------------------------------------------------------------
@@ -274,7 +262,7 @@ from ef join part on part.p_partkey = ef.l_partkey"""
 
 # --- A10 + T8 ------------------------------------------------------------------
 def q_pr_rollup(spark, sf):
-    req, prs, _, _, stats, findings = _pipeline(spark, sf)
+    req, prs, _, _, stats, findings, _ = _pipeline(spark, sf)
     out = pr_rollup(req, prs, stats, findings)
     return out.select("pr_key", "status", "files_analyzed", "total_lines", "n_findings", "n_critical", "n_high",
                       "n_medium", "n_low", "n_info", "overall_score")
@@ -317,7 +305,7 @@ from ro"""
 
 
 def q_pr_summary(spark, sf):
-    req, prs, _, _, stats, findings = _pipeline(spark, sf)
+    req, prs, _, _, stats, findings, _ = _pipeline(spark, sf)
     return pr_rollup(req, prs, stats, findings).select("pr_key", "summary")
 
 
@@ -335,7 +323,7 @@ select pr_key, {_SQL_PR_SUMMARY} as summary from ro"""
 
 # --- W4 ----------------------------------------------------------------------
 def q_first20_comments(spark, sf):
-    *_, findings = _pipeline(spark, sf)
+    _, _, _, _, _, findings, _ = _pipeline(spark, sf)
     c = comment_rows(findings, 20)
     return c.select("pr_key", F.col("comment_ord").cast("bigint").alias("comment_ord"), "file_path", "line_number",
                     "severity", F.md5("body").alias("md5"))
@@ -354,9 +342,8 @@ from c where comment_ord <= 20"""
 
 # --- S13 ---------------------------------------------------------------------
 def q_review_payloads(spark, sf):
-    req, prs, _, _, stats, findings = _pipeline(spark, sf)
-    roll = pr_rollup(req, prs, stats, findings)
-    p = review_payloads(prs.select("pr_key", "head_sha", "post_review"), findings, roll.select("pr_key", "summary"))
+    *_, out = _pipeline(spark, sf)
+    p = out.payloads
     parsed = F.from_json("payload", "commit_id string, body string, event string, "
                                     "comments array<struct<path string, line int, body string>>")
     return p.select("pr_key", F.md5("payload").alias("md5"), parsed["commit_id"].alias("commit_id"),
@@ -376,7 +363,7 @@ where ok and post_review and n_findings > 0"""
 
 # --- S14 ---------------------------------------------------------------------
 def q_comment_payloads(spark, sf):
-    _, prs, _, _, _, findings = _pipeline(spark, sf)
+    _, prs, _, _, _, findings, _ = _pipeline(spark, sf)
     p = comment_payloads(findings, prs.select("pr_key", "head_sha"))
     return p.select("pr_key", "file_path", "line_number", F.md5("payload").alias("md5"))
 
