@@ -9,7 +9,9 @@ TABLES = ["part", "orders", "lineitem", "events", "documents", "pages"]
 FAST = ["dedup_findings", "severity_sorted", "review_score", "pr_score", "agent_summaries", "file_reviews",
         "quality_findings", "ingest_all", "normalize_findings", "functions", "coverage_rules", "line_metrics",
         "sanitize", "context_blocks", "parse_pr_ref", "corpus_review", "pr_rollup", "first20_comments",
-        "ai_items", "bad_batches", "enrich_security", "cache_lookup", "store_latest", "stream_rate_limit"]
+        "ai_items", "bad_batches", "enrich_security", "cache_lookup", "store_latest", "stream_rate_limit",
+        "line_metrics_by_language", "summary_prompts", "review_payloads", "prompt_worklist", "ingest_contents",
+        "agent_union", "custom_reviewer"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
