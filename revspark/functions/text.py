@@ -29,6 +29,43 @@ COMMENT_ICONS = [("critical", "\U0001F6A8"), ("high", "⚠️"), ("medium", "\U0
                  ("low", "\U0001F4A1"), ("info", "ℹ️")]
 COMMENT_ICON_DEFAULT = "\U0001F4DD"
 
+# Output text formats (FIXED VALUES).  {name} marks a value; everything else is
+# literal text.  Optional parts are added only when their value is non-empty.
+MARKDOWN_HEAD = ("### {icon} {SEVERITY}: {category}\n\n**File:** `{file_path}` (line {line})\n\n"
+                 "**Issue:** {message}\n\n")
+MARKDOWN_SUGGESTION = "**Suggestion:** {suggestion}\n\n"
+MARKDOWN_SNIPPET = "```python\n{code_snippet}\n```\n\n"
+MARKDOWN_RULE = "_Rule: {rule_id}_\n"
+MARKDOWN_OWASP = "_OWASP: {owasp}_\n"
+COMMENT_HEAD = "{icon} **{SEVERITY}** - {category}\n\n{message}\n\n"
+COMMENT_SUGGESTION = "**Suggestion:** {suggestion}\n"
+COMMENT_RULE = "\n_Rule: {rule_id}_"
+REVIEW_SUMMARY_NONE = "Code review completed for {file_path}. No issues found. Score: {score}/100"
+REVIEW_SUMMARY = "Code review completed for {file_path}. Found {n} issues ({parts} severity). Score: {score}/100"
+REVIEW_SUMMARY_AI = "{summary}\n\n{ai}"
+PR_SUMMARY_NONE = "✅ Code review completed for PR #{number}: {title}\nNo issues found. Score: {score}/100"
+PR_SUMMARY = ("Code review completed for PR #{number}: {title}\nFound {n} issues ({parts} severity).\n"
+              "Score: {score}/100")
+PR_NOT_FOUND = "Could not fetch PR #{number} from {repo}"
+AGENT_SUMMARY = "Found {parts} severity issues"
+SEVERITY_PART = "{n} {severity}"
+SEVERITY_PARTS_SEPARATOR = ", "
+
+
+def fill(template: str, **values) -> Column:
+    """A text template as one native ``concat``: literal pieces and the given
+    Columns (or strings) in place of ``{name}``."""
+    import re
+    pieces = []
+    for i, part in enumerate(re.split(r"\{(\w+)\}", template)):
+        if i % 2 == 0:
+            if part:
+                pieces.append(F.lit(part))
+        else:
+            v = values[part]
+            pieces.append(F.lit(v) if isinstance(v, str) else v.cast("string"))
+    return F.concat(*pieces)
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -130,34 +167,27 @@ def finding_markdown(severity, category, file_path, line_number, message,
                      suggestion, code_snippet, rule_id, owasp) -> Column:
     """T5: one finding as a Markdown block."""
     icon = case_exact(_c(severity), MARKDOWN_ICONS, MARKDOWN_ICON_DEFAULT)
-    parts = [
-        F.lit("### "), icon, F.lit(" "), F.upper(_c(severity)), F.lit(": "), _c(category), F.lit("\n\n"),
-        F.lit("**File:** `"), _c(file_path), F.lit("` (line "), _c(line_number).cast("string"),
-        F.lit(")\n\n"),
-        F.lit("**Issue:** "), _c(message), F.lit("\n\n"),
-        _opt(suggestion, "**Suggestion:** ", "\n\n"),
-        _opt(code_snippet, "```python\n", "\n```\n\n"),
-        _opt(rule_id, "_Rule: ", "_\n"),
-        _opt(owasp, "_OWASP: ", "_\n"),
-    ]
-    return F.concat(*parts)
+    return F.concat(
+        fill(MARKDOWN_HEAD, icon=icon, SEVERITY=F.upper(_c(severity)), category=_c(category),
+             file_path=_c(file_path), line=_c(line_number), message=_c(message)),
+        _opt(suggestion, MARKDOWN_SUGGESTION, "suggestion"),
+        _opt(code_snippet, MARKDOWN_SNIPPET, "code_snippet"),
+        _opt(rule_id, MARKDOWN_RULE, "rule_id"),
+        _opt(owasp, MARKDOWN_OWASP, "owasp"))
 
 
 def finding_comment(severity, category, message, suggestion, rule_id) -> Column:
     """One finding as a pull-request comment body."""
     icon = case_exact(_c(severity), COMMENT_ICONS, COMMENT_ICON_DEFAULT)
     return F.concat(
-        icon, F.lit(" **"), F.upper(_c(severity)), F.lit("** - "), _c(category), F.lit("\n\n"),
-        _c(message), F.lit("\n\n"),
-        _opt(suggestion, "**Suggestion:** ", "\n"),
-        _opt(rule_id, "\n_Rule: ", "_"),
-    )
+        fill(COMMENT_HEAD, icon=icon, SEVERITY=F.upper(_c(severity)), category=_c(category), message=_c(message)),
+        _opt(suggestion, COMMENT_SUGGESTION, "suggestion"),
+        _opt(rule_id, COMMENT_RULE, "rule_id"))
 
 
-def _opt(col, before: str, after: str) -> Column:
+def _opt(col, template: str, name: str) -> Column:
     c = _c(col)
-    return F.when(c.isNotNull() & (F.length(c) > 0), F.concat(F.lit(before), c, F.lit(after))) \
-        .otherwise(F.lit(""))
+    return F.when(c.isNotNull() & (F.length(c) > 0), fill(template, **{name: c})).otherwise(F.lit(""))
 
 
 def format_score(score: Column) -> Column:
@@ -168,8 +198,8 @@ def format_score(score: Column) -> Column:
 def severity_list(n_critical, n_high, n_medium, n_low) -> Column:
     """``"1 critical, 2 high"``: non-zero counts only; info is never listed."""
     def part(n, word):
-        return F.when(_c(n) > 0, F.concat(_c(n).cast("string"), F.lit(" " + word)))
-    return F.concat_ws(", ", part(n_critical, "critical"), part(n_high, "high"),
+        return F.when(_c(n) > 0, fill(SEVERITY_PART, n=_c(n), severity=word))
+    return F.concat_ws(SEVERITY_PARTS_SEPARATOR, part(n_critical, "critical"), part(n_high, "high"),
                        part(n_medium, "medium"), part(n_low, "low"))
 
 
@@ -178,33 +208,26 @@ def review_summary(file_path, n_findings, n_critical, n_high, n_medium, n_low,
     """The review summary line; optional model text after a blank line."""
     base = F.when(
         _c(n_findings) == 0,
-        F.concat(F.lit("Code review completed for "), _c(file_path),
-                 F.lit(". No issues found. Score: "), format_score(_c(score)), F.lit("/100")),
+        fill(REVIEW_SUMMARY_NONE, file_path=_c(file_path), score=format_score(_c(score))),
     ).otherwise(
-        F.concat(F.lit("Code review completed for "), _c(file_path), F.lit(". Found "),
-                 _c(n_findings).cast("string"), F.lit(" issues ("),
-                 severity_list(n_critical, n_high, n_medium, n_low),
-                 F.lit(" severity). Score: "), format_score(_c(score)), F.lit("/100")))
+        fill(REVIEW_SUMMARY, file_path=_c(file_path), n=_c(n_findings),
+             parts=severity_list(n_critical, n_high, n_medium, n_low), score=format_score(_c(score))))
     if ai_text is None:
         return base
     ai = _c(ai_text)
     return F.when((_c(n_findings) > 0) & ai.isNotNull() & (F.length(ai) > 0),
-                  F.concat(base, F.lit("\n\n"), ai)).otherwise(base)
+                  fill(REVIEW_SUMMARY_AI, summary=base, ai=ai)).otherwise(base)
 
 
 def pr_summary(pr_number, title, n_findings, n_critical, n_high, n_medium, n_low, score) -> Column:
     """The pull-request summary text."""
-    head = F.concat(F.lit("PR #"), _c(pr_number).cast("string"), F.lit(": "),
-                    F.coalesce(_c(title), F.lit("")), F.lit("\n"))
+    t = F.coalesce(_c(title), F.lit(""))
     return F.when(
         _c(n_findings) == 0,
-        F.concat(F.lit("✅ Code review completed for "), head,
-                 F.lit("No issues found. Score: "), format_score(_c(score)), F.lit("/100")),
+        fill(PR_SUMMARY_NONE, number=_c(pr_number), title=t, score=format_score(_c(score))),
     ).otherwise(
-        F.concat(F.lit("Code review completed for "), head, F.lit("Found "),
-                 _c(n_findings).cast("string"), F.lit(" issues ("),
-                 severity_list(n_critical, n_high, n_medium, n_low),
-                 F.lit(" severity).\nScore: "), format_score(_c(score)), F.lit("/100")))
+        fill(PR_SUMMARY, number=_c(pr_number), title=t, n=_c(n_findings),
+             parts=severity_list(n_critical, n_high, n_medium, n_low), score=format_score(_c(score))))
 
 
 def parse_pr_ref(ref) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revspark.functions import lookups as L
-from revspark.functions.text import let, review_summary, severity_list, splitlines, strip
+from revspark.functions.text import AGENT_SUMMARY, fill, let, review_summary, severity_list, splitlines, strip
 from revspark.schemas import (COMPLEXITY_WEIGHTS, DEFAULT_AGENTS, NO_ISSUES, SCORE_WEIGHT_DEFAULT,
                               SCORE_WEIGHTS, SEVERITIES)
 
@@ -53,8 +53,7 @@ def by_category(findings: DataFrame, keys=("review_id",)) -> DataFrame:
 
 def agent_summary_text(n_critical, n_high, n_medium, n_low) -> Column:
     parts = severity_list(n_critical, n_high, n_medium, n_low)
-    return F.when(F.length(parts) > 0, F.concat(F.lit("Found "), parts, F.lit(" severity issues"))) \
-        .otherwise(F.lit(NO_ISSUES))
+    return F.when(F.length(parts) > 0, fill(AGENT_SUMMARY, parts=parts)).otherwise(F.lit(NO_ISSUES))
 
 
 def agent_summaries(findings: DataFrame, reviews: DataFrame, agents=None,

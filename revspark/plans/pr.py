@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revspark.functions.text import pr_summary, splitlines, where_computed
+from revspark.functions.text import PR_NOT_FOUND, fill, pr_summary, splitlines, where_computed
 from revspark.operators import aggregates as A
 from revspark.operators.dedup import dedup_findings
 
@@ -66,8 +66,7 @@ def pr_rollup(requests: DataFrame, prs: DataFrame, reviewed_files: DataFrame,
         F.when(F.col("_ok"), F.col("overall_score")).otherwise(F.lit(100.0)).alias("overall_score"),
         F.when(F.col("_ok"), pr_summary("number", "title", "n_findings", "n_critical", "n_high",
                                         "n_medium", "n_low", "overall_score"))
-        .otherwise(F.concat(F.lit("Could not fetch PR #"), F.col("pr_number").cast("string"),
-                            F.lit(" from "), F.col("_full"))).alias("summary"))
+        .otherwise(fill(PR_NOT_FOUND, number=F.col("pr_number"), repo=F.col("_full"))).alias("summary"))
 
 
 def file_line_counts(files: DataFrame) -> DataFrame:
