@@ -132,13 +132,21 @@ def with_fallback(static: DataFrame, ai: DataFrame) -> DataFrame:
     return static.unionByName(ai.join(static.select(*FILE_KEY).distinct(), FILE_KEY, "left_anti"))
 
 
+def _enriched(static: DataFrame, inputs: ReviewInputs, kind: str, fallback) -> DataFrame:
+    """Key every finding by its prompt (the +-5 line context from the
+    file text, J7), attach the stored answers, keep the canonical columns."""
+    from revspark.operators.enrich import enrich, with_context
+    from revspark.operators.prompts import finding_prompts
+    keyed = finding_prompts(with_context(static, inputs.files, 5, "colon"), kind)
+    return enrich(keyed, inputs.suggestions, fallback=fallback).select(*FINDING_COLUMNS)
+
+
 def quality_reviewer(inputs: ReviewInputs, agent_ord: int = 0) -> DataFrame:
-    from revspark.operators.enrich import enrich
     static = None
     if inputs.raw_findings is not None:
         static = quality_findings(inputs.raw_findings, agent_ord)
         if inputs.suggestions is not None:
-            static = enrich(static, inputs.suggestions, fallback=None)
+            static = _enriched(static, inputs, "suggestion", None)
     resp = _responses_for(inputs, "QualityAgent")
     ai = ai_findings(resp, "QualityAgent", agent_ord, 9) if resp is not None else None
     if static is None:
@@ -147,7 +155,6 @@ def quality_reviewer(inputs: ReviewInputs, agent_ord: int = 0) -> DataFrame:
 
 
 def security_reviewer(inputs: ReviewInputs, agent_ord: int = 1) -> DataFrame:
-    from revspark.operators.enrich import enrich
     parts = []
     if inputs.raw_findings is not None:
         parts.append(security_findings(inputs.raw_findings, agent_ord))
@@ -157,7 +164,7 @@ def security_reviewer(inputs: ReviewInputs, agent_ord: int = 1) -> DataFrame:
     for p in parts:
         static = p if static is None else static.unionByName(p)
     if static is not None and inputs.suggestions is not None:
-        static = enrich(static, inputs.suggestions, fallback=SECURITY_FALLBACK_EXPLANATION)
+        static = _enriched(static, inputs, "explanation", SECURITY_FALLBACK_EXPLANATION)
     resp = _responses_for(inputs, "SecurityAgent")
     ai = ai_findings(resp, "SecurityAgent", agent_ord, 9) if resp is not None else None
     out = [d for d in (static, ai) if d is not None]

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from revspark.operators.reviewers import (Reviewer, ReviewerSet, ReviewInputs, is_test_file, run_reviewers,
+from revspark.operators.reviewers import (Reviewer, ReviewerSet, ReviewInputs, is_test_file, quality_reviewer,
+                                          run_reviewers, security_reviewer,
                                           testing_findings as run_testing_rules)
 from revspark.operators.structure import elements_of, extract_elements
 
@@ -99,3 +100,32 @@ def test_reviewer_set_and_isolation(spark):
     got = sorted((r.agent_name, r.agent_ord, r.severity, r.category) for r in f.collect())
     assert got == [("Custom", 3, "low", "style"), ("TestingAgent", 1, "high", "test_quality")]
     assert ReviewerSet([]).names() == ["QualityAgent", "SecurityAgent", "TestingAgent"]
+
+
+def test_reviewers_enrich_from_stored_answers(spark):
+    """J1/J2 through the reviewers: answers are looked up by the finding's prompt key."""
+    import json
+
+    from revspark.operators.enrich import with_context
+    from revspark.operators.normalize import quality_findings
+    from revspark.operators.prompts import finding_prompts
+    from revspark.sources.reports import ingest_all
+    code = "import os\nx = 1\n" + "y = 2\n" * 5
+    files = spark.createDataFrame([(1, "a.py", code)], "review_id long, file_path string, code string")
+    ruff = json.dumps([{"code": "E501", "message": "long", "location": {"row": 2, "column": 1}},
+                       {"code": "F401", "message": "unused", "location": {"row": 1, "column": 1},
+                        "fix": {"message": "remove it"}}])
+    bandit = json.dumps({"results": [{"test_id": "B105", "issue_text": "pw", "line_number": 2}]})
+    raw = ingest_all(spark.createDataFrame([(1, "a.py", "ruff", ruff), (1, "a.py", "bandit", bandit)],
+                                           "review_id long, file_path string, tool string, report string"))
+    # stored answer for the E501 finding only (keyed exactly as the reviewer keys it)
+    keyed = finding_prompts(with_context(quality_findings(raw), files, 5, "colon"), "suggestion")
+    answers = keyed.filter(F.col("rule_id") == "ruff:E501").select(
+        "prompt_key", F.lit("Wrap the line").alias("response"), F.lit(False).alias("error"))
+    rs = ReviewerSet([Reviewer("QualityAgent", "", quality_reviewer),
+                      Reviewer("SecurityAgent", "", security_reviewer)])
+    f, failures = run_reviewers(ReviewInputs(files=files, raw_findings=raw, suggestions=answers), rs)
+    assert failures == []
+    got = {r.rule_id: r.suggestion for r in f.collect()}
+    assert got == {"ruff:E501": "Wrap the line", "ruff:F401": "remove it",
+                   "bandit:B105": "Review and fix this security vulnerability."}
