@@ -129,3 +129,17 @@ def test_reviewers_enrich_from_stored_answers(spark):
     got = {r.rule_id: r.suggestion for r in f.collect()}
     assert got == {"ruff:E501": "Wrap the line", "ruff:F401": "remove it",
                    "bandit:B105": "Review and fix this security vulnerability."}
+
+
+def test_review_files_with_persisted_findings(spark):
+    from revspark.plans.review import review_files
+    files = spark.createDataFrame([(1, "src/a.py", "def f(a, b, c, d):\n    return a\n"),
+                                   (2, "tests/test_b.py", "x = 1\n"), (3, "src/c.py", "pass\n")],
+                                  "review_id long, file_path string, code string")
+    out = review_files(ReviewInputs(files=files), persist=True)
+    got = {r.review_id: (r.total_lines, r.n_findings, r.overall_score) for r in out.file_reviews.collect()}
+    assert got == {1: (2, 1, 99.3), 2: (1, 1, 93.2), 3: (1, 0, 100.0)}
+    summ = {r.review_id: dict(r.agent_summaries) for r in out.reviews.collect()}
+    assert summ[3] == {"QualityAgent": "No issues found", "SecurityAgent": "No issues found",
+                       "TestingAgent": "No issues found"}
+    assert summ[2]["TestingAgent"] == "Found 1 high severity issues"
