@@ -69,3 +69,19 @@ def test_review_sink_is_idempotent_per_batch(spark):
     r = {row.review_id: (row.n_findings, row.overall_score) for row in got.filter("batch_id = 0").collect()}
     # R5 (high x 0.85) -> 100 - 6.8 = 93.2; R2 (low x 0.70) -> 99.3
     assert r[1] == (1, 93.2) and r[2] == (1, 99.3)
+
+
+def test_rate_limit_append_mode_emits_closed_windows_once(spark):
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 0)
+    s = dt.timedelta(seconds=1)
+    src = _write_batches(spark, [
+        [(i, t0 + i * s, 7, "a") for i in range(5)],
+        [(10, t0 + 200 * s, 7, "a")],                 # moves the watermark past the first window
+    ])
+    stream = read_stream_table(spark, src, SCHEMA, max_files_per_trigger=1)
+    out = run_available_now(rate_counts(stream, "60 seconds", "client", "ts", limit=3), "test-rate-append")
+    got = sorted((r.window_start.strftime("%H:%M:%S"), r.client, r.n, r.over_limit)
+                 for r in spark.read.parquet(out).collect())
+    # [00:00, 00:01) is final once the watermark (200 s - 60 s) passes its end;
+    # the window holding the last event is still open and not emitted
+    assert got == [("00:00:00", 7, 5, True)]
