@@ -86,7 +86,7 @@ class PRReviewOutput:
 
 
 def review_prs(requests: DataFrame, prs: DataFrame, pr_files: DataFrame, contents: DataFrame,
-               reviewers=None, scan_rules=None, limit: int = 20) -> PRReviewOutput:
+               reviewers=None, scan_rules=None, limit: int = 20, materialize: bool = True) -> PRReviewOutput:
     """Review pull requests end to end.
 
     ``requests(pr_key, repo_owner, repo_name, pr_number)``; ``prs`` from
@@ -96,6 +96,8 @@ def review_prs(requests: DataFrame, prs: DataFrame, pr_files: DataFrame, content
     syntax tree is parsed once and checkpointed: the findings and the line
     counts both read it), findings are de-duplicated per file and rolled up
     per PR in file order (A10); payloads carry the first ``limit`` comments.
+    ``materialize=False`` skips the element checkpoint when only the findings
+    will be read.
     """
     from revspark.operators.reviewers import ReviewInputs, run_reviewers
     from revspark.operators.structure import extract_elements
@@ -104,7 +106,7 @@ def review_prs(requests: DataFrame, prs: DataFrame, pr_files: DataFrame, content
     att = attach_contents(pr_files, prs, contents)
     files = att.select((F.col("pr_key") * FILE_STRIDE + F.col("file_ord")).alias("review_id"),
                        F.col("filename").alias("file_path"), "code")
-    el = extract_elements(files, checkpoint=True)
+    el = extract_elements(files, checkpoint=materialize)
     raw, failures = run_reviewers(ReviewInputs(files=files, elements=el, scan_rules=scan_rules), reviewers)
     findings = (dedup_findings(raw)
                 .withColumn("pr_key", (F.col("review_id") / FILE_STRIDE).cast("long"))

@@ -98,12 +98,12 @@ def _attached(spark, sf):
     return req, prs, files, att
 
 
-def _pipeline(spark, sf):
+def _pipeline(spark, sf, materialize: bool = True):
     """The fixture inputs reviewed with the library's PR plan (default reviewers:
     without scanner reports or stored answers only the testing rules fire)."""
     req, prs, files, att = _attached(spark, sf)
     contents = ingest_contents(_contents(spark, sf)).select("repo", "path", "ref", "code")
-    out = review_prs(req, prs, files, contents)
+    out = review_prs(req, prs, files, contents, materialize=materialize)
     return req, prs, files, att, out.file_stats, out.findings, out
 
 
@@ -323,7 +323,7 @@ select pr_key, {_SQL_PR_SUMMARY} as summary from ro"""
 
 # --- W4 ----------------------------------------------------------------------
 def q_first20_comments(spark, sf):
-    _, _, _, _, _, findings, _ = _pipeline(spark, sf)
+    _, _, _, _, _, findings, _ = _pipeline(spark, sf, materialize=False)
     c = comment_rows(findings, 20)
     return c.select("pr_key", F.col("comment_ord").cast("bigint").alias("comment_ord"), "file_path", "line_number",
                     "severity", F.md5("body").alias("md5"))
@@ -363,7 +363,7 @@ where ok and post_review and n_findings > 0"""
 
 # --- S14 ---------------------------------------------------------------------
 def q_comment_payloads(spark, sf):
-    _, prs, _, _, _, findings, _ = _pipeline(spark, sf)
+    _, prs, _, _, _, findings, _ = _pipeline(spark, sf, materialize=False)
     p = comment_payloads(findings, prs.select("pr_key", "head_sha"))
     return p.select("pr_key", "file_path", "line_number", F.md5("payload").alias("md5"))
 
