@@ -103,3 +103,21 @@ def test_review_store_latest_wins_and_lookup(spark):
     assert sorted((r.review_id, r.overall_score) for r in read_reviews(spark, path).collect()) == [(1, 90.0), (2, 70.0)]
     assert [r.overall_score for r in get_review(spark, path, 2).collect()] == [70.0]
     assert get_review(spark, path, 3).count() == 0
+
+
+def test_ai_items_keep_bad_reports_validity(spark):
+    resp = spark.createDataFrame([(1, "a.py", '[{"message": "ok"}, {"line_number": 0, "message": "bad"}]'),
+                                  (2, "b.py", '[{"message": "fine"}]')],
+                                 "review_id long, file_path string, response string")
+    rows = sorted((r.review_id, r.item_ord, r.batch_ok, r.item_ok)
+                  for r in ai_findings(resp, "QualityAgent", 0, 9, keep_bad=True).collect())
+    assert rows == [(1, 1, False, True), (1, 2, False, False), (2, 1, True, True)]
+
+
+def test_comment_rows_with_ranked_findings(spark):
+    from revspark.sources.github import comment_rows
+    rows = [(7, f, r, "low", "style", f"m{f}{r}", "", None) for f in (2, 1) for r in range(1, 16)]
+    df = spark.createDataFrame(rows, "pr_key long, file_ord long, rank int, severity string, category string, "
+                                     "message string, suggestion string, rule_id string")
+    got = [(r.file_ord, r.rank) for r in comment_rows(df, 20).orderBy("comment_ord").collect()]
+    assert got == [(1, r) for r in range(1, 16)] + [(2, r) for r in range(1, 6)]
