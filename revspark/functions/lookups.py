@@ -1,9 +1,12 @@
 """Code-table lookups: rule code / tool label -> shared vocabulary.
 
-Every lookup is one CASE expression generated from an ordered list of pairs:
-JVM-side, inside whole-stage codegen, no join and no UDF.  The tables are
-FIXED VALUES (they must equal the behaviour being reproduced) and are written
-out plainly in their natural order.
+Every lookup is a native expression generated from an ordered list of pairs —
+a literal-map lookup for exact tables, one map lookup per key length for
+first-prefix tables, a CASE chain for short or non-string tables: JVM-side,
+inside whole-stage codegen, no join and no UDF, and the input is evaluated once
+so generated code stays small.  The tables are FIXED VALUES (they must equal
+the behaviour being reproduced) and are written out plainly in their natural
+order.
 """
 
 from __future__ import annotations
