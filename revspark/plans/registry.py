@@ -19,6 +19,9 @@ def load():
     queries, sql = {}, {}
     for m in MODULES:
         mod = importlib.import_module(m)
+        clash = (set(mod.Q) & set(queries)) | (set(mod.SQL) & set(sql))
+        if clash:
+            raise ValueError(f"query keys registered twice: {sorted(clash)}")
         queries.update(mod.Q)
         sql.update(mod.SQL)
     return queries, sql
