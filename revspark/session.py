@@ -60,6 +60,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            # a machine-local folder is not visible to other executors
+            raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared folder "
+                               "(distributed file system) before running revspark jobs")
         root = tempfile.mkdtemp(prefix="revspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     try:
