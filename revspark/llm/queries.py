@@ -5,20 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from revspark.llm.common import table
+from revspark.llm.decontaminate import contamination_report
 from revspark.llm.html_blocks import extract_text
 from revspark.llm.licenses import license_scan
 from revspark.llm.quality import quality_report
 from revspark.llm.secret_scan import secret_scan
+from revspark.llm.toxicity import toxicity
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -29,7 +39,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q = {
     "op2_license_scan": op2_license_scan,
+    "op3_decontamination": op3_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op8_secret_scan": op8_secret_scan,
     "op10_html_extraction": op10_html_extraction,
 }
