@@ -15,7 +15,7 @@ from revspark.llm.common import mix64, texts
 BITS = 20
 #: At most so many labelled rows are fitted on, those whose ids hash lowest.
 MAX_ROWS = 12_000
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 1.0, 0.5, 3
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 15.0, 0.05, 8
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 

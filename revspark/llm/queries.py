@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from revspark.llm.common import table
 from revspark.llm.decontaminate import contamination_report
 from revspark.llm.html_blocks import extract_text
+from revspark.llm.jaccard_join import jaccard_components
 from revspark.llm.licenses import license_scan
 from revspark.llm.quality import quality_report
 from revspark.llm.secret_scan import secret_scan
@@ -21,6 +22,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 Q = {
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op8_secret_scan": op8_secret_scan,
