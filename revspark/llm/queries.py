@@ -9,11 +9,17 @@ from revspark.llm.decontaminate import contamination_report
 from revspark.llm.html_blocks import extract_text
 from revspark.llm.jaccard_join import jaccard_components
 from revspark.llm.licenses import license_scan
+from revspark.llm.mixing import mixing_report
 from revspark.llm.quality import quality_report
 from revspark.llm.secret_scan import secret_scan
+from revspark.llm.suffix_dedup import dedup
 from revspark.llm.toxicity import toxicity
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -38,17 +44,23 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
 Q = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op8_secret_scan": op8_secret_scan,
+    "op9_source_mixing": op9_source_mixing,
     "op10_html_extraction": op10_html_extraction,
 }
 SQL: dict[str, str] = {}
