@@ -78,7 +78,8 @@ def part_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             first = np.searchsorted(part[order], np.arange(parts))
-            content = np.concatenate([np.cumsum(mix64(h[order] + _ODD[1])), [0]]).astype(np.uint64)
+            content = np.zeros(n + 1, dtype=np.uint64)  # the last one stands for "nothing before"
+            np.cumsum(mix64(h[order] + _ODD[1]), out=content[:-1])
             ends = np.append(first[1:], n)
             total = content[ends - 1] - np.where(first > 0, content[first - 1], np.uint64(0))
             empty = ends == first

