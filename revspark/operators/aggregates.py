@@ -35,13 +35,16 @@ def severity_counts(findings: DataFrame, keys=("review_id",)) -> DataFrame:
     return findings.groupBy(*keys).agg(*severity_count_aggs())
 
 
-def by_severity(findings: DataFrame, keys=("review_id",)) -> DataFrame:
+def by_severity(findings: DataFrame, keys=("review_id",), reviews: DataFrame | None = None) -> DataFrame:
     """A2: per group, all five severities present (zero when empty).
 
-    Counted once (A1) and unpivoted with ``stack``: no join against a spine.
+    Counted once (A1) and unpivoted with ``stack``.  With ``reviews`` (one row
+    per group or more) a review without findings has its five zeros too.
     """
     keys = list(keys)
     c = severity_counts(findings, keys)
+    if reviews is not None:
+        c = reviews.select(*keys).distinct().join(c, keys, "left").na.fill(0, ["n_findings", *COUNT_COLUMNS])
     stack = "stack(5, " + ", ".join(f"'{s}', n_{s}" for s in SEVERITIES) + ") as (severity, n)"
     return c.select(*keys, F.expr(stack))
 
@@ -57,7 +60,7 @@ def agent_summary_text(n_critical, n_high, n_medium, n_low) -> Column:
 
 
 def agent_summaries(findings: DataFrame, reviews: DataFrame, agents=None,
-                    key: str = "review_id") -> DataFrame:
+                    key: str | list = "review_id") -> DataFrame:
     """A4 + J5: one summary per (review, agent) for every registered agent and
     every agent that reported something.
 
@@ -70,11 +73,12 @@ def agent_summaries(findings: DataFrame, reviews: DataFrame, agents=None,
     # exploded per review (a generator, no join)
     reg = F.array(*[F.struct(F.lit(n).alias("agent_name"), F.lit(i).alias("agent_ord"))
                     for i, n in enumerate(names)])
-    spine = reviews.select(key).distinct().select(key, F.inline(reg)).drop("agent_ord")
-    counts = findings.groupBy(key, "agent_name").agg(*severity_count_aggs())
-    j = spine.join(counts, [key, "agent_name"], "full_outer")
+    keys = [key] if isinstance(key, str) else list(key)
+    spine = reviews.select(*keys).distinct().select(*keys, F.inline(reg)).drop("agent_ord")
+    counts = findings.groupBy(*keys, "agent_name").agg(*severity_count_aggs())
+    j = spine.join(counts, [*keys, "agent_name"], "full_outer")
     return j.select(
-        key, "agent_name",
+        *keys, "agent_name",
         F.coalesce(F.col("n_findings"), F.lit(0)).alias("n_findings"),
         agent_summary_text(*[F.coalesce(F.col(c), F.lit(0)) for c in COUNT_COLUMNS[:4]]).alias("summary"))
 

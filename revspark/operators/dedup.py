@@ -7,6 +7,9 @@ row order.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +69,7 @@ def row_number_by_range(df: DataFrame, partition: list, order: list, name: str =
     """``row_number() over (partition by … order by …)`` without sending a group
     to one task.  ``partition + order`` must identify a row.
 
-    1. range-partition and sort on the full key: a hot group spans several
+    1. range-partition and sort the keys alone: a hot group spans several
        range partitions (boundaries come from sampling);
     2. number the rows of each range partition in order (monotonic id = task
        index in the high bits, row position in the low bits) and materialise
@@ -76,23 +79,26 @@ def row_number_by_range(df: DataFrame, partition: list, order: list, name: str =
        one row per task and group;
     4. the offset of a group inside a task = rows of the same group in earlier
        tasks (a running sum over at most #tasks rows per group);
-    5. join the offsets back (AQE broadcasts them when they are small).
+    5. join the offsets to the keys, and the numbers to the rows.
     """
     from revspark.session import checkpoint_root
     spark = df.sparkSession
     checkpoint_root(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*partition, *order]
-    s = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    s = (df.select(*keys).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
          .withColumn("_rid", F.monotonically_increasing_id())
          .withColumn("_task", F.shiftright(F.col("_rid"), 33))
          .checkpoint(eager=True))
     g = s.groupBy("_task", *partition).agg(F.min("_rid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*partition).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (s.join(g, ["_task", *partition])
-            .withColumn(name, (F.col("_rid") - F.col("_first") + F.col("_off") + 1).cast("int"))
-            .drop("_rid", "_task", "_first", "_off"))
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"g.{c}")) for c in ["_task", *partition]]
+    number = (F.col("_rid") - F.col("_first") + F.col("_off") + 1).cast("int")
+    numbers = s.alias("s").join(g.alias("g"), reduce(and_, same)).select(
+        *[F.col(f"s.{c}").alias(f"_k{i}") for i, c in enumerate(keys)], number.alias(name))
+    match = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return df.join(numbers, reduce(and_, match)).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def severity_line(df: DataFrame) -> Column:

@@ -16,22 +16,23 @@ def enrich(findings: DataFrame, responses: DataFrame, fallback: str | None,
     """J1 (fallback None: keep own suggestion) / J2 (fallback text).
 
     ``findings`` carry ``prompt_key`` (the key of the prompt asked for that
-    finding); ``responses(prompt_key, response, error)``: one row per key.  If
-    any response of a (file, agent) batch is an error, the whole batch keeps its
+    finding); ``responses(prompt_key, response, error[, ts])``: of several rows
+    of a key the newest counts (without ``ts`` the greatest answer).  If any response of a (file, agent) batch is an error, the whole batch keeps its
     own suggestions.
     """
     if key not in findings.columns:
         raise ValueError("findings need a prompt_key column (see prompts.finding_prompts)")
-    r = responses.select(key, F.col("response").alias("_resp"),
-                         F.coalesce(F.col("error"), F.lit(False)).alias("_err"))
+    answer = F.struct(*([F.col("ts")] if "ts" in responses.columns else []), F.col("response").alias("_resp"),
+                      F.coalesce(F.col("error"), F.lit(False)).alias("_err"))
+    r = responses.groupBy(key).agg(F.max(answer).alias("_a")).select(key, "_a._resp", "_a._err")
     j = findings.join(r, key, "left")
-    # batches with an error response: one partial-aggregated flag per batch
-    # (a huge batch costs one row per map task), joined back
+    # batches with an error response, from the (few) errors alone
     batch = ["review_id", "file_path", "agent_name"]
-    bad = j.groupBy(*batch).agg(F.bool_or(F.coalesce(F.col("_err"), F.lit(False))).alias("_bad"))
+    bad = (findings.select(key, *batch).join(r.where("_err").select(key), key, "left_semi")
+           .select(*batch).distinct().withColumn("_bad", F.lit(True)))
     resp = F.when(F.length("_resp") > 0, F.col("_resp"))
     new = F.coalesce(resp, F.col("suggestion")) if fallback is None else F.coalesce(resp, F.lit(fallback))
-    return (j.join(bad, batch).withColumn("suggestion", F.when(F.col("_bad"), F.col("suggestion")).otherwise(new))
+    return (j.join(bad, batch, "left").withColumn("suggestion", F.when(F.col("_bad"), F.col("suggestion")).otherwise(new))
             .drop("_resp", "_err", "_bad"))
 
 
@@ -61,7 +62,7 @@ def with_context(findings: DataFrame, files: DataFrame, k: int = 3, style: str =
     split of the text, then joined back to the findings on (file, line).  The
     text is never copied per finding.
     """
-    need = (findings.select(*FILE_KEY, "line_number").distinct()
+    need = (findings.filter(F.col("line_number") >= 1).select(*FILE_KEY, "line_number").distinct()
             .groupBy(*FILE_KEY).agg(F.collect_list("line_number").alias("_lines")))
     blocks = (files.select(*FILE_KEY, "code").join(need, FILE_KEY)
               .select(*FILE_KEY, splitlines(F.col("code")).alias("_text"), "_lines")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revspark.functions import lookups as L
 from revspark.schemas import AI_DEFAULTS, CATEGORIES, FINDING_COLUMNS, SEVERITIES
@@ -32,13 +33,14 @@ def to_findings(df: DataFrame, agent_name: str | None = None, agent_ord: int | N
     Severity and category are matched lower-cased against the vocabularies
     (unknown -> ``medium`` / ``other``); ``end_line_number`` below the start
     line is raised to it; ``severity_rank`` is derived; the result has exactly
-    the canonical column order.
+    the canonical column order.  ``review_id`` is a long, or stays a string.
     """
     line = F.col("line_number").cast("int")
     end = _col_or(df, "end_line_number", F.lit(None).cast("int")).cast("int")
     sev = coerce_severity(F.col("severity"))
     out = df.select(
-        F.col("review_id").cast("long").alias("review_id"),
+        (F.col("review_id") if isinstance(df.schema["review_id"].dataType, T.StringType)
+         else F.col("review_id").cast("long")).alias("review_id"),
         F.col("file_path"),
         (F.lit(agent_ord) if agent_ord is not None else F.col("agent_ord")).cast("int").alias("agent_ord"),
         (F.lit(source_ord) if source_ord is not None else _col_or(df, "source_ord", 0)).cast("int")
@@ -57,7 +59,8 @@ def to_findings(df: DataFrame, agent_name: str | None = None, agent_ord: int | N
         _col_or(df, "rule_id", F.lit(None).cast("string")).cast("string").alias("rule_id"),
         _col_or(df, "code_snippet", F.lit(None).cast("string")).cast("string").alias("code_snippet"),
         _col_or(df, "owasp_category", F.lit(None).cast("string")).cast("string").alias("owasp_category"),
-        F.col("confidence").cast("decimal(3,2)").alias("confidence"),
+        # out of the type's range: NULL, which validation rejects, instead of an aborted job
+        F.col("confidence").try_cast("decimal(3,2)").alias("confidence"),
     )
     return out.select(*FINDING_COLUMNS)
 
@@ -199,6 +202,10 @@ def ai_findings(responses: DataFrame, agent: str | None, agent_ord: int | None,
     no shuffle: one bad item drops every item of that call.  With ``agent=None``
     the reviewer comes from each row's ``agent_name`` (defaults per row,
     ``agent_ords`` maps names to reviewer order) — one pass for all reviewers.
+
+    A call's answer may come in several rows with a ``part`` number: ordinals
+    then run on through the parts and one bad item drops the items of all of
+    them (one window over the call's parts; without ``part`` there is no shuffle).
     """
     from revspark.functions.text import let
     from revspark.schemas import DEFAULT_AGENTS
@@ -221,8 +228,18 @@ def ai_findings(responses: DataFrame, agent: str | None, agent_ord: int | None,
     # generator emits nothing for it (no Filter to push below the parse).  The
     # item fields are extracted inside the generator, so later projections
     # read plain columns instead of re-extracting them from the VARIANT.
-    y = (responses.select(*keys, let(items, pack).alias("_p"))
-         .select(*keys, F.col("_p.ok").alias("batch_ok"), F.inline(F.transform("_p.items", row))))
+    parted = "part" in responses.columns
+    y = responses.select(*keys, *(["part"] if parted else []), let(items, pack).alias("_p"))
+    ok, before = F.col("_p.ok"), F.lit(0).cast("long")
+    if parted:
+        call = Window.partitionBy(*keys)
+        ok = F.bool_and("_p.ok").over(call)
+        before = F.coalesce(F.sum(F.greatest(F.size("_p.items"), F.lit(0))).over(
+            call.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    y = (y.select(*keys, "_p", ok.alias("batch_ok"), before.alias("_before"))
+         .select(*keys, "batch_ok", "_before", F.inline(F.transform(
+             F.when(F.col("batch_ok") | F.lit(keep_bad), F.col("_p.items")), row)))
+         .withColumn("item_ord", F.col("item_ord") + F.col("_before")).drop("_before"))
     if keep_bad:
         return y
     y = y.drop("batch_ok", "item_ok")

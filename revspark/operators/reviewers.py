@@ -13,7 +13,10 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revspark.functions.text import splitlines
 from revspark.operators.normalize import (ai_findings, quality_findings, security_findings, to_findings)
@@ -97,27 +100,24 @@ def rule_scan(files: DataFrame, rules) -> DataFrame:
 
     ``rules`` = [(rule_id, regex, category, severity, owasp, confidence)].  The
     rule table is a handful of literals, so it is compiled into the projection
-    (one ``rlike`` per rule) instead of being joined.  A whole-text pre-check
-    with the unanchored patterns skips files that cannot match before any line
-    is split; only matching lines leave the map stage.
+    (one ``rlike`` per rule) instead of being joined; only matching lines leave
+    the map stage.  ``item_ord`` orders hits by line, then rule.
     """
-    pre = "|".join(f"(?:{r[1][1:] if r[1].startswith('^') else r[1]})" for r in rules)
-    cand = files.filter(F.col("code").rlike(pre)).select(
-        *FILE_KEY, F.posexplode(splitlines(F.col("code"))).alias("_pos", "line"))
+    cand = files.select(*FILE_KEY, F.posexplode(splitlines(F.col("code"))).alias("_pos", "line"))
     hits = F.array(*[F.when(F.col("line").rlike(rx), F.struct(
         F.lit(i).alias("rule_ord"), F.lit(rid).alias("rule_id"), F.lit(cat).alias("category"),
         F.lit(sev).alias("severity"), F.lit(owasp).alias("owasp_category"), F.lit(conf).alias("confidence")))
         for i, (rid, rx, cat, sev, owasp, conf) in enumerate(rules)])
     x = cand.select(*FILE_KEY, (F.col("_pos") + 1).alias("line_number"), "line",
                     F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h"))
-    return x.select(*FILE_KEY, "line_number", F.col("h.*"), F.col("line").alias("code_snippet"))
+    item = F.col("line_number").cast("long") * len(rules) + F.col("h.rule_ord")
+    return x.select(*FILE_KEY, "line_number", item.alias("item_ord"), F.col("h.*"), F.col("line").alias("code_snippet"))
 
 
 def scan_findings(scan: DataFrame, agent_ord: int = 1, source_ord: int = 1) -> DataFrame:
     """Rule-scan rows -> SecurityAgent findings (after bandit rows in order)."""
     return to_findings(scan.select(
-        *FILE_KEY, (F.col("line_number").cast("long") * 100 + F.col("rule_ord")).alias("item_ord"),
-        "line_number", "severity", "category",
+        *FILE_KEY, "item_ord", "line_number", "severity", "category",
         F.concat(F.lit("Rule "), F.col("rule_id"), F.lit(" matched")).alias("message"),
         F.lit("").alias("suggestion"), "rule_id", "code_snippet", "owasp_category", "confidence"),
         "SecurityAgent", agent_ord, source_ord)
@@ -233,7 +233,9 @@ def testing_reviewer(inputs: ReviewInputs, agent_ord: int = 2) -> DataFrame:
 
 def empty_findings(like: DataFrame) -> DataFrame:
     from revspark.schemas import FINDINGS
-    return like.sparkSession.createDataFrame([], FINDINGS)
+    none = like.sparkSession.createDataFrame([], FINDINGS)
+    return none.withColumn("review_id", F.col("review_id").cast(like.schema["review_id"].dataType)) \
+        if isinstance(like.schema["review_id"].dataType, T.StringType) else none
 
 
 # ---------------------------------------------------------------------------
@@ -287,6 +289,8 @@ def run_reviewers(inputs: ReviewInputs, reviewers: ReviewerSet | None = None):
 
     Returns ``(findings, failures)`` where failures lists reviewers whose plan
     could not be built (they contribute no rows; the review still completes).
+    Building a plan runs no Spark job; what Spark itself raises, other than a
+    plan that does not resolve, is no reviewer's failure and is raised again.
     """
     reviewers = reviewers or ReviewerSet()
     out, failures = None, []
@@ -295,6 +299,8 @@ def run_reviewers(inputs: ReviewInputs, reviewers: ReviewerSet | None = None):
             df = r.fn(inputs, i)
             df = _conform(df, r.name, i)
         except Exception as e:  # noqa: BLE001 - isolation is the point
+            if isinstance(e, (PySparkException, Py4JError)) and not isinstance(e, AnalysisException):
+                raise
             failures.append((r.name, f"{type(e).__name__}: {e}"))
             continue
         out = df if out is None else out.unionByName(df)
@@ -309,5 +315,6 @@ def _conform(df: DataFrame, name: str, agent_ord: int) -> DataFrame:
     if list(df.columns) == FINDING_COLUMNS:
         return df
     if "item_ord" not in df.columns:
-        df = df.withColumn("item_ord", F.monotonically_increasing_id())
+        # an order that follows from the rows, the same in every run
+        df = df.withColumn("item_ord", F.xxhash64("line_number", "severity", "category", "message", "confidence"))
     return to_findings(df.withColumn("agent_name", F.lit(name)), agent_ord=agent_ord)

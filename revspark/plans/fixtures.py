@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revspark.session import table_path
+from revspark.session import ship_package, table_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # timestamps in the tables are wall-clock UTC (TIMESTAMP_NTZ); casts and
     # windows over them are defined in UTC
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark.read.parquet(table_path(sf_dir, name))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revspark.functions.text import PR_NOT_FOUND, fill, pr_summary, splitlines, where_computed
@@ -30,8 +30,10 @@ def attach_contents(pr_files: DataFrame, prs: DataFrame, contents: DataFrame) ->
     """
     f = eligible_files(pr_files).join(prs.select("pr_key", "repo", "head_sha"), "pr_key")
     c = contents.select("repo", F.col("path").alias("filename"), F.col("ref").alias("head_sha"), "code")
-    return where_computed(f.join(c, ["repo", "filename", "head_sha"]),
-                          F.col("code").isNotNull() & (F.length("code") > 0))
+    key = ["repo", "filename", "head_sha"]
+    # empty texts stay out of the shuffle; a text stored more than once counts once
+    c = where_computed(c, F.col("code").isNotNull() & (F.length("code") > 0)).groupBy(*key).agg(F.max("code").alias("code"))
+    return f.join(c, key)
 
 
 def pr_rollup(requests: DataFrame, prs: DataFrame, reviewed_files: DataFrame,
@@ -73,7 +75,15 @@ def file_line_counts(files: DataFrame) -> DataFrame:
     return files.select("pr_key", "file_ord", F.size(splitlines(F.col("code"))).alias("total_lines"))
 
 
-FILE_STRIDE = 1_000_000  # per-file review id = pr_key * FILE_STRIDE + file_ord (file_ord < 1e6)
+def file_key() -> Column:
+    """The review id of one file of a PR: ``pr_key/file_ord`` as text, exact for keys and lists of any size."""
+    return F.concat_ws("/", F.col("pr_key").cast("string"), F.col("file_ord").cast("string"))
+
+
+def from_file_key(df: DataFrame) -> DataFrame:
+    """``pr_key`` and ``file_ord`` of rows keyed by :func:`file_key`."""
+    part = F.split("review_id", "/")
+    return df.withColumn("pr_key", part[0].cast("long")).withColumn("file_ord", part[1].cast("long"))
 
 
 @dataclass
@@ -104,16 +114,12 @@ def review_prs(requests: DataFrame, prs: DataFrame, pr_files: DataFrame, content
     from revspark.sources.github import review_payloads
 
     att = attach_contents(pr_files, prs, contents)
-    files = att.select((F.col("pr_key") * FILE_STRIDE + F.col("file_ord")).alias("review_id"),
-                       F.col("filename").alias("file_path"), "code")
+    files = att.select(file_key().alias("review_id"), F.col("filename").alias("file_path"), "code")
     el = extract_elements(files, checkpoint=materialize)
     raw, failures = run_reviewers(ReviewInputs(files=files, elements=el, scan_rules=scan_rules), reviewers)
-    findings = (dedup_findings(raw)
-                .withColumn("pr_key", (F.col("review_id") / FILE_STRIDE).cast("long"))
-                .withColumn("file_ord", (F.col("review_id") % FILE_STRIDE).cast("long")))
-    stats = el.filter(F.col("kind") == "file").select(
-        (F.col("review_id") / FILE_STRIDE).cast("long").alias("pr_key"),
-        (F.col("review_id") % FILE_STRIDE).cast("long").alias("file_ord"), F.col("n_lines").alias("total_lines"))
+    findings = from_file_key(dedup_findings(raw))
+    stats = from_file_key(el.filter(F.col("kind") == "file")).select(
+        "pr_key", "file_ord", F.col("n_lines").alias("total_lines"))
     rollup = pr_rollup(requests, prs, stats, findings)
     payloads = review_payloads(prs.select("pr_key", "head_sha", "post_review"), findings,
                                rollup.select("pr_key", "summary"), limit)

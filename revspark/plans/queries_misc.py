@@ -74,15 +74,19 @@ def _v5_stream(spark, sf):
 
 
 def q_stream_ttl_dedup(spark, sf):
-    d = ttl_dedup(_v5_stream(spark, sf), "prompt_key", "ts", "1 hour")
-    out = run_available_now(d.select("prompt_key", "submission_id", "ts"), "stream-ttl")
-    return spark.read.parquet(out).select("prompt_key")
+    out = run_available_now(ttl_dedup(_v5_stream(spark, sf)), "stream-ttl")
+    return spark.read.parquet(out).select("submission_id", "prompt_key", F.col("ts").cast("string").alias("ts"))
 
 
 Q["stream_ttl_dedup"] = q_stream_ttl_dedup
-# one micro-batch over the whole table: every key is new, so one row per key
-SQL["stream_ttl_dedup"] = ("select distinct cast(user_id as varchar) || '/' || event_type as prompt_key "
-                           "from events")
+SQL["stream_ttl_dedup"] = """with recursive e as (
+  select event_id, cast(user_id as varchar) || '/' || event_type as k, cast(ts as timestamp) as ts from events),
+p(k, ts) as (
+  select k, min(ts) from e group by k
+  union all
+  select p.k, min(e.ts) from p join e on e.k = p.k and e.ts >= p.ts + interval 1 hour group by p.k)
+select min(event_id) as submission_id, e.k as prompt_key, cast(e.ts as varchar) as ts
+from e join p on p.k = e.k and p.ts = e.ts group by e.k, e.ts"""
 
 
 # --- ST3 ---------------------------------------------------------------------

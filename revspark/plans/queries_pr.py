@@ -58,7 +58,7 @@ def _pr_json(spark, sf):
     return r.select("pr_key", "pr_number", js.alias("json"))
 
 
-def _files_json(spark, sf, part_size: int = 1000):
+def _files_json(spark, sf, part_size: int = 3):
     v = v4_pr_files(spark, sf).withColumn("part", ((F.col("file_ord") - 1) / part_size).cast("long"))
     item = F.struct(F.col("file_ord").alias("_o"), F.col("filename").alias("filename"),
                     F.col("status").alias("status"), F.col("additions").alias("additions"),
@@ -209,7 +209,7 @@ from c"""
 
 
 # --- S10 ---------------------------------------------------------------------
-def _comments_json(spark, sf, part_size: int = 100):
+def _comments_json(spark, sf, part_size: int = 3):
     v = v4_pr_files(spark, sf).withColumn("part", ((F.col("file_ord") - 1) / part_size).cast("long"))
     item = F.struct(F.col("file_ord").alias("_o"), (F.col("pr_key") * 100 + F.col("file_ord")).alias("id"),
                     F.col("filename").alias("path"), F.col("additions").alias("line"),

@@ -1,6 +1,6 @@
 """Review lifecycle as one lazy plan (the file and corpus review, A8/A9).
 
-files -> reviewers (U1/U2) -> keep-best dedup (W1) -> rank (W2)
+files -> reviewers (U1/U2) -> validation (F5) -> keep-best dedup (W1)
       -> per-file rollup (A1, A5, A8, T7) + agent summaries (A4/J5)
 
 ``review_files`` returns a :class:`ReviewOutput` with the findings table and
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from revspark.operators import aggregates as A
 from revspark.operators.dedup import dedup_findings, rank_findings, top_findings
+from revspark.operators.normalize import validate_findings
 from revspark.operators.reviewers import ReviewerSet, ReviewInputs, run_reviewers
 from revspark.schemas import FINDING_COLUMNS
 
@@ -24,10 +25,15 @@ FILE_KEY = ["review_id", "file_path"]
 
 @dataclass
 class ReviewOutput:
-    findings: DataFrame          # de-duplicated, ranked findings
+    findings: DataFrame          # valid, de-duplicated findings
     file_reviews: DataFrame      # one row per file (A8)
     reviews: DataFrame           # file_reviews + agent_summaries map
     failures: list               # reviewers that contributed nothing (U2)
+    rejects: DataFrame           # findings that break a rule, with the reason (F5)
+
+    def ranked(self) -> DataFrame:
+        """The findings with their rank in the file (W2); the rollups do not need it."""
+        return rank_findings(self.findings)
 
 
 def review_files(inputs: ReviewInputs, reviewers: ReviewerSet | None = None,
@@ -41,7 +47,8 @@ def review_files(inputs: ReviewInputs, reviewers: ReviewerSet | None = None,
     """
     reviewers = reviewers or ReviewerSet()
     raw, failures = run_reviewers(inputs, reviewers)
-    findings = rank_findings(dedup_findings(raw.select(*FINDING_COLUMNS)))
+    valid, rejects = validate_findings(raw.select(*FINDING_COLUMNS))
+    findings = dedup_findings(valid)
     if persist:
         from revspark.session import checkpoint_root
         checkpoint_root(findings.sparkSession)
@@ -50,11 +57,11 @@ def review_files(inputs: ReviewInputs, reviewers: ReviewerSet | None = None,
     if "total_lines" not in files.columns:
         files = files.join(A.line_metrics(files).select(*FILE_KEY, "total_lines"), FILE_KEY)
     fr = A.file_reviews(files.select(*FILE_KEY, "total_lines"), findings, ai_summaries=ai_summaries)
-    summ = A.agent_summaries(findings, fr.select("review_id"), reviewers.names())
-    amap = (summ.groupBy("review_id")
+    summ = A.agent_summaries(findings, fr.select(*FILE_KEY), reviewers.names(), FILE_KEY)
+    amap = (summ.groupBy(*FILE_KEY)
             .agg(F.map_from_entries(F.collect_list(F.struct("agent_name", "summary"))).alias("agent_summaries")))
-    reviews = fr.join(amap, "review_id", "left")
-    return ReviewOutput(findings, fr, reviews, failures)
+    reviews = fr.join(amap, FILE_KEY, "left")
+    return ReviewOutput(findings, fr, reviews, failures, rejects)
 
 
 def review_summary_prompts(findings: DataFrame, file_reviews: DataFrame, order_cols=None) -> DataFrame:

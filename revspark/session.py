@@ -9,8 +9,11 @@ one Python-worker job (a single source file may be close to 1 MB).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -42,9 +45,25 @@ def get_spark(master: str | None = None, app: str = "revspark",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context: workers started elsewhere can then import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_revspark_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    if home.suffix != ".zip" and home.is_dir():
+        target = Path(tempfile.mkdtemp(prefix="revspark-pkg-")) / "revspark.zip"  # Spark serves it from the driver
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, Path("revspark") / f.relative_to(home))
+        sc.addPyFile(str(target))
+    sc._revspark_shipped = True
+
+
 def ensure_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
@@ -61,12 +80,11 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", master):
             # a machine-local folder is not visible to other executors
             raise RuntimeError("spark.checkpoint.dir is not set: point it at a shared folder "
                                "(distributed file system) before running revspark jobs")
         root = tempfile.mkdtemp(prefix="revspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
     try:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(root)

@@ -52,6 +52,19 @@ def _s(c: Column, default: str = "") -> Column:
     return F.coalesce(c, F.lit(default))
 
 
+def with_part_offset(df: DataFrame, *keys: str) -> DataFrame:
+    """Add ``_before``: how many array items the earlier parts of the same list hold.
+
+    A list may arrive in several rows with a ``part`` number (pages of a long
+    list); without that column every row is a whole list.
+    """
+    if "part" not in df.columns:
+        return df.withColumn("_before", F.lit(0).cast("long"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("_before", F.coalesce(F.sum(F.coalesce(F.json_array_length("json"), F.lit(0))).over(earlier),
+                                               F.lit(0)).cast("long"))
+
+
 def ingest_prs(pr_json: DataFrame, files_json: DataFrame):
     """``pr_json(pr_key, pr_number, json)`` + ``files_json(pr_key, json)`` -> (prs, pr_files).
 
@@ -74,10 +87,9 @@ def ingest_prs(pr_json: DataFrame, files_json: DataFrame):
                    _s(F.col("p.diff_url")).alias("diff_url"),
                    _s(F.col("p.html_url")).alias("html_url")))
     f = F.when(F.regexp_like(F.col("json"), F.lit(r"^\s*\[")), F.from_json("json", PR_FILES_SCHEMA))
-    part = F.col("part").cast("long") if "part" in files_json.columns else F.lit(0).cast("long")
-    files = (files_json.select("pr_key", part.alias("_part"), F.posexplode(f).alias("_pos", "x"))
+    files = (with_part_offset(files_json, "pr_key").select("pr_key", "_before", F.posexplode(f).alias("_pos", "x"))
              .select("pr_key",
-                     (F.col("_part") * 1_000_000 + F.col("_pos") + 1).alias("file_ord"),
+                     (F.col("_before") + F.col("_pos") + 1).alias("file_ord"),
                      _s(F.col("x.filename")).alias("filename"),
                      _s(F.col("x.status"), "modified").alias("status"),
                      F.coalesce(F.col("x.additions"), F.lit(0)).alias("additions"),
@@ -117,10 +129,10 @@ def ingest_contents(df: DataFrame) -> DataFrame:
 
 
 def ingest_pr_comments(df: DataFrame) -> DataFrame:
-    """``(pr_key, json)`` where json is a comment array; non-array -> no rows."""
+    """``(pr_key, json[, part])`` where json is a comment array; non-array -> no rows."""
     c = F.when(F.regexp_like(F.col("json"), F.lit(r"^\s*\[")), F.from_json("json", COMMENTS_SCHEMA))
-    return (df.select("pr_key", F.posexplode(c).alias("_pos", "x"))
-            .select("pr_key", (F.col("_pos") + 1).cast("long").alias("comment_ord"),
+    return (with_part_offset(df, "pr_key").select("pr_key", "_before", F.posexplode(c).alias("_pos", "x"))
+            .select("pr_key", (F.col("_before") + F.col("_pos") + 1).alias("comment_ord"),
                     F.col("x.id").alias("comment_id"), F.col("x.path").alias("path"),
                     F.col("x.line").alias("line"), F.col("x.body").alias("body"),
                     F.col("x.user.login").alias("user"), F.col("x.created_at").alias("created_at")))

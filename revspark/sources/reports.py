@@ -12,13 +12,14 @@ report is listed by :func:`report_rejects`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revspark.functions.lookups import pylint_severity, ruff_severity
 
-_POS = T.StructType([T.StructField("row", T.IntegerType()), T.StructField("column", T.IntegerType())])
+# whole numbers are read as text: some tools send them as strings
+_POS = T.StructType([T.StructField("row", T.StringType()), T.StructField("column", T.StringType())])
 
 RUFF_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("code", T.StringType()),
@@ -31,8 +32,8 @@ RUFF_SCHEMA = T.ArrayType(T.StructType([
 PYLINT_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("message-id", T.StringType()),
     T.StructField("message", T.StringType()),
-    T.StructField("line", T.IntegerType()),
-    T.StructField("column", T.IntegerType()),
+    T.StructField("line", T.StringType()),
+    T.StructField("column", T.StringType()),
     T.StructField("type", T.StringType()),
     T.StructField("symbol", T.StringType()),
 ]))
@@ -41,7 +42,7 @@ BANDIT_SCHEMA = T.StructType([T.StructField("results", T.ArrayType(T.StructType(
     T.StructField("test_id", T.StringType()),
     T.StructField("test_name", T.StringType()),
     T.StructField("issue_text", T.StringType()),
-    T.StructField("line_number", T.IntegerType()),
+    T.StructField("line_number", T.StringType()),
     T.StructField("issue_severity", T.StringType()),
     T.StructField("issue_confidence", T.StringType()),
     T.StructField("line_range", T.ArrayType(T.IntegerType())),
@@ -54,9 +55,6 @@ RAW_COLUMNS = ["review_id", "file_path", "tool", "item_ord", "rule_code", "messa
                "line_number", "column", "end_line_number", "tool_severity", "tool_confidence",
                "suggestion", "code_snippet", "symbol", "test_name", "line_range", "cwe_id"]
 
-PART_STRIDE = 1_000_000  # item_ord = part * PART_STRIDE + position inside the part
-
-
 def _is_array_text(c: Column) -> Column:
     return F.regexp_like(c, F.lit(r"^[\s]*\["))
 
@@ -65,14 +63,23 @@ def _is_object_text(c: Column) -> Column:
     return F.regexp_like(c, F.lit(r"^[\s]*\{"))
 
 
-def _part(df: DataFrame) -> Column:
-    return F.col("part").cast("long") if "part" in df.columns else F.lit(0).cast("long")
+def _explode(df: DataFrame, parsed: Column) -> DataFrame:
+    """One row per reported item; ``item_ord`` runs on through the parts of a report."""
+    before = F.lit(0)
+    if "part" in df.columns:
+        n = F.when(_is_array_text(F.col("report")), F.json_array_length("report")).otherwise(
+            F.json_array_length(F.get_json_object("report", "$.results")))
+        earlier = (Window.partitionBy("review_id", "file_path", "tool").orderBy("part")
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        before = F.coalesce(F.sum(F.coalesce(n, F.lit(0))).over(earlier), F.lit(0))
+    return (df.withColumn("_before", before.cast("long"))
+            .select("review_id", "file_path", "tool", "_before", F.posexplode(parsed).alias("_pos", "it"))
+            .withColumn("item_ord", F.col("_before") + F.col("_pos") + 1))
 
 
-def _explode(df: DataFrame, parsed: Column) -> DataFrame:
-    return (df.select("review_id", "file_path", "tool", _part(df).alias("_part"),
-                      F.posexplode(parsed).alias("_pos", "it"))
-            .withColumn("item_ord", F.col("_part") * PART_STRIDE + F.col("_pos") + 1))
+def _int(c: Column) -> Column:
+    """A JSON number, or a number sent as a string."""
+    return c.try_cast("int")
 
 
 def _s(c: Column) -> Column:
@@ -88,9 +95,9 @@ def ingest_ruff(reports: DataFrame) -> DataFrame:
         "review_id", "file_path", "tool", "item_ord",
         _s(F.col("it.code")).alias("rule_code"),
         _s(F.col("it.message")).alias("message"),
-        F.coalesce(F.col("it.location.row"), F.lit(1)).alias("line_number"),
-        F.coalesce(F.col("it.location.column"), F.lit(0)).alias("column"),
-        F.col("it.end_location.row").alias("end_line_number"),
+        F.coalesce(_int(F.col("it.location.row")), F.lit(1)).alias("line_number"),
+        F.coalesce(_int(F.col("it.location.column")), F.lit(0)).alias("column"),
+        _int(F.col("it.end_location.row")).alias("end_line_number"),
         ruff_severity(F.col("it.code")).alias("tool_severity"),
         F.lit(None).cast("string").alias("tool_confidence"),
         _s(F.col("it.fix.message")).alias("suggestion"),
@@ -111,8 +118,8 @@ def ingest_pylint(reports: DataFrame) -> DataFrame:
         "review_id", "file_path", "tool", "item_ord",
         _s(F.col("it.`message-id`")).alias("rule_code"),
         _s(F.col("it.message")).alias("message"),
-        F.coalesce(F.col("it.line"), F.lit(1)).alias("line_number"),
-        F.coalesce(F.col("it.column"), F.lit(0)).alias("column"),
+        F.coalesce(_int(F.col("it.line")), F.lit(1)).alias("line_number"),
+        F.coalesce(_int(F.col("it.column")), F.lit(0)).alias("column"),
         F.lit(None).cast("int").alias("end_line_number"),
         pylint_severity(F.col("it.type")).alias("tool_severity"),
         F.lit(None).cast("string").alias("tool_confidence"),
@@ -135,7 +142,7 @@ def ingest_bandit(reports: DataFrame) -> DataFrame:
         "review_id", "file_path", "tool", "item_ord",
         _s(F.col("it.test_id")).alias("rule_code"),
         _s(F.col("it.issue_text")).alias("message"),
-        F.coalesce(F.col("it.line_number"), F.lit(1)).alias("line_number"),
+        F.coalesce(_int(F.col("it.line_number")), F.lit(1)).alias("line_number"),
         F.lit(None).cast("int").alias("column"),
         F.lit(None).cast("int").alias("end_line_number"),
         F.coalesce(F.col("it.issue_severity"), F.lit("MEDIUM")).alias("tool_severity"),

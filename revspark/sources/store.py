@@ -1,8 +1,10 @@
 """Review store — append-only parquet, latest write wins on read.
 
-Writes append one row per (review_id, write) partitioned by write date; a read
-keeps, per ``review_id``, the row with the greatest ``(ts, write_id)``.  The
-lookup by id is a plain filter, pushed down to the parquet scan.
+Writes append one row per (review_id, file, write) partitioned by write date; a
+read keeps, per ``review_id`` and file, the row with the greatest ``(ts,
+write_id)``.  The findings of a write go to a table beside it and are read for
+the latest writes only.  The lookup by id is a plain filter, pushed down to the
+parquet scan.
 """
 
 from __future__ import annotations
@@ -23,16 +25,36 @@ def write_reviews(df: DataFrame, path: str, write_id: int | None = None) -> None
     out.sortWithinPartitions("ts_date", "review_id").write.mode("append").partitionBy("ts_date").parquet(path)
 
 
+def findings_path(path: str) -> str:
+    return path.rstrip("/") + "-findings"
+
+
+def store_review(reviews: DataFrame, findings: DataFrame, path: str, write_id: int | None = None) -> None:
+    """Write the rows of one review run: the findings first, so that no stored review lacks them.
+
+    ``reviews`` needs ``review_id, file_path, ts``; a finding takes the ``ts`` of its file's row.
+    """
+    ts = reviews.select("review_id", "file_path", "ts")
+    write_reviews(findings.join(ts, ["review_id", "file_path"]), findings_path(path), write_id)
+    write_reviews(reviews, path, write_id)
+
+
+def review_keys(df: DataFrame) -> list[str]:
+    """What identifies a stored row: the review, and the file where rows are by file."""
+    return [c for c in ("review_id", "file_path") if c in df.columns]
+
+
 def latest_reviews(df: DataFrame) -> DataFrame:
-    """Latest row per ``review_id``.
+    """Latest row per review and file.
 
     ``max_by`` over a struct aggregates map-side first (partial aggregation),
     so a review written a very large number of times still ships one row per
     map task rather than every version.
     """
-    other = [c for c in df.columns if c not in ("review_id",)]
+    keys = review_keys(df)
+    other = [c for c in df.columns if c not in keys]
     best = F.max_by(F.struct(*[F.col(c) for c in other]), F.struct("ts", "write_id"))
-    return df.groupBy("review_id").agg(best.alias("_b")).select("review_id", "_b.*")
+    return df.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
@@ -40,5 +62,14 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
 
 
 def get_review(spark: SparkSession, path: str, review_id) -> DataFrame:
-    """Lookup by id: zero or one row (the filter reaches the scan)."""
+    """Lookup by id: a row for each file of the review (the filter reaches the scan)."""
     return latest_reviews(spark.read.parquet(path).filter(F.col("review_id") == F.lit(review_id)))
+
+
+def read_findings(spark: SparkSession, path: str, review_id=None) -> DataFrame:
+    """The findings stored with the latest write of every review (or of one) and file."""
+    reviews, findings = spark.read.parquet(path), spark.read.parquet(findings_path(path))
+    if review_id is not None:
+        reviews, findings = (d.filter(F.col("review_id") == F.lit(review_id)) for d in (reviews, findings))
+    last = latest_reviews(reviews).select("review_id", "file_path", "ts", "write_id")
+    return findings.join(last, ["review_id", "file_path", "ts", "write_id"]).drop("ts_date")

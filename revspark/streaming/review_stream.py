@@ -3,8 +3,9 @@
 ST1 continuous review: arriving files -> the same batch plan per micro-batch
     (``foreachBatch``) -> review store, one folder per batch id (a retried batch
     overwrites its own folder, so the sink is idempotent).
-ST2 TTL de-duplication of prompts: do not ask the same prompt twice within the
-    TTL (``dropDuplicatesWithinWatermark``; state is bounded by the watermark).
+ST2 TTL de-duplication of prompts: a request passes when it is the first for its
+    key or comes the TTL or more after the last that passed (keyed state; a key's
+    state goes when the watermark is a TTL past it).
 ST3 rate-limit windows: requests per client per window, flagged over a limit.
 
 Checkpoints and outputs go under the shared checkpoint folder of the session
@@ -13,17 +14,53 @@ Checkpoints and outputs go under the shared checkpoint folder of the session
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from revspark.session import shared_path
 
 
-def ttl_dedup(stream: DataFrame, key: str = "prompt_key", ts: str = "ts", ttl: str = "1 hour") -> DataFrame:
-    """ST2: first request per key within the TTL; later repeats are dropped."""
-    return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+def ttl_dedup(stream: DataFrame, key: str = "prompt_key", ts: str = "ts", ttl_seconds: int = 3600,
+              order: str = "submission_id", delay: str = "0 seconds") -> DataFrame:
+    """ST2: requests that pass the TTL; columns ``order, key, ts``.
+
+    The state of a key is the time of its last passed request.  A micro-batch's
+    requests of a key are taken by ``(ts, order)``; one passes when there is no
+    such time or its own is at least ``ttl_seconds`` later.  Requests that arrive
+    in time order therefore pass or not however the stream is cut into batches;
+    one that arrives after a later request of its key is a repeat of that.
+    """
+    ttl_ms = ttl_seconds * 1000
+    out = T.StructType([stream.schema[c] for c in (order, key, ts)])
+
+    def passed(group, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([b[[order, ts]] for b in batches]).sort_values([ts, order], kind="stable")
+        ms = rows[ts].astype("datetime64[ms]").astype("int64").to_numpy()
+        last = state.get[0] if state.exists else None
+        keep = []
+        for k, t in enumerate(ms.tolist()):
+            if last is None or t - last >= ttl_ms:
+                keep.append(k)
+                last = t
+        state.update((last,))
+        # a time in the past of the watermark is no valid timeout: then the next batch decides
+        if last + ttl_ms > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(last + ttl_ms)
+        if keep:
+            yield rows.iloc[keep].assign(**{key: group[0]})[[order, key, ts]]
+
+    narrow = stream.select(order, key, ts).withWatermark(ts, delay)
+    return narrow.groupBy(key).applyInPandasWithState(passed, out, "last long", "append",
+                                                      GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_counts(stream: DataFrame, window: str = "60 seconds", key: str = "client", ts: str = "ts",
@@ -56,14 +93,21 @@ def run_available_now(df: DataFrame, name: str, sink: Callable | None = None, ou
 
 
 def review_batch_sink(make_inputs: Callable, reviewers=None):
-    """ST1 sink: review every file of the micro-batch and store the rows of
-    ``reviews`` under ``out/batch_id=<id>`` (overwrite: idempotent on retry)."""
+    """ST1 sink: review every file of the micro-batch and store its reviews and
+    findings under ``batch_id=<id>`` (overwrite: idempotent on retry) in the form
+    of the review store, so ``read_reviews``, ``get_review`` and ``read_findings``
+    read them.  A reviewer that failed marks the batch's reviews ``failed``."""
     from revspark.plans.review import review_files
+    from revspark.sources.store import findings_path
 
     def sink(batch: DataFrame, batch_id: int, out: str) -> None:
-        r = review_files(make_inputs(batch), reviewers).file_reviews
-        (r.withColumn("write_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
+        r = review_files(make_inputs(batch), reviewers)
+        stamp = {"write_id": F.lit(batch_id).cast("long"), "ts": F.lit(datetime.now(timezone.utc)).cast("timestamp")}
+        reviews = r.file_reviews.withColumns(stamp)
+        if r.failures:
+            reviews = reviews.withColumn("status", F.lit("failed"))
+        r.findings.withColumns(stamp).write.mode("overwrite").parquet(f"{findings_path(out)}/batch_id={batch_id}")
+        reviews.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
     return sink
 
 

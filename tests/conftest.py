@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -10,11 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from revspark.session import get_spark
-    s = get_spark("local[2]", app="revspark-tests", shuffle_partitions=4)
-    if not s.conf.get("spark.checkpoint.dir", None):
-        # tests own their checkpoint folder; on a cluster it is set by the deployment
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="revspark-test-ckpt-"))
-    yield s
+    yield get_spark("local[2]", app="revspark-tests", shuffle_partitions=4)
 
 
 def rows(df, *cols):

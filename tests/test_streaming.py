@@ -16,23 +16,19 @@ def _write_batches(spark, batches):
     return src + "/b*/*.parquet"
 
 
-def test_ttl_dedup_expires_between_batches(spark):
+def test_ttl_dedup_however_the_stream_is_cut(spark):
     t0 = dt.datetime(2024, 1, 1, 0, 0)
     h = dt.timedelta(hours=1)
-    src = _write_batches(spark, [
+    batches = [
         [(1, t0, 1, "k"), (2, t0 + 0.5 * h, 1, "k"), (3, t0, 2, "j")],       # k twice within the TTL
-        [(4, t0 + 4 * h, 1, "k"), (5, t0 + 4.2 * h, 2, "j")],                 # state not yet evicted
-        [(6, t0 + 5.5 * h, 1, "k"), (7, t0 + 9 * h, 1, "z")],                 # eviction closes this batch
-        [(8, t0 + 9.5 * h, 1, "k")],                                          # k admitted again
-    ])
-    stream = read_stream_table(spark, src, SCHEMA, max_files_per_trigger=1)
-    out = run_available_now(ttl_dedup(stream, "prompt_key", "ts", "1 hour").select("submission_id", "prompt_key"),
-                            "test-ttl")
-    got = sorted(r.submission_id for r in spark.read.parquet(out).collect())
-    # Spark semantics: a key's first row is kept; repeats are dropped until the
-    # watermark (max event time - TTL) passes first time + TTL and that
-    # micro-batch has closed, after which the key is new again (row 8).
-    assert got == [1, 3, 7, 8]
+        [(4, t0 + 4 * h, 1, "k"), (5, t0 + 0.99 * h, 2, "j")],                # k after the TTL, j before it is over
+        [(6, t0 + 5 * h, 1, "k"), (7, t0 + 9 * h, 1, "z"), (10, t0 + 5.9 * h, 1, "k")],  # k exactly a TTL later
+        [(8, t0 + 9.5 * h, 1, "k"), (9, t0 + 9.5 * h, 1, "k")],               # the same moment twice
+    ]
+    for cut in (batches, [[r for b in batches for r in b]], [[r] for b in batches for r in sorted(b, key=lambda r: r[1])]):
+        stream = read_stream_table(spark, _write_batches(spark, cut), SCHEMA, max_files_per_trigger=1)
+        out = run_available_now(ttl_dedup(stream), "test-ttl")
+        assert sorted(r.submission_id for r in spark.read.parquet(out).collect()) == [1, 3, 4, 6, 7, 8]
 
 
 def test_rate_limit_windows_complete_mode(spark):
@@ -67,6 +63,10 @@ def test_review_sink_is_idempotent_per_batch(spark):
     got = spark.read.parquet(out)
     assert got.filter("batch_id = 0").count() == 2 and got.count() == 3
     r = {row.review_id: (row.n_findings, row.overall_score) for row in got.filter("batch_id = 0").collect()}
+    from revspark.sources.store import get_review, read_findings
+    one = get_review(spark, out, 2).collect()
+    assert len(one) == 1 and one[0].file_path == "src/b.py" and one[0].status == "completed"
+    assert [f.rule_id is None and f.severity for f in read_findings(spark, out, 2).collect()] == ["low"]
     # R5 (high x 0.85) -> 100 - 6.8 = 93.2; R2 (low x 0.70) -> 99.3
     assert r[1] == (1, 93.2) and r[2] == (1, 99.3)
 
