@@ -15,10 +15,12 @@ from revspark.llm.jaccard_join import keep_first
 from revspark.llm.mixing import TARGETS, label_domains, mix
 from revspark.llm.quality import keep_good
 from revspark.llm.secret_scan import redact
+from revspark.session import ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or whose host's shrunk failure rate is too high, go."""
+    ship_package(spark)
     return keep_good(docs)
 
 

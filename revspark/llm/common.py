@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from revspark.session import shared_path, table_path
+from revspark.session import shared_path, ship_package, table_path
 
 #: Rows of a task's Arrow batch are worked on in slices of about this many text bytes.
 SLICE_BYTES = 4_000_000
@@ -25,11 +25,13 @@ IS_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(table_path(sf_dir, name))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once into the shared folder and read it back: cuts the lineage, survives lost executors."""
+    ship_package(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
