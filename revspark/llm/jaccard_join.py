@@ -5,8 +5,9 @@ r"""N-gram Jaccard join: links between documents whose sets of 3-word shingles a
    are dealt into d + 1 parts, one part at least is equal in both sets. So each set emits a key for each part (a hash of the
    part's whole content) for the size band it is in, and for the next band up if a larger partner may lie there; linked
    sets share a key. A part can be empty; sets with an empty part also emit keys of another dealing (up to the last of
-   `DEALINGS`, where empty parts are keys too). Sets that share a key are tied to the smallest of them, and the ties'
-   components are the groups in which all links lie.
+   `DEALINGS`, where empty parts are keys too). Sets that share a key are tied to each other in a chain, within each
+   batch of documents before the shuffle and then among what is left of the batches; the ties' components are the groups
+   in which all links lie.
 3. Links. Groups are joined by signature trees (`signature_tree`) on the sets themselves. A group of more than `BLOCK`
    classes is dealt into blocks that all also hold two of the group's classes as pivots; what is then not in the group's
    largest component meets every block once more. So no task holds more than two blocks' sets, and no link is lost.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,29 +100,36 @@ def _id(hashes: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
 
 
-_SIGNED = T.StructType([T.StructField("n", T.LongType()), T.StructField("set_id", T.BinaryType()),
-                        T.StructField("keys", T.ArrayType(T.LongType()))])
-_SIGNED_ARROW = pa.struct([("n", pa.int64()), ("set_id", pa.binary()), ("keys", pa.list_(pa.int64()))])
+def _sign(percent: int):
+    """A row for each document: its set's size and id, the keys that no set before it in the batch has, and for the
+    others the sets that have them. So a key goes to the shuffle once a batch, however many sets share it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, ids, cids, sizes, keys = [], [], [], [], [np.zeros(0, dtype=np.int64)]
+            for t in texts(batch.column("text")):
+                s = shingle_set(t)
+                n.append(len(s))
+                ids.append(_id(s))
+                own = part_keys(s, percent).view(np.int64) if len(s) else keys[0]
+                cids.append(int.from_bytes(ids[-1][:8], "little", signed=True) if len(s) else None)
+                sizes.append(len(own))
+                keys.append(own)
+            every = np.concatenate(keys)
+            holder = np.repeat(np.arange(len(n)), sizes)
+            _, first, which = np.unique(every, return_index=True, return_inverse=True)
+            fresh = np.zeros(len(every), dtype=bool)
+            fresh[first] = True
+            pairs = np.unique(np.stack([holder[~fresh], holder[first][which[~fresh]]]), axis=1)
+            known = pa.array(cids, pa.int64())
+            column = lambda at, values: pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(n)))]), pa.int32()), values)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), known,
+                 column(holder[fresh], pa.array(every[fresh], pa.int64())), column(pairs[0], known.take(pa.array(pairs[1], pa.int64())))],
+                names=["doc_id", "n", "set_id", "cid", "keys", "peers"])
 
-def _signer(percent: int):
-    @F.arrow_udf(_SIGNED)
-    def signed(text: pa.Array) -> pa.Array:
-        n, ids, keys, ends = [], [], [], [0]
-        for t in texts(text):
-            s = shingle_set(t)
-            n.append(len(s))
-            ids.append(_id(s))
-            if len(s):
-                keys.append(part_keys(s, percent).view(np.int64))
-                ends.append(ends[-1] + len(keys[-1]))
-            else:
-                ends.append(ends[-1])
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64), pa.int64())
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists], fields=list(_SIGNED_ARROW))
-
-    return signed
+    return run
 
 
 @F.arrow_udf(T.BinaryType())
@@ -166,13 +174,15 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
 
 def near_classes(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows (doc_id, n, set_id) of every document; classes (set_id, component_id) of every set."""
-    signed = docs.select("doc_id", _signer(percent)("text").alias("s")).select("doc_id", "s.*")
-    signed = materialise(signed.withColumn("cid", F.xxhash64("set_id")), "shingles")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = materialise(docs.select("doc_id", "text").mapInArrow(
+        _sign(percent), f"doc_id {kind}, n long, set_id binary, cid long, keys array<bigint>, peers array<bigint>"), "shingles")
     rows = signed.select("doc_id", "n", "set_id")
 
+    # the sets with a key make a chain; one exchange of the keys
     keyed = signed.select("cid", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high")
-    ties = keyed.join(shared.select("key", "low"), "key").where("cid != low").select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct()
+    chain = keyed.select(F.col("cid").alias("a"), F.lag("cid").over(Window.partitionBy("key").orderBy("cid")).alias("b"))
+    ties = chain.union(signed.select(F.col("cid").alias("a"), F.explode("peers").alias("b"))).where("a != b").distinct()
     groups = components(ties)
 
     firsts = signed.where("n > 0").groupBy("set_id", "cid").agg(F.min("doc_id").alias("doc_id"))
@@ -189,7 +199,7 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
 
     def with_text(chosen: DataFrame) -> DataFrame:
         # ids can be given twice with different texts: the text must have the set
-        found = t.join(chosen, t.doc_id.eqNullSafe(chosen.d))
+        found = t.join(chosen.hint("shuffle_merge"), t.doc_id.eqNullSafe(chosen.d))
         return found.where(set_id("text") == F.col("set_id"))
 
     home = F.when(F.col("pivot") & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
