@@ -47,6 +47,21 @@ def v1_from_documents(d: DataFrame) -> DataFrame:
     return d.select(F.col("doc_id").alias("review_id"), path.alias("file_path"), code.alias("code"))
 
 
+def v6_files(spark, sf_dir) -> DataFrame:
+    """V6: the V1 files and the pages as files; some pages get a line that the import and the SQL rule hit."""
+    p = F.col("page_id")
+    code = F.concat(F.when(p % 5 == 0, F.lit("  import pickle\n")).otherwise(F.lit("")), F.col("html"),
+                    F.when(p % 7 == 0, F.lit("\nSELECT a FROM b WHERE c")).otherwise(F.lit("")))
+    pages = table(spark, sf_dir, "pages").select((-1 - p).alias("review_id"), F.concat(
+        F.lit("pages/"), p.cast("string"), F.lit(".html")).alias("file_path"), code.alias("code"))
+    return v1_files(spark, sf_dir).unionByName(pages)
+
+
+SQL_V6_PAGES = """v6p as (select -1 - page_id as review_id, concat('pages/', cast(page_id as varchar), '.html') as file_path,
+  string_split(concat(case when page_id % 5 = 0 then '  import pickle' || chr(10) else '' end, html,
+    case when page_id % 7 = 0 then chr(10) || 'SELECT a FROM b WHERE c' else '' end), chr(10)) as ls from pages),
+v6l as (select review_id, file_path, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as line_number from v6p)"""
+
 SQL_V1 = """v1 as (select doc_id as review_id,
   concat('src/', source, '/', case when doc_id % 4 = 0 then 'test_' else 'mod_' end, cast(doc_id as varchar),
          case doc_id % 6 when 0 then '.py' when 1 then '.js' when 2 then '.go' when 3 then '.R' when 4 then '.cc' else '' end) as file_path,

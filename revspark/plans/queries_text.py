@@ -10,7 +10,7 @@ from revspark.operators import aggregates as A
 from revspark.operators.enrich import with_context
 from revspark.operators.normalize import quality_findings, security_findings
 from revspark.operators.reviewers import ReviewInputs, is_test_file, rule_scan
-from revspark.plans.fixtures import (SCAN_RULES, SQL_V1, SQL_V2, SQL_V2_DEDUP, SQL_V3_RAW, SQL_V4, v1_files,
+from revspark.plans.fixtures import (SCAN_RULES, SQL_V6_PAGES, v6_files, SQL_V1, SQL_V2, SQL_V2_DEDUP, SQL_V3_RAW, SQL_V4, v1_files,
                                      v2_findings, v2_total_lines, v3_raw, v4_pr_files)
 from revspark.plans.queries_ingest import sql_case
 from revspark.plans.review import review_files
@@ -44,8 +44,9 @@ select review_id, cast(t as bigint) as total_lines, cast(b as bigint) as blank_l
 # --- T2 ----------------------------------------------------------------------
 def q_sanitize(spark, sf):
     v = v1_files(spark, sf)
-    s = TX.sanitize(F.col("code"))
-    return v.select("review_id", F.length(s).cast("bigint").alias("n_chars"), F.md5(s).alias("md5"))
+    both = TX.let(TX.sanitize(F.col("code")), lambda s: F.struct(F.length(s).cast("bigint").alias("n_chars"),
+                                                                 F.md5(s).alias("md5")))
+    return v.select("review_id", both.alias("s")).select("review_id", "s.*")
 
 
 Q["sanitize"] = q_sanitize
@@ -335,7 +336,7 @@ from p"""
 
 # --- J8 ----------------------------------------------------------------------
 def q_rule_scan(spark, sf):
-    s = rule_scan(v1_files(spark, sf), SCAN_RULES)
+    s = rule_scan(v6_files(spark, sf), SCAN_RULES)
     return s.select("review_id", F.col("line_number").cast("bigint").alias("line_number"), "rule_id", "severity")
 
 
@@ -353,8 +354,9 @@ l as (select review_id, file_path, unnest(ls) as line, unnest(range(1, len(ls) +
 sc as (""" + _scan_sql("l") + ")"
 
 Q["rule_scan"] = q_rule_scan
-SQL["rule_scan"] = "with " + SQL_V1_SCAN + """
-select review_id, cast(line_number as bigint) as line_number, rule_id, severity from sc"""
+SQL["rule_scan"] = "with " + SQL_V1_SCAN + ", " + SQL_V6_PAGES + ", sp as (" + _scan_sql("v6l") + """)
+select review_id, cast(line_number as bigint) as line_number, rule_id, severity
+from (select * from sc union all select * from sp)"""
 
 
 # --- A9 ----------------------------------------------------------------------

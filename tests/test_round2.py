@@ -144,3 +144,24 @@ def test_store_keeps_files_and_findings(spark):
     assert sorted((r.file_path, r.write_id) for r in got) == [("src/b.py", 2), ("tests/test_a.py", 2)]
     assert [(r.file_path, r.write_id) for r in read_findings(spark, path, 1).collect()] == [("src/b.py", 2)]
     assert get_review(spark, path, 9).collect() == []
+
+
+def test_zero_filled_severities_of_clean_reviews(spark):
+    from revspark.operators.aggregates import by_severity
+    findings = spark.createDataFrame([(1, "low"), (1, "low")], "review_id long, severity string")
+    reviews = spark.createDataFrame([(1,), (2,), (2,)], "review_id long")
+    got = {(r.review_id, r.severity): r.n for r in by_severity(findings, reviews=reviews).collect()}
+    assert len(got) == 10 and got[(1, "low")] == 2 and sum(got.values()) == 2
+
+
+def test_limits_are_reached(spark):
+    from revspark.operators.dedup import top_findings
+    from revspark.sources.github import comment_rows
+    rows = [(1, "a.py", k % 5, k, "high", "style", f"m{k}", "", None, 0, 0, k, 7, 1 + k % 3) for k in range(60)]
+    df = spark.createDataFrame(rows, "review_id long, file_path string, severity_rank int, line_number int, severity string, category string, message string, "
+                                     "suggestion string, rule_id string, pos_agent_ord int, pos_source_ord int, pos_item_ord long, pr_key long, file_ord long")
+    top = top_findings(df, 10).collect()
+    best = sorted(range(60), key=lambda k: (k % 5, k))[:10]
+    assert top[0].n_top == 10 and top[0].top_lines == "\n".join(f"- [high] m{k}" for k in best)
+    got = comment_rows(df, 20).orderBy("comment_ord").collect()
+    assert [r.message for r in got] == [f"m{k}" for k in sorted((k for k in range(60) if k % 3 == 0), key=lambda k: (k % 5, k))]
