@@ -31,7 +31,8 @@ JOIN_SHARE = 1 / 3
 
 #: FIXED VALUES: element names.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title")
-FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head", "figcaption"}
+FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt",
           "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr",
           "html", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td",
@@ -42,7 +43,7 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "option": {"option"}}
 #: Words of class, id and role that mark page furniture.
 FURNITURE_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment",
-                   "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "menu", "modal", "nav",
+                   "commentlist", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "menu", "modal", "nav",
                    "navbar", "navigation", "newsletter", "notice", "paywall", "popup", "promo", "promoted", "related",
                    "replies", "reply", "respond", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored",
                    "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget", "complementary", "contentinfo",
@@ -60,23 +61,28 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
 
 
-def is_furniture(attrs: str) -> bool:
+def is_furniture(attrs: str, own: frozenset[str] = frozenset()) -> bool:
+    """Whether an element's attributes hide it or name it as furniture; `own` are words that do not count."""
     for m in _MARK.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id", "role") and FURNITURE_WORDS & {w.lower() for w in _WORD.findall(value)}:
+        if name in ("class", "id", "role") and FURNITURE_WORDS & {w.lower() for w in _WORD.findall(value)} - own:
             return True
     return False
 
 
+_OWN = frozenset({"header"})
+
+
 class _Open:
-    __slots__ = ("name", "out", "article", "link")
+    __slots__ = ("name", "out", "hard", "article", "link")
 
-    def __init__(self, name: str, out: bool, article: bool, link: bool):
-        self.name, self.out, self.article, self.link = name, out, article, link
+    def __init__(self, name: str, out: bool, hard: bool, article: bool, link: bool):
+        # hard: furniture by an element's name, not just by a class that a wrapper of the article may have too
+        self.name, self.out, self.hard, self.article, self.link = name, out, hard, article, link
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
@@ -84,7 +90,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     lines: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     linked = [0]
-    stack = [_Open("", False, False, False)]
+    stack = [_Open("", False, False, False, False)]
 
     def flush() -> None:
         if parts:
@@ -132,12 +138,17 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         top = stack[-1]
         attrs = m["attrs"] or m["attrs2"] or ""
         main = name in ("article", "main")
-        inner = name in ("header", "footer") and top.article  # of the article, not of the page
-        out = top.out or (name in FURNITURE and not inner) or name == "footer" or (bool(attrs) and not main and name != "body" and name != "html" and is_furniture(attrs))
+        # a header inside an article is the article's own
+        hard = top.hard or name in FURNITURE and not (name == "header" and top.article)
+        if main or name in ("html", "body"):
+            out = hard
+        else:
+            marked = bool(attrs) and name not in HEADINGS and is_furniture(attrs, _OWN if top.article else frozenset())
+            out = top.out or hard or marked
         if not attrs.rstrip().endswith("/") or name in BLOCKS:
             if out != top.out:
                 flush()
-            stack.append(_Open(name, out, (top.article or main) and not out, top.link or name == "a"))
+            stack.append(_Open(name, out, hard, (top.article or main) and not out, top.link or name == "a"))
     flush()
     return lines
 

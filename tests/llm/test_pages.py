@@ -38,6 +38,9 @@ CASES = [
     (page("<nav>only menu</nav><footer>end</footer>"), ""),
     ("<article>before <!-- never closed <p>gone</article>", "before"),
     ("<script>never closed <p>gone", ""),
+    (page('<div class="wrap has-sidebar"><article><div class="entry-header"><h1 class="page-header">H</h1></div><figure><figcaption>cap</figcaption>'
+          '</figure><p>x</p><ol class="commentlist"><li>c</ol></article><div class=sidebar><article><p>y</p></article></div></div>'), "H\n\ncap\n\nx\n\ny"),
+    (page("<nav><article>no</article></nav><main><p>yes</p></main>"), "yes"),
     (page('<article><p title="a > b" hidden>no</p><p title="a > b">yes</p></article>'), "yes"),
 ]
 
