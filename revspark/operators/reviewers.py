@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
+import pandas as pd
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
@@ -251,6 +252,49 @@ class Reviewer:
     fn: Callable[..., DataFrame]
 
 
+@dataclass
+class FileReviewer:
+    """A reviewer given as a plain Python function of one file, ``review(file_path, code) -> [finding dict]``.
+
+    It runs on the workers, file by file.  A file on which it raises yields one error row instead of findings, so
+    the other files, and the other reviewers' findings for that file, are not lost.
+    """
+    name: str
+    description: str
+    review: Callable[[str, str], list]
+
+
+_FILE_ITEM = T.StructType([
+    T.StructField("item_ord", T.LongType()), T.StructField("line_number", T.IntegerType()),
+    T.StructField("severity", T.StringType()), T.StructField("category", T.StringType()),
+    T.StructField("message", T.StringType()), T.StructField("suggestion", T.StringType()),
+    T.StructField("confidence", T.DoubleType()), T.StructField("error", T.StringType())])
+
+
+def _file_items(files: DataFrame, reviewer: FileReviewer) -> DataFrame:
+    """(review_id, file_path, item fields, error): findings of every file, or the reason why there are none."""
+    review = reviewer.review
+    names = _FILE_ITEM.names[1:-1]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for rid, path, code in zip(b["review_id"], b["file_path"], b["code"]):
+                try:
+                    items = [tuple(x.get(n) for n in names) for x in review(path, code)]
+                    rows += [(rid, path, k, *x, None) for k, x in enumerate(items, 1)]
+                except Exception as e:  # noqa: BLE001 - the reviewer's own code, isolated by file
+                    rows.append((rid, path, 0, *[None] * len(names), f"{type(e).__name__}: {e}"))
+            out = pd.DataFrame(rows, columns=["review_id", "file_path", *_FILE_ITEM.names])
+            yield out.astype({"line_number": "Int32", "item_ord": "int64", "confidence": "float64"})
+
+    schema = T.StructType([files.schema["review_id"], files.schema["file_path"], *_FILE_ITEM.fields])
+    from revspark.session import checkpoint_root
+    checkpoint_root(files.sparkSession)
+    # findings and errors both read it: written once, by the first job
+    return files.select(*FILE_KEY, "code").mapInPandas(run, schema).checkpoint(eager=False)
+
+
 BUILTIN = {
     "QualityAgent": quality_reviewer,
     "SecurityAgent": security_reviewer,
@@ -292,11 +336,31 @@ def run_reviewers(inputs: ReviewInputs, reviewers: ReviewerSet | None = None):
     Building a plan runs no Spark job; what Spark itself raises, other than a
     plan that does not resolve, is no reviewer's failure and is raised again.
     """
+    run = run_isolated(inputs, reviewers)
+    return run.findings, run.failures
+
+
+@dataclass
+class ReviewerRun:
+    findings: DataFrame          # of all reviewers, in their order
+    failures: list               # (reviewer, reason) of those whose plan could not be built
+    file_errors: DataFrame       # (review_id, file_path, agent_name, reason) of reviewers that failed on a file
+
+
+def run_isolated(inputs: ReviewInputs, reviewers: ReviewerSet | None = None) -> ReviewerRun:
+    """:func:`run_reviewers` with the errors by file of reviewers that run file by file."""
     reviewers = reviewers or ReviewerSet()
-    out, failures = None, []
+    out, errors, failures = None, None, []
     for i, r in enumerate(reviewers.reviewers):
         try:
-            df = r.fn(inputs, i)
+            if isinstance(r, FileReviewer):
+                items = _file_items(inputs.files, r)
+                df = items.filter(F.col("error").isNull()).drop("error")
+                bad = items.filter(F.col("error").isNotNull()).select(
+                    *FILE_KEY, F.lit(r.name).alias("agent_name"), F.col("error").alias("reason"))
+                errors = bad if errors is None else errors.unionByName(bad)
+            else:
+                df = r.fn(inputs, i)
             df = _conform(df, r.name, i)
         except Exception as e:  # noqa: BLE001 - isolation is the point
             if isinstance(e, (PySparkException, Py4JError)) and not isinstance(e, AnalysisException):
@@ -304,7 +368,9 @@ def run_reviewers(inputs: ReviewInputs, reviewers: ReviewerSet | None = None):
             failures.append((r.name, f"{type(e).__name__}: {e}"))
             continue
         out = df if out is None else out.unionByName(df)
-    return (out if out is not None else empty_findings(inputs.files)), failures
+    if errors is None:
+        errors = inputs.files.select(*FILE_KEY, F.lit("").alias("agent_name"), F.lit("").alias("reason")).limit(0)
+    return ReviewerRun(out if out is not None else empty_findings(inputs.files), failures, errors)
 
 
 def _conform(df: DataFrame, name: str, agent_ord: int) -> DataFrame:

@@ -8,7 +8,7 @@ from revspark.functions.text import splitlines
 from revspark.operators import aggregates as A
 from revspark.operators.dedup import dedup_findings
 from revspark.operators.normalize import to_findings
-from revspark.operators.reviewers import Reviewer, ReviewerSet, ReviewInputs
+from revspark.operators.reviewers import FileReviewer, Reviewer, ReviewerSet, ReviewInputs
 from revspark.plans.fixtures import SCAN_RULES, SQL_V2, SQL_V2_DEDUP, V2_ORDER, table, v1_files, v1_from_documents, \
     v2_findings
 from revspark.plans.queries_text import SQL_V1_SCAN, SQL as TEXT_SQL
@@ -131,6 +131,36 @@ def q_custom_reviewer(spark, sf):
     return s.select("review_id", "agent_name", F.col("n_findings").cast("bigint").alias("n_findings"), "summary")
 
 
+# --- U2: isolation by file ------------------------------------------------------
+def first_line_reviewer(file_path: str, code: str) -> list:
+    """Example file reviewer: it cannot read Go files, and flags German ones on line 1."""
+    if file_path.endswith(".go"):
+        raise ValueError("no parser for .go")
+    german = code.startswith("# de")
+    return [dict(line_number=1, severity="info", category="style", message="German file", confidence=0.6)] * german
+
+
+def q_file_isolation(spark, sf):
+    files = v1_files(spark, sf)
+    alone = ReviewerSet([FileReviewer("FirstLine", "", first_line_reviewer)])
+    one = review_files(ReviewInputs(files=files), alone).file_reviews.select("review_id", "status")
+    both = ReviewerSet([Reviewer("LineLengthReviewer", "", line_length_reviewer), *alone.reviewers])
+    out = review_files(ReviewInputs(files=files), both)
+    errors = out.file_errors.groupBy("review_id").agg(F.max("reason").alias("reason"))
+    return (out.file_reviews.select("review_id", "n_findings", "status").join(errors, "review_id", "left")
+            .join(one.withColumnRenamed("status", "status_alone"), "review_id"))
+
+
+Q["file_isolation"] = q_file_isolation
+SQL["file_isolation"] = "with " + SQL_V1_SCAN + f""",
+d as (select doc_id as review_id, lang = 'de' and doc_id % 6 <> 2 as german, doc_id % 6 = 2 as go from documents),
+x as (select distinct review_id, line_number, 'Line longer' as m from l where length(line) > {LONG_LINE}),
+n as (select review_id, count(*) as n from x group by review_id)
+select review_id, cast(coalesce(n.n, 0) + cast(german as int) as bigint) as n_findings, 'completed' as status,
+  case when go then 'ValueError: no parser for .go' end as reason,
+  case when go then 'failed' else 'completed' end as status_alone
+from d left join n using (review_id)"""
+
 Q["custom_reviewer"] = q_custom_reviewer
 SQL["custom_reviewer"] = "with " + SQL_V1_SCAN + f""",
 ll as (select review_id, 'low' as severity from l where length(line) > {LONG_LINE}),

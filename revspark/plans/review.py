@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from revspark.operators import aggregates as A
 from revspark.operators.dedup import dedup_findings, rank_findings, top_findings
 from revspark.operators.normalize import validate_findings
-from revspark.operators.reviewers import ReviewerSet, ReviewInputs, run_reviewers
+from revspark.operators.reviewers import FileReviewer, ReviewerSet, ReviewInputs, run_isolated
 from revspark.schemas import FINDING_COLUMNS
 
 FILE_KEY = ["review_id", "file_path"]
@@ -30,6 +30,7 @@ class ReviewOutput:
     reviews: DataFrame           # file_reviews + agent_summaries map
     failures: list               # reviewers that contributed nothing (U2)
     rejects: DataFrame           # findings that break a rule, with the reason (F5)
+    file_errors: DataFrame       # (review_id, file_path, agent_name, reason): reviewers that failed on a file
 
     def ranked(self) -> DataFrame:
         """The findings with their rank in the file (W2); the rollups do not need it."""
@@ -46,7 +47,8 @@ def review_files(inputs: ReviewInputs, reviewers: ReviewerSet | None = None,
     outputs do not re-run parsing and ingest.
     """
     reviewers = reviewers or ReviewerSet()
-    raw, failures = run_reviewers(inputs, reviewers)
+    run = run_isolated(inputs, reviewers)
+    raw, failures = run.findings, run.failures
     valid, rejects = validate_findings(raw.select(*FINDING_COLUMNS))
     findings = dedup_findings(valid)
     if persist:
@@ -57,11 +59,17 @@ def review_files(inputs: ReviewInputs, reviewers: ReviewerSet | None = None,
     if "total_lines" not in files.columns:
         files = files.join(A.line_metrics(files).select(*FILE_KEY, "total_lines"), FILE_KEY)
     fr = A.file_reviews(files.select(*FILE_KEY, "total_lines"), findings, ai_summaries=ai_summaries)
+    if any(isinstance(r, FileReviewer) for r in reviewers.reviewers):
+        # a file on which every reviewer failed has not been reviewed
+        n = run.file_errors.groupBy(*FILE_KEY).agg(F.count(F.lit(1)).alias("_n"))
+        left = len(reviewers.reviewers) - len(failures)
+        fr = (fr.join(n, FILE_KEY, "left").withColumn(
+            "status", F.when(F.col("_n") >= left, F.lit("failed")).otherwise(F.col("status"))).drop("_n"))
     summ = A.agent_summaries(findings, fr.select(*FILE_KEY), reviewers.names(), FILE_KEY)
     amap = (summ.groupBy(*FILE_KEY)
             .agg(F.map_from_entries(F.collect_list(F.struct("agent_name", "summary"))).alias("agent_summaries")))
     reviews = fr.join(amap, FILE_KEY, "left")
-    return ReviewOutput(findings, fr, reviews, failures, rejects)
+    return ReviewOutput(findings, fr, reviews, failures, rejects, run.file_errors)
 
 
 def review_summary_prompts(findings: DataFrame, file_reviews: DataFrame, order_cols=None) -> DataFrame:
