@@ -20,13 +20,15 @@ ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 15.0, 0.05, 8
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
-def gram_features(words: list[bytes]) -> np.ndarray:
-    """Distinct hashed features of the words: single words, pairs of neighbours, and pairs with a word between."""
-    if not words:
+def gram_features(words: list[bytes], alone: tuple[bytes, ...] = ()) -> np.ndarray:
+    """Distinct hashed features of the words: single words, pairs of neighbours, and pairs with a word between; and of
+    each of `alone`, which has no neighbours."""
+    if not words and not alone:
         return np.zeros(0, dtype=np.int64)
-    h = mix64(np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)) + _A)
+    every = mix64(np.fromiter(map(zlib.crc32, [*words, *alone]), dtype=np.uint64, count=len(words) + len(alone)) + _A)
+    h = every[:len(words)]
     with np.errstate(over="ignore"):
-        grams = np.concatenate([h, mix64(h[:-1] * _A + h[1:] * _B), mix64(h[:-2] * _A + h[2:] * _C)])
+        grams = np.concatenate([every, mix64(h[:-1] * _A + h[1:] * _B), mix64(h[:-2] * _A + h[2:] * _C)])
     return np.unique((grams >> np.uint64(64 - BITS)).astype(np.int64))
 
 

@@ -26,17 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revspark.llm.common import WORD, materialise, texts
+from revspark.llm.common import IS_BLANK, IS_WORD, WORD, materialise, texts
 from revspark.llm.ftrl import MAX_ROWS, Weights, fit, gram_features, labelled_sample
 
 GRID = 100
 STEPS = 60
 PULL = 1e-4
 BUDGET = 0.5
+EPOCHS = 3
 
 #: Target shares of the tokens by domain of `label_domains`.
 TARGETS = {"clean": 0.92, "low": 0.06, "toxic": 0.02}
 
+_IS_SYMBOL = ~(IS_WORD | IS_BLANK)
 _TOKENS = re.compile(WORD + rb"|[^0-9a-z\x80-\xff\x20\x09-\x0d]+")
 
 
@@ -53,10 +55,9 @@ def domain_features(text: bytes) -> np.ndarray:
     lines = [x for x in low.split(b"\n") if x and not x.isspace()]
     repeated = 10 * (len(lines) - len(set(lines))) // max(1, len(lines))
     words = _TOKENS.findall(low)
-    symbols = 10 * sum(not w[0:1].isalnum() and w[0] < 128 for w in words) // max(1, len(words))
-    shape = b"\x00 %d", b"\x01 %d", b"\x02 %d"
-    extra = [f % v for f, v in zip(shape, (repeated, symbols, len(words).bit_length()), strict=True)]
-    return np.union1d(gram_features(words), np.concatenate([gram_features([x]) for x in extra]))
+    raw = np.frombuffer(low, dtype=np.uint8)
+    symbols = 20 * int(_IS_SYMBOL[raw].sum()) // max(1, len(low))
+    return gram_features(words, (b"\x00 %d" % repeated, b"\x01 %d" % symbols, b"\x02 %d" % len(words).bit_length()))
 
 
 def to_grid(scores: list[float]) -> list[int]:
@@ -72,7 +73,7 @@ def to_grid(scores: list[float]) -> list[int]:
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
     """`docs` with a struct column __m: n_tokens and p, the posterior in steps of 1 / GRID by domain."""
     known = labelled.where(F.col("domain").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("label"))
-    tables = fit(labelled_sample(docs, known, max_rows), domains, domain_features)
+    tables = fit(labelled_sample(docs, known, max_rows), domains, domain_features, EPOCHS)
     held = docs.sparkSession.sparkContext.broadcast(tables)
     built: list[Weights] = []
     kind = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.IntegerType()))])
