@@ -72,11 +72,11 @@ select review_id, 'am', true, class_line + 3, 1, 'self', false from v7a where no
 # --- X3 X4 ---------------------------------------------------------------------
 def q_classes_methods(spark, sf):
     e = extract_elements(v7_all(spark, sf).select("review_id", "file_path", "code"))
-    m = e.filter(F.col("kind") == "method").select("review_id", F.col("parent").alias("class_name"),
-                                                   F.col("name").alias("method"), "line", "is_async")
-    c = (e.filter(F.col("kind") == "class").select("review_id", F.col("name").alias("class_name"),
+    # a method carries the position of its class, which is unique in the file; names need not be
+    m = e.filter(F.col("kind") == "method").select("review_id", "walk_ord", F.col("name").alias("method"), "line", "is_async")
+    c = (e.filter(F.col("kind") == "class").select("review_id", "walk_ord", F.col("name").alias("class_name"),
                                                    F.col("line").alias("class_line")))
-    return c.join(m, ["review_id", "class_name"], "left")
+    return c.join(m, ["review_id", "walk_ord"], "left").drop("walk_ord")
 
 
 Q["classes_methods"] = q_classes_methods
