@@ -133,12 +133,14 @@ def rates(p: np.ndarray, history: np.ndarray, base: float, ahead: bool = False)
     return y if ahead else r
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = BUDGET, steps: int = STEPS,
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = BUDGET, steps: int | None = None,
         max_rows: int = MAX_ROWS, drop: tuple[str, ...] = ()) -> DataFrame:
     """`docs` (less the columns in `drop`) with n_tokens, p_<domain> and rate (how many times to take a document; fractions by chance).
 
     labelled: (doc_id, domain). targets: the domains' shares of the drawn tokens, which are `budget` of all tokens.
+    steps: STEPS unless given.
     """
+    steps = STEPS if steps is None else steps
     domains = sorted(targets)
     found = materialise(posteriors(docs, labelled, domains, max_rows).drop(*drop), "members")
     cells = materialise(found.groupBy(F.col("__m.p").alias("p")).agg(F.sum("__m.n_tokens").alias("tokens")), "cells")

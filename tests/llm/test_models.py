@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from revspark.llm import ftrl
+from revspark.llm import ftrl, mixing
 from revspark.llm.components import components
 from revspark.llm.mixing import GRID, TARGETS, label_domains, mix, mixing_report, rate_history, rates, to_grid
 from revspark.llm.queries import Q, SQL
@@ -147,7 +147,13 @@ def test_connected_components(spark, seed):
 
 # ---- pipeline
 
-def test_pipeline_stages(spark, sf):
+@pytest.fixture()
+def few_steps(monkeypatch):
+    """The rates are tested above; here a few steps are enough."""
+    monkeypatch.setattr(mixing, "STEPS", 4)
+
+
+def test_pipeline_stages(spark, sf, few_steps):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
@@ -169,7 +175,7 @@ def test_pipeline_stages(spark, sf):
     assert {"lang", "source", "rate"} <= set(out.columns) and labels.count()
 
 
-def test_stages_keep_columns_and_survive_no_rows(spark, sf):
+def test_stages_keep_columns_and_survive_no_rows(spark, sf, few_steps):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     assert len(corpus_pipeline.STAGES) == 5
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -185,7 +191,7 @@ def test_every_operator_is_registered():
     assert set(Q) | {"pipeline"} <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
 
 
-def test_mixing_report_of_the_tables(spark, sf):
+def test_mixing_report_of_the_tables(spark, sf, few_steps):
     got = mixing_report(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
     assert got.columns == ["doc_id", "source", "n_tokens", "p_clean", "p_low", "p_toxic", "rate"] and got.count() == 200
 
