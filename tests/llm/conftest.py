@@ -43,6 +43,3 @@ def docs(spark, doc_rows):
 def no_docs(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
 
-
-def by_id(rows):
-    return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))

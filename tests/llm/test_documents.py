@@ -4,7 +4,6 @@ import random
 
 import brute
 import pytest
-from conftest import by_id  # noqa: F401
 from pyspark.sql import functions as F
 
 from revspark.llm import jaccard_join, quality, secret_scan, suffix_dedup
