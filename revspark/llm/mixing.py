@@ -101,6 +101,7 @@ def rate_history(cells: DataFrame, targets: list[float], steps: int = STEPS, bud
     if not total:
         return history
     aim = np.array(targets) / sum(targets) * budget
+    names = [f"v{k}" for k in range(n)]
     for _ in range(steps):
         at = history
 
@@ -109,13 +110,11 @@ def rate_history(cells: DataFrame, targets: list[float], steps: int = STEPS, bud
             for b in batches:
                 p = np.array(b.column("p").to_pylist(), dtype=np.float64).reshape(-1, n) / GRID
                 got += (rates(p, at, budget, ahead=True) * np.array(b.column("tokens").to_pylist(), dtype=np.float64)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(got)], names=["k", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in got], names=names)
 
-        rows = cells.mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        expected = np.zeros(n)
-        for r in rows:
-            expected[r["k"]] = r["v"] / total
-        history = np.vstack([history, expected - aim])
+        # a row for each partition, summed to one
+        row = cells.mapInArrow(sums, ", ".join(f"{v} double" for v in names)).agg(*(F.sum(v).alias(v) for v in names)).first()
+        history = np.vstack([history, np.array([row[v] or 0.0 for v in names]) / total - aim])
     return history
 
 
