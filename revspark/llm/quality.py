@@ -28,6 +28,9 @@ SYMBOLS = b"#*$%&|<>"
 #: A host is rejected when its shrunk failure rate is above this.
 HOST_LIMIT = 0.5
 
+#: Verdicts of up to so many hosts are broadcast (they are counted first); more are joined by shuffling.
+BROADCAST_HOSTS = 100_000
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _STRUCT = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 _IS_SYMBOL = np.zeros(256, dtype=bool)
@@ -91,9 +94,9 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     hosts = (judged.where(F.col("source").isNotNull()).groupBy("source")
              .agg(F.count(F.lit(1)).alias("host_docs"), F.count_if("base_failed").alias("host_failed")))
     rate = F.col("host_failed") / F.col("host_docs")
-    # one row of four numbers, whatever the number of hosts
+    # one row of five numbers, whatever the number of hosts
     m = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"),
-                  F.sum(F.col("host_docs") * rate * rate).alias("q"),
+                  F.sum(F.col("host_docs") * rate * rate).alias("q"), F.count(F.lit(1)).alias("hosts"),
                   F.avg(1 / F.col("host_docs")).alias("inv")).first()
     n, mean = (m["n"] or 0), 0.0
     strength = 1.0
@@ -106,7 +109,8 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
             strength = min(1e6, max(1.0, spread / between - 1))
     a, b = mean * strength, (1 - mean) * strength
     shrunk = (F.col("host_failed") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
-    return hosts.select("source", "host_docs", shrunk.alias("host_rate"), (shrunk <= limit).alias("host_ok"))
+    out = hosts.select("source", "host_docs", shrunk.alias("host_rate"), (shrunk <= limit).alias("host_ok"))
+    return F.broadcast(out) if m["hosts"] <= BROADCAST_HOSTS else out
 
 
 def quality_report(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
@@ -124,5 +128,5 @@ def keep_good(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     judged = docs.select("*", rules("text").alias("__q"))
     failed = base_failed(F.col("__q.n_words"), F.col("__q.n_repeat_words"))
     verdicts = host_verdicts(judged.select("source", failed.alias("base_failed")), limit)
-    bad = verdicts.where(~F.col("host_ok")).select("source")
-    return judged.where(~failed).join(bad, "source", "left_anti").select(*docs.columns)
+    kept = judged.where(~failed).join(verdicts.select("source", F.col("host_ok").alias("__ok")), "source", "left")
+    return kept.where(F.coalesce("__ok", F.lit(True))).select(*docs.columns)
