@@ -5,7 +5,7 @@ r"""N-gram Jaccard join: links between documents whose sets of 3-word shingles a
    are dealt into d + 1 parts, one part at least is equal in both sets. So each set emits a key for each part (a hash of the
    part's whole content) for the size band it is in, and for the next band up if a larger partner may lie there; linked
    sets share a key. A part can be empty; sets with an empty part also emit keys of another dealing (up to the last of
-   `DEALINGS`, where empty parts are keys too). Sets that share a key are tied to each other in a chain, within each
+   `DEALINGS`, where empty parts are keys too). Sets that share a key are tied to the first of them, within each
    batch of documents before the shuffle and then among what is left of the batches; the ties' components are the groups
    in which all links lie.
 3. Links. Groups are joined by signature trees (`signature_tree`) on the sets themselves. A group of more than `BLOCK`
@@ -38,6 +38,7 @@ PERCENT = 90
 BLOCK = 2000
 BAND_RATIO = 1.5
 DEALINGS = 6
+SALTS = 16
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63],
                 dtype=np.uint64)
@@ -179,10 +180,10 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
         _sign(percent), f"doc_id {kind}, n long, set_id binary, cid long, keys array<bigint>, peers array<bigint>"), "shingles")
     rows = signed.select("doc_id", "n", "set_id")
 
-    # the sets with a key make a chain; one exchange of the keys
+    # the sets with a key are tied to the first of them; one exchange of the keys
     keyed = signed.select("cid", F.explode("keys").alias("key"))
-    chain = keyed.select(F.col("cid").alias("a"), F.lag("cid").over(Window.partitionBy("key").orderBy("cid")).alias("b"))
-    ties = chain.union(signed.select(F.col("cid").alias("a"), F.explode("peers").alias("b"))).where("a != b").distinct()
+    stars = keyed.select(F.col("cid").alias("a"), F.first("cid").over(Window.partitionBy("key").orderBy("cid")).alias("b"))
+    ties = stars.union(signed.select(F.col("cid").alias("a"), F.explode("peers").alias("b"))).where("a != b").distinct()
     groups = components(ties)
 
     firsts = signed.where("n > 0").groupBy("set_id", "cid").agg(F.min("doc_id").alias("doc_id"))
@@ -190,7 +191,10 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
                          "classes")
     sizes = firsts.where(F.col("grp").isNotNull()).groupBy("grp").agg(
         F.count(F.lit(1)).alias("size"), F.min("set_id").alias("p0"), F.max("set_id").alias("p1")).where("size > 1")
-    inside = firsts.join(sizes, "grp").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    # a group's classes meet its size in SALTS tasks
+    salt = F.pmod(F.xxhash64("set_id", F.lit(3)), F.lit(SALTS)).cast("int")
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    inside = firsts.withColumn("salt", salt).join(sizes, ["grp", "salt"]).drop("salt").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     inside = inside.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     inside = materialise(inside, "groups")
     t = docs.select("doc_id", "text")
