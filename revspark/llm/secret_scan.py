@@ -30,7 +30,7 @@ STRONG = {
 #: Patterns of the weak kinds.
 WEAK = {
     "login": (r"""(?i:user(?:_?name)?|login|account_id|client_id|access_key_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 1, 3),
-    "key": (r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_-])", 0, 40),
+    "key": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_-])", 0, 40),
     "endpoint": (r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?", 0, 10),
 }
 KINDS = [*STRONG, *WEAK]
