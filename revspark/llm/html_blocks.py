@@ -7,6 +7,10 @@ surges where a window's sum passes `SURGE` and no text run is open, and dives at
 weigh nothing; the text between surge and dive is kept. Where the page marks its article, the marks settle the surge
 and dive points; on other pages the run with the most text is taken, joined with runs at least a third as heavy.
 
+A class or id that names furniture, and a form, are judged by size: an element that holds more than `LARGE` of the page's
+text outside links (`LARGE_BELOW` for readers' comments and related pieces), and no more in links, wraps the main text and
+is no furniture. An article resets marks around it, but not those of comments and related pieces.
+
 Defined cases: null and empty pages, and pages without text, give an empty text; broken markup (tags never closed,
 a page cut off inside a tag, script or comment) is read as browsers do, to the end; repeated rows and ids give a row
 each; other columns of the input are not read.
@@ -28,10 +32,11 @@ from revspark.llm.common import struct_array, texts
 WINDOW = 3
 SURGE = 80
 JOIN_SHARE = 1 / 3
+LARGE, LARGE_BELOW, NEVER = 0.5, 0.9, 2.0
 
 #: FIXED VALUES: element names.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title")
-FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "head"}
+FURNITURE = {"nav", "header", "footer", "aside", "menu", "dialog", "button", "select", "head"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt",
           "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr",
@@ -48,6 +53,10 @@ FURNITURE_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "banner",
                    "replies", "reply", "respond", "share", "sharing", "sidebar", "skip", "social", "sponsor", "sponsored",
                    "subscribe", "subscription", "teaser", "toolbar", "topbar", "widget", "complementary", "contentinfo",
                    "search", "alert", "alertdialog"}
+#: Of these, words of what stands below an article; articles inside are readers' comments or teasers of other pages.
+BELOW_WORDS = {"comment", "commentlist", "comments", "disqus", "related", "replies", "reply", "respond"}
+#: Words after which a name says that the page has, or has not, such an element: `has-sidebar`.
+SAYS_WORDS = {"has", "no", "with", "without"}
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
@@ -61,42 +70,82 @@ _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
 
 
-def is_furniture(attrs: str, own: frozenset[str] = frozenset()) -> bool:
-    """Whether an element's attributes hide it or name it as furniture; `own` are words that do not count."""
+def named(value: str) -> set[str]:
+    """Words of a class, id or role, without those that follow one of SAYS_WORDS in the same name."""
+    words: set[str] = set()
+    for name in value.split():
+        for w in _WORD.findall(name):
+            if w.lower() in SAYS_WORDS:
+                break
+            words.add(w.lower())
+    return words
+
+
+def mark_of(attrs: str, own: frozenset[str] = frozenset()) -> tuple[float, bool] | None:
+    """(share of the page from which the mark does not count, whether it stands below the article) of an element whose
+    attributes hide it or name it as furniture; `own` are words that do not count."""
+    words: set[str] = set()
     for m in _MARK.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return NEVER, False
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name in ("class", "id", "role") and FURNITURE_WORDS & {w.lower() for w in _WORD.findall(value)} - own:
-            return True
-    return False
+            return NEVER, False
+        if name in ("class", "id", "role"):
+            words |= FURNITURE_WORDS & named(value) - own
+    if not words:
+        return None
+    return (LARGE_BELOW, True) if words & BELOW_WORDS else (LARGE, False)
+
+
+class _Marks:
+    """A forest of marked elements: the text inside each, and whether it is furniture. Mark 0 is no mark."""
+
+    def __init__(self):
+        self.up, self.limit, self.plain, self.linked = [0], [NEVER], [0], [0]
+
+    def add(self, up: int, limit: float) -> int:
+        self.up.append(up)
+        self.limit.append(limit)
+        self.plain.append(0)
+        self.linked.append(0)
+        return len(self.up) - 1
+
+    def furniture(self, total: int) -> list[bool]:
+        for k in range(len(self.up) - 1, 0, -1):  # what is inside comes after
+            self.plain[self.up[k]] += self.plain[k]
+            self.linked[self.up[k]] += self.linked[k]
+        out = [False]
+        for k in range(1, len(self.up)):
+            large = self.plain[k] > max(SURGE, self.limit[k] * total) and self.plain[k] >= self.linked[k]
+            out.append(out[self.up[k]] or not large)
+        return out
 
 
 _OWN = frozenset({"header"})
 
 
 class _Open:
-    __slots__ = ("name", "out", "hard", "article", "link")
+    __slots__ = ("name", "mark", "below", "hard", "article", "link")
 
-    def __init__(self, name: str, out: bool, hard: bool, article: bool, link: bool):
+    def __init__(self, name: str, mark: int, below: int, hard: bool, article: bool, link: bool):
         # hard: furniture by an element's name, not just by a class that a wrapper of the article may have too
-        self.name, self.out, self.hard, self.article, self.link = name, out, hard, article, link
+        self.name, self.mark, self.below, self.hard, self.article, self.link = name, mark, below, hard, article, link
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, in an article, in page furniture) of every line of text of the page."""
-    lines: list[tuple[str, int, bool, bool]] = []
+    lines: list[tuple[str, int, _Open]] = []
+    marks, belows = _Marks(), _Marks()
     parts: list[str] = []
     linked = [0]
-    stack = [_Open("", False, False, False, False)]
+    stack = [_Open("", 0, 0, False, False, False)]
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                lines.append((text, min(len(text), linked[0]), stack[-1].article, stack[-1].out))
+                lines.append((text, min(len(text), linked[0]), stack[-1]))
             parts.clear()
         linked[0] = 0
 
@@ -140,17 +189,31 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         main = name in ("article", "main")
         # a header inside an article is the article's own
         hard = top.hard or name in FURNITURE and not (name == "header" and top.article)
-        if main or name in ("html", "body"):
-            out = hard
-        else:
-            marked = bool(attrs) and name not in HEADINGS and is_furniture(attrs, _OWN if top.article else frozenset())
-            out = top.out or hard or marked
+        mark, below = 0 if main else top.mark, top.below
+        found = None
+        if attrs and name not in HEADINGS and name not in ("html", "body", "main"):
+            found = mark_of(attrs, _OWN if top.article else frozenset())
+        if main and found is not None and not found[1]:
+            found = None  # an article itself is furniture only as a comment or a related piece
+        if name == "form" and found is None:
+            found = LARGE, False
+        if found is not None and found[1]:
+            below = belows.add(below, found[0])
+        elif found is not None:
+            mark = marks.add(mark, found[0])
         if not attrs.rstrip().endswith("/") or name in BLOCKS:
-            if out != top.out:
+            if (mark, below, hard) != (top.mark, top.below, top.hard):
                 flush()
-            stack.append(_Open(name, out, hard, (top.article or main) and not out, top.link or name == "a"))
+            stack.append(_Open(name, mark, below, hard, (top.article or main) and not hard, top.link or name == "a"))
     flush()
-    return lines
+    total = 0
+    for text, a, x in lines:
+        total += 0 if x.hard else len(text) - a
+        for forest, k in ((marks, x.mark), (belows, x.below)):
+            forest.plain[k] += 0 if x.hard else len(text) - a
+            forest.linked[k] += 0 if x.hard else a
+    out, out_below = marks.furniture(total), belows.furniture(total)
+    return [(text, a, x.article, x.hard or out[x.mark] or out_below[x.below]) for text, a, x in lines]
 
 
 def surge_and_dive(weights: np.ndarray, marked: np.ndarray) -> list[tuple[int, int]]:

@@ -1,6 +1,9 @@
 """Cases of the second review, held against expected results stated here."""
 
+import pytest
+
 from revspark.llm import secret_scan
+from revspark.llm.html_blocks import main_text
 
 KEY = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
 
@@ -20,3 +23,24 @@ def test_key_directly_behind_its_name(spark):
     texts = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
     assert texts.pop(9) == f"AWS_SECRET_ACCESS_KEY={KEY}"
     assert all(KEY not in t and "AKIA" not in t for t in texts.values())
+
+
+LONG = "A sentence of the article that is long enough to be seen as such, with a number of words. " * 2
+WRAPPERS = ['<div class="content has-sidebar">', '<div id="page" class="no-sidebar">', '<div class="post-share-enabled">',
+            '<div class="search-result-page">', '<form method="post" action="./a.aspx" id="aspnetForm">']
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_wrapper_named_like_furniture(wrapper, article):
+    end = wrapper[1:].split()[0]
+    page = (f"<html><body>{wrapper}<div class=sidebar><p>Aside.</p></div><div class='share-bar'><a href=1>Share</a></div>"
+            f"<{article}><p>{LONG}</p><p>{LONG}</p></{article}><div id=comments><p>{LONG}</p></div></{end}><form>mail: ok</form>")
+    assert main_text(page) == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_articles_below_the_article():
+    below = "".join(f'<div class="{c}"><article><p>{LONG}</p></article></div>' for c in ("comments", "related-posts"))
+    page = f'<article><p>{LONG}</p></article>{below}<article class="comment"><p>{LONG}</p></article>'
+    assert main_text(page) == LONG.strip()
+    assert main_text('<div class="ad">' * 3000 + "x") == ""
