@@ -1,7 +1,8 @@
 r"""License scan: exact containment join of text blocks with license templates.
 
-A block is a sentence: text between line breaks or after `.`, `!`, `?`, `;` followed by white space. A template is found in a
-block when the block's distinct words hold at least `THRESHOLD` of the template's distinct words. All such pairs are
+A block is a sentence: text between line breaks or after `.`, `!`, `?`, `;` followed by white space, and, as license texts
+are hard-wrapped, every window of up to `LINES` consecutive lines of a sentence that runs over line breaks (to a sentence
+end or a line without words; comment marks are no words). Only windows that need all their lines count. A template is found in a block when the block's distinct words hold at least `THRESHOLD` of the template's distinct words. All such pairs are
 found by a prefix-filter join:
 
 * the words that templates use are ordered by how often all documents use them, rarest first;
@@ -37,6 +38,7 @@ from revspark.llm.common import WORD, struct_array, texts, word_bounds
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 THRESHOLD = 0.9
+LINES = 8
 
 #: Template sentences by label. Of a block's matches, one whose words are all in another match's is dropped.
 TEMPLATES = [
@@ -108,6 +110,28 @@ class PrefixIndex:
         self.least = min(self.needed, default=0)
 
     def matches(self, block: set[bytes]) -> list[tuple[int, float]]:
+        """(template, containment) of every template that the block holds, less those whose words are all in another's."""
+        found = self.held(block)
+        return [(t, c) for t, c in found if not any(self.sets[t] < self.sets[u] for u, _ in found)]
+
+    def wrapped(self, lines: list[set[bytes]]) -> list[tuple[int, int, int, float]]:
+        """(first line, last line, template, containment) of the templates that only several lines together hold."""
+        found = []
+        for t, _ in self.held(set().union(*lines)):
+            own, need = self.sets[t], self.needed[t]
+            shared = [own & words for words in lines]
+            for i in range(len(lines)):
+                held: set[bytes] = set()
+                for j in range(i, min(i + LINES, len(lines))):
+                    held |= shared[j]
+                    if len(held) >= need:
+                        if i == j or len(set().union(*shared[i + 1:j + 1])) < need:
+                            found.append((i, j, t, len(held) / len(own)))
+                        break
+        return [x for x in found if x[0] < x[1] and not any(self.sets[x[2]] < self.sets[y[2]] and x[0] <= y[1] and y[0] <= x[1]
+                                                           for y in found)]
+
+    def held(self, block: set[bytes]) -> list[tuple[int, float]]:
         """(template, containment) of every template that the block holds."""
         ordered = sorted((w for w in block if w in self.rank), key=self.rank.get)
         if len(ordered) < self.least:
@@ -124,7 +148,7 @@ class PrefixIndex:
                 shared = sum(x in self.sets[t] for x in ordered)
                 if shared >= self.needed[t]:
                     found.append((t, shared / size))
-        return [(t, c) for t, c in found if not any(self.sets[t] < self.sets[u] for u, _ in found)]
+        return found
 
 
 def scan(text: bytes, index: PrefixIndex) -> tuple:
@@ -141,14 +165,26 @@ def scan(text: bytes, index: PrefixIndex) -> tuple:
                 n += 1
     labels, score, spans = set(base), 1.0 if base else 0.0, []
     if any(w in low for w in index.at):
-        begin = 0
+        begin, lines, bounds = 0, [], []
+
+        def add(t: int, c: float, begin: int, end: int) -> None:
+            nonlocal score
+            labels.add(index.labels[t])
+            score = max(score, c)
+            w0, w1 = int(np.searchsorted(starts, begin)), int(np.searchsorted(starts, end))
+            spans.append(f"{index.labels[t]}:{w0}:{w1}")
+
         for end in [m.end() for m in _BLOCK_END.finditer(low)] + [len(low)]:
             block = set(_WORDS.findall(low, begin, end))
             for t, c in index.matches(block) if len(block) >= index.least else ():
-                labels.add(index.labels[t])
-                score = max(score, c)
-                w0, w1 = int(np.searchsorted(starts, begin)), int(np.searchsorted(starts, end))
-                spans.append(f"{index.labels[t]}:{w0}:{w1}")
+                add(t, c, begin, end)
+            if block:
+                lines.append(block)
+                bounds.append((begin, end))
+            if not block or end == len(low) or low[end - 1] != 0x0A:  # the sentence ends here
+                for i, j, t, c in index.wrapped(lines) if len(lines) > 1 else ():
+                    add(t, c, bounds[i][0], bounds[j][1])
+                lines, bounds = [], []
             begin = end
     return (len(starts), n, min(firsts, default=None), max(lasts, default=None), ",".join(sorted(base)),
             ",".join(sorted(labels)), score, ",".join(spans))

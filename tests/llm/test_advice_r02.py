@@ -4,6 +4,7 @@ import pytest
 
 from revspark.llm import secret_scan
 from revspark.llm.html_blocks import main_text
+from revspark.llm.licenses import license_scan
 
 KEY = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
 
@@ -44,3 +45,32 @@ def test_articles_below_the_article():
     page = f'<article><p>{LONG}</p></article>{below}<article class="comment"><p>{LONG}</p></article>'
     assert main_text(page) == LONG.strip()
     assert main_text('<div class="ad">' * 3000 + "x") == ""
+
+
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is""",
+    "bsd": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright""",
+    "isc": """# Permission to use, copy, modify, and/or distribute this software for any
+# purpose with or without fee is hereby granted, provided that the above
+# copyright notice and this permission notice appear in all copies.""",
+    "gpl,gpl-3": """// This program is free software: you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation, either version 3 of the License, or
+// (at your option) any later version.""",
+    "lgpl-3": "Distributed\r\nunder the GNU Lesser General\r\nPublic License,\r\nversion 3",
+    "": "under the GNU General\n\nPublic License, version 3\n" + "released\n" + "word\n" * 9 + "under the mit\n" + "word\n" * 9 + "license",
+}
+
+
+def test_hard_wrapped_licenses(spark):
+    rows = [(k, t) for k, t in enumerate(WRAPPED.values())]
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["labels"] for k, _ in rows] == list(WRAPPED)
+    assert got[2]["blocks"] == "isc:0:24" and got[2]["score"] == 1 and got[2]["base_labels"] == ""
