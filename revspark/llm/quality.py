@@ -85,11 +85,31 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
+#: Weight of the prior where hosts do not differ visibly: their rates are pooled.
+POOLED = 1e6
+
+
+def prior_strength(n: int, f: int, q: float, squares: float, hosts: int) -> float:
+    """Documents that the prior counts for, by moments of `hosts` hosts: n documents, f failed; q the sum of documents *
+    rate ** 2 and squares that of documents ** 2 over the hosts.
+
+    Weighted by documents, the squared deviations of the rates sum to (hosts - 1) * spread by sampling alone; each unit
+    of true variance between hosts adds n - squares / n - (hosts - 1).
+    """
+    mean = f / n
+    spread = mean * (1 - mean)
+    seen = q - n * mean * mean - (hosts - 1) * spread
+    room = n - squares / n - (hosts - 1)
+    if seen <= 0 or room <= 0:
+        return POOLED
+    return min(POOLED, max(1.0, spread * room / seen - 1))
+
+
 def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """(source, host_docs, host_rate, host_ok) from rows of (source, base_failed).
 
     The beta prior is fitted to the hosts' rates by the method of moments, each host weighted by its documents. With
-    one host, or none that differ, the prior is the corpus rate with the weight of one document.
+    one host, or none that differ, the prior is the corpus rate with the weight of `POOLED` documents.
     """
     hosts = (judged.where(F.col("source").isNotNull()).groupBy("source")
              .agg(F.count(F.lit(1)).alias("host_docs"), F.count_if("base_failed").alias("host_failed")))
@@ -97,16 +117,12 @@ def host_verdicts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     # one row of five numbers, whatever the number of hosts
     m = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"),
                   F.sum(F.col("host_docs") * rate * rate).alias("q"), F.count(F.lit(1)).alias("hosts"),
-                  F.avg(1 / F.col("host_docs")).alias("inv")).first()
+                  F.sum(F.col("host_docs").cast("double") * F.col("host_docs")).alias("squares")).first()
     n, mean = (m["n"] or 0), 0.0
     strength = 1.0
     if n:
         mean = m["f"] / n
-        spread = mean * (1 - mean)
-        # variance of the observed rates less what sampling alone gives
-        between = max(0.0, m["q"] / n - mean * mean - spread * m["inv"])
-        if between > 0:
-            strength = min(1e6, max(1.0, spread / between - 1))
+        strength = prior_strength(n, m["f"], m["q"], m["squares"], m["hosts"])
     a, b = mean * strength, (1 - mean) * strength
     shrunk = (F.col("host_failed") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
     out = hosts.select("source", "host_docs", shrunk.alias("host_rate"), (shrunk <= limit).alias("host_ok"))

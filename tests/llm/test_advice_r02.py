@@ -1,8 +1,12 @@
 """Cases of the second review, held against expected results stated here."""
 
+import math
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from revspark.llm import secret_scan
+from revspark.llm import quality, secret_scan
 from revspark.llm.html_blocks import main_text
 from revspark.llm.licenses import license_scan
 
@@ -74,3 +78,35 @@ def test_hard_wrapped_licenses(spark):
     got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k]["labels"] for k, _ in rows] == list(WRAPPED)
     assert got[2]["blocks"] == "isc:0:24" and got[2]["score"] == 1 and got[2]["base_labels"] == ""
+
+
+def moments(docs, failed):
+    n, f = np.array(docs, dtype=float), np.array(failed, dtype=float)
+    return int(n.sum()), int(f.sum()), float((f * f / n).sum()), float((n * n).sum()), len(n)
+
+
+def test_prior_beside_a_hot_host_is_that_of_a_beta_binomial_fit():
+    rng = np.random.default_rng(4)
+    n = np.array([15_000] + [20] * 2000)
+    rate = rng.beta(2, 8, len(n))
+    rate[0] = 0.2
+    f = rng.binomial(n, rate)
+    mean = f.sum() / n.sum()
+
+    def likelihood(s):
+        a, b, g = mean * s, (1 - mean) * s, math.lgamma
+        return sum(g(x + a) + g(m - x + b) - g(m + s) - g(a) - g(b) + g(s) for x, m in zip(f.tolist(), n.tolist(), strict=True))
+
+    fitted = max(np.arange(2, 40, 0.5).tolist(), key=likelihood)
+    # the hot host alone, weighted by its documents, says little of the variance
+    assert 0.5 < quality.prior_strength(*moments(n, f)) / fitted < 2
+
+
+def test_small_hosts_beside_a_hot_one_are_not_rejected(spark):
+    rng = np.random.default_rng(5)
+    n = np.array([15_000] + [3] * 2000)
+    hosts = spark.createDataFrame(list(zip([f"h{k}" for k in range(len(n))], n.tolist(), rng.binomial(n, 0.2).tolist(), strict=True)),
+                                  "source string, docs int, failed int")
+    judged = hosts.select("source", F.explode(F.expr("transform(sequence(1, docs), k -> k <= failed)")).alias("base_failed"))
+    got = quality.host_verdicts(judged).collect()
+    assert len(got) == 2001 and all(r["host_ok"] for r in got)
