@@ -95,9 +95,27 @@ select page_id, payload_bytes, payload_digest, case when refers_to is null then
 from typed
 """
 
+_SUBSTRINGS = f"""
+with docs as (select row_number() over () as r, doc_id, {_BLANK_WORDS.format("coalesce(text, '')")} as w from documents),
+windows as (
+  select r, doc_id, i, array_to_string(w[i:i + 12], ' ') as s
+  from (select r, doc_id, w, unnest(range(1, len(w) - 11)) as i from docs where len(w) >= 13 and doc_id is not null)),
+firsts as (select s, min(doc_id) as least from windows group by s),
+gone as (
+  select r, list_distinct(flatten(list(range(i, i + 13)))) as k from windows join firsts using (s) where least < doc_id group by r),
+words as (select r, unnest(w) as word, generate_subscripts(w, 1) as p from docs),
+lost as (select r, unnest(k) as p from gone),
+kept as (
+  select r, string_agg(word, ' ' order by p) as t from words anti join lost using (r, p) group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(k), 0) as bigint) as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from docs left join gone using (r) left join kept using (r)
+"""
+
 SQL = {
     "op3_decontamination": _DECONTAMINATION,
     "op4_jaccard_join": _JACCARD,
     "op5_quality_rules": _QUALITY,
     "op7_warc": _WARC,
+    "op13_substring_dedup": _SUBSTRINGS,
 }

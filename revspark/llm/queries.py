@@ -14,6 +14,7 @@ from revspark.llm.oracle import SQL  # noqa: F401  read by the registry
 from revspark.llm.quality import quality_report
 from revspark.llm.secret_scan import secret_scan
 from revspark.llm.suffix_dedup import dedup
+from revspark.llm.super_kmers import substring_dedup
 from revspark.llm.toxicity import toxicity
 from revspark.llm.warc import round_trip
 
@@ -58,6 +59,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans", "t1", "t2")
+
+
 Q = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_license_scan": op2_license_scan,
@@ -69,4 +74,5 @@ Q = {
     "op8_secret_scan": op8_secret_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op13_substring_dedup": op13_substring_dedup,
 }

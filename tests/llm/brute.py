@@ -114,3 +114,21 @@ def contaminated(text, items, width=13):
                     found.add(item)
     ids = sorted(map(str, found))
     return (len(words), len(hit), len(ids), sha(",".join(ids)), bool(hit) and 20 * len(hit) >= len(words))
+
+
+def shared_windows(rows, width=13):
+    """Per (doc_id, text): doc_id, words, removed words, SHA-256 of the kept ones."""
+    first = {}
+    cut = [(i, (t or "").encode().split()) for i, t in rows]
+    for i, w in cut:
+        for k in range(len(w) - width + 1) if i is not None else ():
+            key = tuple(w[k:k + width])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in cut:
+        gone = [False] * len(w)
+        for k in range(len(w) - width + 1) if i is not None else ():
+            if first[tuple(w[k:k + width])] < i:
+                gone[k:k + width] = [True] * width
+        out.append((i, len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
+    return out
