@@ -112,10 +112,39 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(k), 0) as bi
 from docs left join gone using (r) left join kept using (r)
 """
 
+_COLLOCATIONS = rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+cut as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from cut group by lang),
+places as (
+  select lang, w, k, unnest(range(1, len(w) - k + 2)) as i
+  from cut, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k),
+f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as c from places group by 1, 2, 3),
+often as (select lang, k, phrase, string_split(phrase, ' ') as w, c from f where c >= 30),
+cuts as (
+  select o.lang, o.phrase, o.c as a, j, x.c as l, y.c as r,
+         cast((2000000::hugeint * o.c) // (x.c + y.c) as bigint) as score
+  from (select *, unnest(range(1, k)) as j from often where k > 1) o
+  join often x on x.lang = o.lang and x.phrase = array_to_string(o.w[1:j], ' ')
+  join often y on y.lang = o.lang and y.phrase = array_to_string(o.w[j + 1:o.k], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+longer as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(c) as most
+  from (select lang, w, c, m, unnest(range(1, k - m + 2)) as i
+        from often, (select unnest([2, 3]) as m) where k > m) group by 1, 2),
+ranked as (
+  select b.lang, b.phrase, a, l, r, score, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+  from best b left join longer g on g.lang = b.lang and g.phrase = b.phrase
+  where most is null or 100::hugeint * most < 80::hugeint * a)
+select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
 SQL = {
     "op3_decontamination": _DECONTAMINATION,
     "op4_jaccard_join": _JACCARD,
     "op5_quality_rules": _QUALITY,
     "op7_warc": _WARC,
+    "op12_collocations": _COLLOCATIONS,
     "op13_substring_dedup": _SUBSTRINGS,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revspark.llm.collocations import collocations
 from revspark.llm.common import table
 from revspark.llm.decontaminate import contamination_report
 from revspark.llm.html_blocks import extract_text
@@ -59,6 +60,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("spans", "t1", "t2")
 
@@ -74,5 +79,6 @@ Q = {
     "op8_secret_scan": op8_secret_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op12_collocations": op12_collocations,
     "op13_substring_dedup": op13_substring_dedup,
 }

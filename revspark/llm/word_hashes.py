@@ -82,7 +82,7 @@ def hash_filter(hashes: DataFrame, column: str) -> Broadcast:
         yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.int32()), pa.array([np.packbits(x).tobytes() for x in own.values()],
                                                                                     pa.binary())], names=["slice", "bits"])
 
-    cut = hashes.select(F.col(column).alias("h")).withColumn("s", F.shiftrightunsigned("h", 58)).repartition(_SLICES, "s").drop("s")
+    cut = hashes.select(F.col(column).alias("h")).withColumn("s", F.shiftrightunsigned("h", 58)).repartition("s").drop("s")
     table = np.zeros((_SLICES, size // 8), dtype=np.uint8)
     for row in cut.mapInArrow(fill, "slice int, bits binary").collect():  # _SLICES rows, MAX_BITS in all at most
         table[row["slice"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
