@@ -112,6 +112,32 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(k), 0) as bi
 from docs left join gone using (r) left join kept using (r)
 """
 
+_HARD_NEGATIVES = """
+with taking as (
+  select row_number() over () as r, vec_id, embedding as e, cast(label as bigint) as label from embeddings
+  where label is not null and embedding is not null
+    and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+v as (
+  select r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         [cast(floor(256 * cast(y as double)) as bigint) for y in e] as x
+  from taking),
+scores as (
+  select a.r as ar, a.vec_id as anchor_id, b.r as br, b.vec_id as id, a.label = b.label as same,
+         cast(coalesce(list_sum([a.x[i] * b.x[i] for i in range(1, least(len(a.x), len(b.x)) + 1)]), 0) as bigint) as score
+  from v a join v b on a.r != b.r where a.vec_id % 100 = 0),
+positives as (
+  select ar, anchor_id, id as positive_id, score as positive_score,
+         row_number() over (partition by ar order by score desc, id) as slot
+  from scores where same qualify slot <= 5),
+negatives as (
+  select anchor_id, positive_id, positive_score, id as negative_id, score as negative_score,
+         row_number() over (partition by p.ar, slot order by score desc, id) as rank
+  from positives p join (select ar, id, score, same from scores) s on s.ar = p.ar and not s.same
+    and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+  qualify rank <= 10)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from negatives
+"""
+
 _COLLOCATIONS = rf"""
 with pieces as (
   select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
@@ -145,6 +171,7 @@ SQL = {
     "op4_jaccard_join": _JACCARD,
     "op5_quality_rules": _QUALITY,
     "op7_warc": _WARC,
+    "op11_hard_negatives": _HARD_NEGATIVES,
     "op12_collocations": _COLLOCATIONS,
     "op13_substring_dedup": _SUBSTRINGS,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from revspark.llm.collocations import collocations
 from revspark.llm.common import table
 from revspark.llm.decontaminate import contamination_report
+from revspark.llm.hard_negatives import hard_negatives
 from revspark.llm.html_blocks import extract_text
 from revspark.llm.jaccard_join import jaccard_components
 from revspark.llm.licenses import license_scan
@@ -60,6 +61,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings")).drop("positive_rank")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ Q = {
     "op8_secret_scan": op8_secret_scan,
     "op9_source_mixing": op9_source_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_collocations": op12_collocations,
     "op13_substring_dedup": op13_substring_dedup,
 }
