@@ -70,7 +70,7 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans", "t1", "t2")
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("spans")
 
 
 Q = {

@@ -6,10 +6,11 @@ smaller doc_id.
 2. A window that stands in two texts has a minimiser that does. Minimisers of one text alone, exact copies counted as one, are
    left behind: a filter of bounded size (`word_hashes.hash_filter`) tells them, and what it lets through too much is found to
    be unrepeated later.
-3. Super-k-mers travel to the bucket of their minimiser, equal ones merged before. There the windows of all strings
-   are sorted by their bytes; equal neighbours are the same window, and its smallest doc_id is known. Minimisers of more than
-   HOT_ROWS rows would make a large bucket: their windows travel one by one, each to a bucket of its own.
-4. The smallest doc_ids go back to the places of each super-k-mer, and each text's covered words are cut out.
+3. Super-k-mers travel to the bucket of their minimiser. There the windows of all its strings are sorted by their bytes:
+   equal neighbours are the same window, and its smallest doc_id is known. A bucket has at most HOT_ROWS rows.
+4. Minimisers of more rows (common passages) take a longer way: their windows travel one by one, equal ones merged before, each to a
+   bucket of its own; the smallest doc_ids are joined back to the places, a join that may be skewed and that Spark can split.
+5. Each text's covered words are cut out. The texts are shuffled once; every step that needs them reads that exchange.
 
 Of equal texts only the one with the smallest doc_id is looked at: the others, if they have a window, lose all their words.
 
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,11 +36,11 @@ from revspark.llm.common import SLICE_BYTES, groups_of, materialise, texts
 from revspark.llm.word_hashes import hash_filter, hash_grams, hash_words, passes, word_edges
 
 WIDTH = 13
-GRAM = 5
+GRAM = 4
 #: Windows a packed string has at most; longer runs are cut.
 RUN = 64
 HOT_ROWS = 20_000
-#: Super-k-mers whose windows are sorted at once (whole buckets, or one bucket).
+#: Rows whose windows are sorted at once (whole buckets, or one bucket).
 SORT_ROWS = 20_000
 #: Windows of a text that are looked at together.
 _CHUNK = 1 << 19
@@ -100,93 +101,77 @@ class _Runs:
         return at[first] + begin, np.diff(np.append(first, len(at))), owner[at[first]], least[at[first]]
 
 
-_MARK = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("sha", T.StringType()),
-                      T.StructField("minimisers", T.ArrayType(T.LongType()))])
-
-
-def _marker(width: int, gram: int):
-    @F.arrow_udf(_MARK)
-    def mark(text: pa.Array) -> pa.Array:
-        """Number of words, hash of the words joined by a space, distinct minimisers."""
-        n_words, sha, found, counts = [], [], [], []
-        for _, block in _blocks(text):
-            runs = _Runs(block, width, gram)
-            n_words.append(runs.n_words)
-            sha += [hashlib.sha256(t).hexdigest() for t in block]
-            order = np.lexsort((runs.hash, runs.owner))
-            owner, h = runs.owner[order], runs.hash[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (np.diff(owner) != 0) | (h[1:] != h[:-1])
-            found.append(h[new].view(np.int64))
-            counts.append(np.bincount(owner[new], minlength=len(block)))
-        together = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(together(counts))])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(together(found), pa.int64()))
-        return pa.StructArray.from_arrays([pa.array(together(n_words), pa.int64()), pa.array(sha, pa.string()), lists],
-                                          names=["n_words", "sha", "minimisers"])
-
-    return mark
-
-
-def _taken(batch: pa.RecordBatch, known, hot, width: int, gram: int) -> Iterator[tuple[int, bytes, bytes, int, int]]:
-    """(row, packed string, its id, bucket, first word) of the super-k-mers of a batch whose minimisers pass."""
+def _minimiser_rows(width: int, gram: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct minimisers of each text."""
+        for batch in batches:
+            t1 = batch.column("t1").to_numpy()
+            for begin, block in _blocks(batch.column("text")):
+                runs = _Runs(block, width, gram)
+                order = np.lexsort((runs.hash, runs.owner))
+                owner, h = runs.owner[order], runs.hash[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (np.diff(owner) != 0) | (h[1:] != h[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(t1[begin + owner[new]]), pa.array(h[new].view(np.int64))], names=["t1", "h"])
+
+    return rows
+
+
+_PLACES = "bucket long, packed binary, did long, t1 long, start int"
+
+
+def _taker(known, hot, width: int, gram: int):
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The super-k-mers whose minimisers pass, and where they start."""
+        for batch in batches:
+            for begin, block in _blocks(batch.column("text")):
+                runs = _Runs(block, width, gram)
+                keep = np.flatnonzero(passes(known.value, runs.hash) & ~passes(hot.value, runs.hash))
+                first = runs.first[keep]
+                ends = runs.ends[first + runs.windows[keep] + width - 2]
+                packed = [runs.bytes[a:b] for a, b in zip(runs.starts[first].tolist(), ends.tolist(), strict=True)]
+                rows = pa.array(begin + runs.owner[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(runs.hash[keep].view(np.int64)), pa.array(packed, pa.binary()), batch.column("did").take(rows),
+                     batch.column("t1").take(rows), pa.array((first - runs.first_word[runs.owner[keep]]).astype(np.int32))],
+                    names=["bucket", "packed", "did", "t1", "start"])
+
+    return take
+
+
+def _hot_windows(batch: pa.RecordBatch, hot, width: int, gram: int) -> Iterator[tuple[int, bytes, bytes, int]]:
+    """(row, window, its id, first word) of every window of a hot minimiser."""
     for begin, block in _blocks(batch.column("text")):
         runs = _Runs(block, width, gram)
-        keep = np.flatnonzero(passes(known.value, runs.hash))
-        alone = passes(hot.value, runs.hash[keep])
-        for k, single in zip(keep.tolist(), alone.tolist(), strict=True):
-            first, n, row = int(runs.first[k]), int(runs.windows[k]), int(runs.owner[k])
-            start = first - int(runs.first_word[row])
-            if single:
-                for j in range(n):
-                    packed = runs.bytes[runs.starts[first + j]:runs.ends[first + j + width - 1]]
-                    key = xxhash.xxh3_64_intdigest(packed) - (1 << 63)
-                    yield begin + row, packed, xxhash.xxh3_128_digest(b"1" + packed), key, start + j
-            else:
-                packed = runs.bytes[runs.starts[first]:runs.ends[first + n + width - 2]]
-                yield begin + row, packed, xxhash.xxh3_128_digest(b"0" + packed), int(runs.hash[k].view(np.int64)), start
-
-
-def _packer(known, hot, width: int, gram: int):
+        for k in np.flatnonzero(passes(hot.value, runs.hash)).tolist():
+            first, row = int(runs.first[k]), int(runs.owner[k])
+            for w in range(first, first + int(runs.windows[k])):
+                window = runs.bytes[runs.starts[w]:runs.ends[w + width - 1]]
+                yield begin + row, window, xxhash.xxh3_128_digest(window), w - int(runs.first_word[row])
+
+
+def _hot_packer(hot, width: int, gram: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct super-k-mers of each batch with the smallest and largest doc_id that has them."""
+        """Distinct windows of each batch with the smallest doc_id that has them."""
         for batch in batches:
             ids = batch.column("did").to_pylist()
-            seen: dict[bytes, list] = {}
-            size = 0
-            for row, packed, sid, bucket, _ in _taken(batch, known, hot, width, gram):
-                old = seen.get(sid)
-                if old is None:
-                    seen[sid] = [bucket, sid, packed, ids[row], ids[row]]
-                    size += len(packed)
-                    if size > 8 * SLICE_BYTES:
-                        yield _packed(seen)
-                        seen, size = {}, 0
-                else:
-                    old[3], old[4] = min(old[3], ids[row]), max(old[4], ids[row])
-            yield _packed(seen)
+            seen: dict[bytes, int] = {}
+            for row, _, wid, _ in _hot_windows(batch, hot, width, gram):
+                seen[wid] = min(seen.get(wid, ids[row]), ids[row])
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["wid", "did"])
 
     return pack
 
 
-def _packed(seen: dict[bytes, list]) -> pa.RecordBatch:
-    columns = list(zip(*seen.values(), strict=True)) or [[]] * 5
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                                      names=["bucket", "sid", "packed", "lo", "hi"])
-
-
-def _placer(known, hot, width: int, gram: int):
+def _hot_placer(hot, width: int, gram: int):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Where each text has each of its super-k-mers."""
+        """Where each text has each window of a hot minimiser."""
         for batch in batches:
-            own: dict[tuple[int, bytes], list[int]] = {}
-            for row, _, sid, _, start in _taken(batch, known, hot, width, gram):
-                own.setdefault((row, sid), []).append(start)
-            at = pa.array([row for row, _ in own], pa.int64())
+            found = [(row, wid, start) for row, _, wid, start in _hot_windows(batch, hot, width, gram)]
+            rows = pa.array([f[0] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(at) for c in ("did", "t1", "t2")), pa.array([sid for _, sid in own], pa.binary()),
-                 pa.array(own.values(), pa.list_(pa.int32()))], names=["did", "t1", "t2", "sid", "starts"])
+                [pa.array([f[1] for f in found], pa.binary()), batch.column("did").take(rows), batch.column("t1").take(rows),
+                 pa.array([f[2] for f in found], pa.int32())], names=["wid", "did", "t1", "start"])
 
     return place
 
@@ -201,146 +186,137 @@ def _windows(packed: bytes, width: int) -> list[bytes]:
     return [packed[cuts[k] + 1:cuts[k + width]] for k in range(len(cuts) - width)]
 
 
+_FOUND = "did long, t1 long, start int, least array<long>"
+
+
 def _counter(width: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per super-k-mer the smallest doc_id of each of its windows; rows come sorted by bucket and id. Strings whose windows
-        stand in no document smaller than their own are left out."""
-        held: list[list] = []
+        """The smallest doc_id of each window of a place; rows come sorted by bucket and string. Places none of whose windows
+        stand in a smaller document are left out."""
+        held: list[tuple] = []  # (bucket, packed, did, t1, start)
 
         def result() -> pa.RecordBatch:
             windows: list[bytes] = []
-            owner: list[int] = []
+            ends: list[int] = []  # of the windows of each distinct string
+            low: list[int] = []
+            string: list[int] = []  # of each row
             for k, row in enumerate(held):
-                own = _windows(row[2], width)
-                windows += own
-                owner += [k] * len(own)
+                if not k or row[1] != held[k - 1][1] or row[0] != held[k - 1][0]:
+                    windows += _windows(row[1], width)
+                    ends.append(len(windows))
+                    low.append(row[2])
+                elif row[2] < low[-1]:
+                    low[-1] = row[2]
+                string.append(len(ends) - 1)
+            owner = np.repeat(np.arange(len(ends)), np.diff([0, *ends])).tolist()
             order = sorted(range(len(windows)), key=windows.__getitem__)
             least = [0] * len(windows)
             k = 0
             while k < len(order):
-                window, end, low = windows[order[k]], k, held[owner[order[k]]][3]
+                window, end, lowest = windows[order[k]], k + 1, low[owner[order[k]]]
                 while end < len(order) and windows[order[end]] == window:
-                    low = min(low, held[owner[order[end]]][3])
+                    lowest = min(lowest, low[owner[order[end]]])
                     end += 1
                 for x in order[k:end]:
-                    least[x] = low
+                    least[x] = lowest
                 k = end
-            ids, lists, begin = [], [], 0
-            while begin < len(owner):
-                end, row = begin, held[owner[begin]]
-                while end < len(owner) and owner[end] == owner[begin]:
-                    end += 1
-                if min(least[begin:end]) < row[4]:
-                    ids.append(row[1])
-                    lists.append(least[begin:end])
-                begin = end
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                                              names=["sid", "least"])
+            lists = [least[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            lowest = [min(x) for x in lists]
+            hit = [k for k, row in enumerate(held) if lowest[string[k]] < row[2]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([held[k][2] for k in hit], pa.int64()), pa.array([held[k][3] for k in hit], pa.int64()),
+                 pa.array([held[k][4] for k in hit], pa.int32()), pa.array([lists[string[k]] for k in hit], pa.list_(pa.int64()))],
+                names=["did", "t1", "start", "least"])
 
         for table in groups_of(batches, "bucket"):
             for part in table.to_batches(max_chunksize=10_000):
-                for row in zip(*(part.column(c).to_pylist() for c in ("bucket", "sid", "packed", "lo", "hi")), strict=True):
-                    if held and held[-1][1] == row[1]:
-                        held[-1][3], held[-1][4] = min(held[-1][3], row[3]), max(held[-1][4], row[4])
-                        continue
+                for row in zip(*(part.column(c).to_pylist() for c in ("bucket", "packed", "did", "t1", "start")), strict=True):
                     if len(held) >= SORT_ROWS and held[-1][0] != row[0]:
                         yield result()
                         held = []
-                    held.append(list(row))
+                    held.append(row)
         if held:
             yield result()
 
     return count
 
 
-_CUT = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("sha", T.StringType()),
-                     T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
+_CUT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("sha", T.StringType()),
+                     T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.StringType())])
+
 
+def _covered(did: np.ndarray, sizes: np.ndarray, found: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of the texts, one after the other, are covered; and where each text begins."""
+    begin = np.cumsum(sizes) - sizes
+    lengths = np.diff(found.offsets.to_numpy())
+    rows = found.flatten()
+    text = np.repeat(np.arange(len(sizes)), lengths)
+    least = rows.field("least")
+    n = np.diff(least.offsets.to_numpy())
+    values = least.flatten().to_numpy()
+    first = np.repeat(begin[text] + rows.field("start").to_numpy(), n)
+    place = first + np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+    hit = place[values < np.repeat(did[text], n)]
+    total = int(sizes.sum())
+    step = np.bincount(hit, minlength=total + width + 1) - np.bincount(hit + width, minlength=total + width + 1)[:total + width + 1]
+    return np.cumsum(step)[:total] > 0, begin
 
-def _cutter(width: int):
+
+def _cutter(width: int, keep: bool):
     @F.arrow_udf(_CUT)
-    def cut(did: pa.Array, text: pa.Array, found: pa.Array) -> pa.Array:
-        """Cut the covered words out of each text: their number, the hash of the others, the spans of words cut."""
+    def cut(did: pa.Array, text: pa.Array, copy: pa.Array, found: pa.Array) -> pa.Array:
+        """Cut the covered words out of each text, or all words out of copies of earlier texts that have a window."""
+        words = [t.split() for t in texts(text)]
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        cover, begin = _covered(did.fill_null(0).to_numpy(), sizes, found, width)
         out = []
-        for i, t, rows in zip(did.to_pylist(), texts(text), found.to_pylist(), strict=True):
-            words = t.split()
-            gone = np.zeros(len(words) + 1, dtype=np.int64)
-            for row in rows:
-                hit = np.flatnonzero(np.array(row["least"], dtype=np.int64) < i)
-                for start in row["starts"]:
-                    np.add.at(gone, start + hit, 1)
-                    np.add.at(gone, start + hit + width, -1)
-            cover = np.cumsum(gone[:-1]) > 0
-            begin, end = word_edges(cover)
-            kept = b" ".join(w for w, g in zip(words, cover.tolist(), strict=True) if not g)
-            out.append({"n_removed": int(cover.sum()), "sha": hashlib.sha256(kept).hexdigest(),
-                        "spans": [[int(a), int(b)] for a, b in zip(begin, end, strict=True)]})
-        return pa.array(out, pa.struct([("n_removed", pa.int64()), ("sha", pa.string()),
-                                        ("spans", pa.list_(pa.list_(pa.int64())))]))
+        for own, n, start, again in zip(words, sizes.tolist(), begin.tolist(), copy.to_pylist(), strict=True):
+            gone = cover[start:start + n]
+            if again and n >= width:
+                gone = np.ones(n, dtype=bool)
+            a, b = word_edges(gone)
+            spans = np.stack([a, b], axis=1).tolist()
+            edges = [0, *(x for s in spans for x in s), n]
+            kept = b" ".join(w for x, y in zip(edges[::2], edges[1::2], strict=True) for w in own[x:y])
+            out.append({"n_words": n, "n_removed": int(gone.sum()), "sha": hashlib.sha256(kept).hexdigest(), "spans": spans,
+                        "kept": kept.decode() if keep else None})
+        return pa.array(out, pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.string()),
+                                        ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.string())]))
 
     return cut
 
 
-def _keys(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
-
-
-def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Per row of `docs`: doc_id, n_words, n_removed, kept_sha256 and `spans`, the removed words as [start, end) in words; and
-    t1, t2, a 128-bit hash of the text."""
+def substring_dedup(docs: DataFrame, keep: bool = False, width: int = WIDTH, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Per row of `docs`: doc_id, n_words, n_removed, kept_sha256 and `spans`, the removed words as [start, end) in words; with
+    `keep` also `kept`, the words that stay, joined by one space."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), *_keys(text))
-    marked = materialise(rows.select("doc_id", "t1", "t2", _marker(width, gram)("text").alias("m"))
-                         .select("doc_id", "t1", "t2", "m.*"), "minimisers")
-    long = marked.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= width))
-    firsts = long.groupBy("t1", "t2").agg(F.min("doc_id").alias("did"))
+    rows = docs.select(F.col("doc_id").alias("did"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"),
+                       text.alias("text"))
+    named = rows.where(F.col("did").isNotNull())
 
     # minimisers of two texts at least
-    each = long.select("t1", F.explode("minimisers").alias("h"))
-    seen = each.groupBy("h").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.count(F.lit(1)).alias("c"))
+    seen = (named.select("t1", "text").mapInArrow(_minimiser_rows(width, gram), "t1 long, h long")
+            .groupBy("h").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.count(F.lit(1)).alias("c")))
     shared = materialise(seen.where("lo < hi").select("h", (F.col("c") > hot_rows).alias("hot")), "shared")
-    known, hot = hash_filter(shared, "h"), hash_filter(shared.where("hot"), "h")
+    hot_ones = shared.where("hot")
+    known, hot = hash_filter(shared, "h"), hash_filter(hot_ones, "h")
 
-    # the first of each text; both passes and the cut read one exchange of the texts
-    keys = ["did", "t1", "t2"]
-    source = rows.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("did"), "t1", "t2", "text")
+    keys = ["did", "t1"]
+    source = named.select(*keys, "text")
+    firsts = named.groupBy("t1", "t2").agg(F.min("did").alias("did")).dropDuplicates(keys).select(*keys, F.lit(False).alias("copy"))
     held = source.join(firsts.hint("shuffle_merge"), keys).select(*keys, "text")
-    least = (held.mapInArrow(_packer(known, hot, width, gram), "bucket long, sid binary, packed binary, lo long, hi long")
-             .repartition("bucket").sortWithinPartitions("bucket", "sid").mapInArrow(_counter(width), "sid binary, least array<long>"))
-    places = held.mapInArrow(_placer(known, hot, width, gram), "did long, t1 long, t2 long, sid binary, starts array<int>")
-    found = places.join(least, "sid").groupBy(*keys).agg(F.collect_list(F.struct("starts", "least")).alias("found"))  # of one text
-    cut = (source.join(found.hint("shuffle_merge"), keys).select(*keys, _cutter(width)("did", "text", "found").alias("x"))
-           .groupBy(*keys).agg(F.first("x").alias("x")))
-
-    joined = (marked.select("doc_id", "t1", "t2", "n_words", "sha")
-              .join(firsts.withColumnRenamed("did", "first"), ["t1", "t2"], "left")
-              .join(cut.withColumnRenamed("did", "doc_id"), ["doc_id", "t1", "t2"], "left"))
-    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= width)
-    no_spans = F.expr("cast(array() as array<array<bigint>>)")
-    return joined.select(
-        "doc_id", "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("x.n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("x.sha", "sha")).alias("kept_sha256"),
-        F.when(copy, F.array(F.array(F.lit(0).cast("long"), F.col("n_words")))).otherwise(F.coalesce("x.spans", no_spans)).alias("spans"),
-        "t1", "t2")
-
-
-def kept_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of `docs` with their texts shortened: kept words joined by one space; texts that lose none stay as they are."""
-
-    @F.arrow_udf(T.StringType())
-    def shorten(text: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for t, own in zip(texts(text), spans.to_pylist(), strict=True):
-            words = t.split()
-            edges = [0, *(x for s in own for x in s), len(words)]
-            out.append(b" ".join(b" ".join(words[a:b]) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b).decode())
-        return pa.array(out, pa.string())
-
-    cuts = (substring_dedup(docs, width).where("n_removed > 0")
-            .select(F.col("doc_id").alias("_did"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("spans").alias("_spans"))
-            .dropDuplicates(["_did", "_t1", "_t2"]))
-    t1, t2 = _keys(F.coalesce("text", F.lit("")))
-    on = (F.col("doc_id") == F.col("_did")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2"))
-    shorter = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(shorten("text", F.coalesce("_spans", F.array())))
-    return docs.join(cuts, on, "left").withColumn("text", shorter).select(*docs.columns)
+    found = (held.mapInArrow(_taker(known, hot, width, gram), _PLACES).repartition("bucket").sortWithinPartitions("bucket", "packed")
+             .mapInArrow(_counter(width), _FOUND))
+    if not hot_ones.isEmpty():
+        least = held.mapInArrow(_hot_packer(hot, width, gram), "wid binary, did long").groupBy("wid").agg(F.min("did").alias("least"))
+        places = held.mapInArrow(_hot_placer(hot, width, gram), "wid binary, did long, t1 long, start int").join(least, "wid")
+        found = found.union(places.where("least < did").select("did", "t1", "start", F.array("least")))
+    ranges = found.groupBy(*keys).agg(F.collect_list(F.struct("start", "least")).alias("found"))  # of one text
+
+    nothing = F.expr("cast(array() as array<struct<start:int,least:array<bigint>>>)")
+    cut = lambda copy, found: _cutter(width, keep)("did", "text", copy, found)
+    joined = source.join(firsts.hint("shuffle_merge"), keys, "left").join(ranges.hint("shuffle_merge"), keys, "left")
+    told = joined.select("did", cut(F.coalesce("copy", F.lit(True)), F.coalesce("found", nothing)).alias("x"))
+    unnamed = rows.where(F.col("did").isNull()).select("did", cut(F.lit(False), nothing).alias("x"))
+    return told.union(unnamed).select(F.col("did").alias("doc_id"), "x.n_words", "x.n_removed", F.col("x.sha").alias("kept_sha256"),
+                                      "x.spans", *(["x.kept"] if keep else []))

@@ -59,19 +59,14 @@ def test_a_very_long_text_of_one_word(spark):
     assert ordered(report(frame(spark, rows))) == ordered(brute.shared_windows(rows))
 
 
-def test_kept_texts(docs, doc_rows):
-    cut = {r: n for r, n in ((w, w[2]) for w in brute.shared_windows(doc_rows))}
-    got = super_kmers.kept_texts(docs)
-    assert got.columns == docs.columns and got.count() == len(doc_rows)
-    mine = [(r["doc_id"], r["text"]) for r in got.collect()]
-    lost = {w[3] for w in cut if w[2]}
-    assert lost <= {brute.sha(t or "") for _, t in mine}
-    untouched = [(i, t) for (i, t), w in zip(doc_rows, brute.shared_windows(doc_rows), strict=True) if not w[2]]
-    assert all(row in mine for row in untouched)
+def test_kept_words_and_spans(docs, doc_rows):
+    rows = super_kmers.substring_dedup(docs, keep=True).collect()
+    assert ordered((r["doc_id"], r["n_words"], r["n_removed"], brute.sha(r["kept"])) for r in rows) == ordered(brute.shared_windows(doc_rows))
+    assert all(sum(b - a for a, b in r["spans"]) == r["n_removed"] for r in rows)
 
 
 def test_nothing(no_docs):
-    assert report(no_docs) == [] and super_kmers.kept_texts(no_docs).count() == 0
+    assert report(no_docs) == []
 
 
 def test_no_window_is_longer_than_its_text(spark):
