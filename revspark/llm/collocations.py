@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revspark.llm.common import SLICE_BYTES, materialise, texts
+from revspark.llm.common import materialise, texts
 from revspark.llm.word_hashes import hash_filter, hash_grams, hash_words, passes, word_edges
 
 LEAST = 30
@@ -45,7 +45,8 @@ SCALE = 2_000_000
 _NO_LANG = "und"
 _CLEAN = bytes(0x0A if chr(c) in ".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c for c in range(256))
 _BLANKS = re.compile(rb" {2,}")
-_HELD = 1 << 22
+#: Bytes of a block; hashes, and distinct phrases, that a task holds before it passes their counts on.
+_BLOCK, _HASHES, _PHRASES = 1 << 20, 1 << 21, 100_000
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
@@ -55,7 +56,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, bytes]]:
     for lang, text in zip(batch.column("lang").to_pylist(), texts(batch.column("text")), strict=True):
         held.setdefault(lang, []).append(text)
         size[lang] += len(text)
-        if size[lang] > SLICE_BYTES:
+        if size[lang] > _BLOCK:
             yield lang, _clean(held.pop(lang))
             size[lang] = 0
     for lang, own in held.items():
@@ -94,7 +95,7 @@ def _hash_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _Words(lang, block)
             held += [words.single, words.pairs[words.follows]]
             size += len(held[-2]) + len(held[-1])
-            if size > _HELD:
+            if size > _HASHES:
                 yield result()
                 held, size = [], 0
     if held:
@@ -107,10 +108,11 @@ def _phrase_counter(known: Broadcast, size: int):
         held: dict[str, Counter] = {}
 
         def result() -> pa.RecordBatch:
-            rows = [(lang, phrase.decode(), n) for lang, own in held.items() for phrase, n in own.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()),
-                                               pa.array(columns[2], pa.int64())], names=["lang", "phrase", "c"])
+            langs = pa.array(np.repeat(np.arange(len(held)), [len(own) for own in held.values()]))
+            phrases = pa.array((p for own in held.values() for p in own), pa.binary())
+            counts = pa.array((n for own in held.values() for n in own.values()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()).take(langs), phrases.cast(pa.string()), counts],
+                                              names=["lang", "phrase", "c"])
 
         for batch in batches:
             for lang, block in _blocks(batch):
@@ -125,9 +127,9 @@ def _phrase_counter(known: Broadcast, size: int):
                         run = pair if n == 2 else run[:-1] & pair[n - 2:]
                         begin = np.flatnonzero(run)
                     own.update(block[a:b] for a, b in zip(words.starts[begin].tolist(), words.ends[begin + n - 1].tolist(), strict=True))
-            if sum(map(len, held.values())) > _HELD // 8:
-                yield result()
-                held = {}
+                if sum(map(len, held.values())) > _PHRASES:
+                    yield result()
+                    held = {}
         yield result()
 
     return count
