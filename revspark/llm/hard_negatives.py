@@ -35,6 +35,8 @@ POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90
 TILE = 16_384
 ROWS = 4_000_000
+#: A share has about so many rows at least: every share returns its own first rows of each anchor.
+LEAST_ROWS = 1_000
 SCALE = 256
 LABELS = 10
 #: Scores looked at together.
@@ -232,7 +234,7 @@ def hard_negatives(vectors: DataFrame, every: int = 100, n_positives: int = POSI
 
     sizes = (table.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_anchor).alias("m")).where("m > 0")
              .select("label", F.expr(f"cast(ceil(m / {tile}) as bigint)").alias("tiles"),
-                     F.expr(f"cast(greatest(ceil(n / {share}), ceil({tasks} * (n / {max(total, 1)})), 1) as bigint)").alias("shares")))
+                     F.expr(f"cast(greatest(ceil(n / {share}), least(ceil({tasks} * (n / {max(total, 1)})), floor(n / {LEAST_ROWS})), 1) as bigint)").alias("shares")))
     near = table.where(is_anchor).join(sizes, "label").select(
         F.col("label").alias("own"), spread("tile", "tiles").alias("tile"), deal("shares").alias("share"), "row", "vec_id", "label",
         "embedding", no_windows.alias("windows"))
@@ -252,7 +254,7 @@ def hard_negatives(vectors: DataFrame, every: int = 100, n_positives: int = POSI
                .agg(F.array_sort(F.collect_list(F.struct("slot", window.alias("w")))).alias("w"))  # n_positives entries at most
                .select("row", F.transform("w", lambda x: x["w"]).alias("windows")))
     tiles = max(1, -(-table.where(is_anchor).count() // tile))
-    shares = max(1, -(-total // share), -(-tasks // tiles))
+    shares = max(1, -(-total // share), min(-(-tasks // tiles), total // LEAST_ROWS))
     asked = table.where(is_anchor).join(windows, "row").select(
         F.lit(0).cast("long").alias("own"), spread("tile", f"{tiles}L").alias("tile"), deal(f"{shares}L").alias("share"), "row", "vec_id",
         "label", "embedding", "windows")
