@@ -47,6 +47,7 @@ PR_SUMMARY_NONE = "✅ Code review completed for PR #{number}: {title}\nNo issue
 PR_SUMMARY = ("Code review completed for PR #{number}: {title}\nFound {n} issues ({parts} severity).\n"
               "Score: {score}/100")
 PR_NOT_FOUND = "Could not fetch PR #{number} from {repo}"
+PR_ERROR = "Error reviewing PR: {error}"
 AGENT_SUMMARY = "Found {parts} severity issues"
 SEVERITY_PART = "{n} {severity}"
 SEVERITY_PARTS_SEPARATOR = ", "

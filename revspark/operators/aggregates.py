@@ -27,7 +27,7 @@ def severity_count_aggs() -> list[Column]:
 def score_deduction() -> Column:
     """Σ weight(severity) × confidence, exact (DECIMAL)."""
     w = L.severity_weight(F.col("severity"), SCORE_WEIGHTS, SCORE_WEIGHT_DEFAULT).cast("decimal(4,1)")
-    return F.sum(w * F.col("confidence").cast("decimal(3,2)"))
+    return F.sum(w * F.col("confidence").cast("decimal(18,15)"))
 
 
 def severity_counts(findings: DataFrame, keys=("review_id",)) -> DataFrame:

@@ -59,15 +59,15 @@ def to_findings(df: DataFrame, agent_name: str | None = None, agent_ord: int | N
         _col_or(df, "rule_id", F.lit(None).cast("string")).cast("string").alias("rule_id"),
         _col_or(df, "code_snippet", F.lit(None).cast("string")).cast("string").alias("code_snippet"),
         _col_or(df, "owasp_category", F.lit(None).cast("string")).cast("string").alias("owasp_category"),
-        # out of the type's range: NULL, which validation rejects, instead of an aborted job
-        F.col("confidence").try_cast("decimal(3,2)").alias("confidence"),
+        # as given: validation sees every digit; what is no number is NULL, which validation rejects
+        F.col("confidence").try_cast("double").alias("confidence"),
     )
     return out.select(*FINDING_COLUMNS)
 
 
 def finding_reject_reason(df: DataFrame) -> Column:
     """the first broken rule of a finding row, NULL when valid."""
-    conf = F.col("confidence").cast("double")
+    conf = F.col("confidence").cast("double")  # NaN is greater than any number
     return (F.when(F.col("file_path").isNull() | (F.length("file_path") < 1), F.lit("file_path empty"))
             .when(F.col("line_number").isNull() | (F.col("line_number") < 1), F.lit("line_number < 1"))
             .when(F.col("end_line_number").isNotNull() & (F.col("end_line_number") < 1),

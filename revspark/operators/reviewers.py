@@ -289,10 +289,9 @@ def _file_items(files: DataFrame, reviewer: FileReviewer) -> DataFrame:
             yield out.astype({"line_number": "Int32", "item_ord": "int64", "confidence": "float64"})
 
     schema = T.StructType([files.schema["review_id"], files.schema["file_path"], *_FILE_ITEM.fields])
-    from revspark.session import checkpoint_root
-    checkpoint_root(files.sparkSession)
-    # findings and errors both read it: written once, by the first job
-    return files.select(*FILE_KEY, "code").mapInPandas(run, schema).checkpoint(eager=False)
+    from revspark.session import write_once
+    # findings and errors both read it, and a reviewer need not give the same answer twice
+    return write_once(files.select(*FILE_KEY, "code").mapInPandas(run, schema), "file-items")
 
 
 BUILTIN = {
@@ -333,7 +332,8 @@ def run_reviewers(inputs: ReviewInputs, reviewers: ReviewerSet | None = None):
 
     Returns ``(findings, failures)`` where failures lists reviewers whose plan
     could not be built (they contribute no rows; the review still completes).
-    Building a plan runs no Spark job; what Spark itself raises, other than a
+    Building a plan runs no Spark job, but for reviewers that run file by file
+    (their answers are written once); what Spark itself raises, other than a
     plan that does not resolve, is no reviewer's failure and is raised again.
     """
     run = run_isolated(inputs, reviewers)

@@ -139,7 +139,7 @@ def _raw_for_normalize(spark, sf):
         F.when(F.col("rule_code") == "I0011", F.lit("")).otherwise(F.col("message")).alias("message"),
         "suggestion",
         F.concat(F.col("tool"), F.lit(":"), F.col("rule_code")).alias("rule_id"),
-        F.when(F.col("rule_code") == "B999", F.lit("1.50")).otherwise(F.lit("0.80")).alias("confidence"),
+        F.when(F.col("rule_code") == "B999", F.lit("1.004")).when(F.col("rule_code") == "F401", F.lit("-0.004")).otherwise(F.lit("0.80")).alias("confidence"),
         F.when(F.col("tool") == "ruff", F.lit("QualityAgent")).when(F.col("tool") == "pylint", F.lit("QualityAgent"))
         .otherwise(F.lit("SecurityAgent")).alias("agent_name"),
         F.lit(0).alias("agent_ord"))
@@ -158,7 +158,7 @@ n as (select review_id, file_path, tool, item_ord, line_number,
        then lower(case item_ord % 4 when 0 then 'Style' when 1 then 'SQL_Injection' when 2 then 'bogus' else pylint_type end)
        else 'other' end as category,
   case when rule_code = 'I0011' then '' else message end as message,
-  case when rule_code = 'B999' then 1.5 else 0.8 end as confidence,
+  case rule_code when 'B999' then 1.004 when 'F401' then -0.004 else 0.8 end as confidence,
   case when tool = 'bandit' then 'SecurityAgent' else 'QualityAgent' end as agent_name
 from v3r)"""
 

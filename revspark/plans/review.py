@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from revspark.operators import aggregates as A
 from revspark.operators.dedup import dedup_findings, rank_findings, top_findings
 from revspark.operators.normalize import validate_findings
-from revspark.operators.reviewers import FileReviewer, ReviewerSet, ReviewInputs, run_isolated
+from revspark.operators.reviewers import FileReviewer, ReviewerRun, ReviewerSet, ReviewInputs, run_isolated
 from revspark.schemas import FINDING_COLUMNS
 
 FILE_KEY = ["review_id", "file_path"]
@@ -59,12 +59,10 @@ def review_files(inputs: ReviewInputs, reviewers: ReviewerSet | None = None,
     if "total_lines" not in files.columns:
         files = files.join(A.line_metrics(files).select(*FILE_KEY, "total_lines"), FILE_KEY)
     fr = A.file_reviews(files.select(*FILE_KEY, "total_lines"), findings, ai_summaries=ai_summaries)
-    if any(isinstance(r, FileReviewer) for r in reviewers.reviewers):
-        # a file on which every reviewer failed has not been reviewed
-        n = run.file_errors.groupBy(*FILE_KEY).agg(F.count(F.lit(1)).alias("_n"))
-        left = len(reviewers.reviewers) - len(failures)
-        fr = (fr.join(n, FILE_KEY, "left").withColumn(
-            "status", F.when(F.col("_n") >= left, F.lit("failed")).otherwise(F.col("status"))).drop("_n"))
+    lost = failed_files(run, reviewers)
+    if lost is not None:
+        fr = (fr.join(lost.select(*FILE_KEY, F.lit(True).alias("_lost")), FILE_KEY, "left").withColumn(
+            "status", F.when(F.col("_lost"), F.lit("failed")).otherwise(F.col("status"))).drop("_lost"))
     summ = A.agent_summaries(findings, fr.select(*FILE_KEY), reviewers.names(), FILE_KEY)
     amap = (summ.groupBy(*FILE_KEY)
             .agg(F.map_from_entries(F.collect_list(F.struct("agent_name", "summary"))).alias("agent_summaries")))
@@ -72,6 +70,16 @@ def review_files(inputs: ReviewInputs, reviewers: ReviewerSet | None = None,
     return ReviewOutput(findings, fr, reviews, failures, rejects, run.file_errors)
 
 
+def failed_files(run: ReviewerRun, reviewers: ReviewerSet) -> DataFrame | None:
+    """(review_id, file_path, reason) of the files on which every reviewer failed: they have not been reviewed.
+    One reviewer that fails leaves the others' findings and the status as they are.  None: there can be no such file."""
+    if not any(isinstance(r, FileReviewer) for r in reviewers.reviewers):
+        return None
+    left = len(reviewers.reviewers) - len(run.failures)
+    n = run.file_errors.groupBy(*FILE_KEY).agg(F.count_distinct("agent_name").alias("_n"), F.min("reason").alias("reason"))
+    return n.where(F.col("_n") >= left).drop("_n")
+
+
 def review_summary_prompts(findings: DataFrame, file_reviews: DataFrame, order_cols=None) -> DataFrame:
     """W3 + T11: the summary prompt per reviewed file (top 10 findings)."""
     from revspark.operators.prompts import build_prompts

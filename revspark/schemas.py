@@ -69,7 +69,7 @@ DEFAULT_LANGUAGE = "python"
 # Table schemas (canonical column order)
 # ---------------------------------------------------------------------------
 
-CONFIDENCE_TYPE = T.DecimalType(3, 2)
+CONFIDENCE_TYPE = T.DoubleType()
 
 FILES = T.StructType([
     T.StructField("review_id", T.LongType()),

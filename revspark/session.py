@@ -15,7 +15,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -99,6 +99,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new shared folder and read it back, so that nothing that reads it computes it again: what runs
+    user code or a Python parse runs once, and a lost executor loses nothing."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme (for os-level checks in tests only)."""
     return path[5:] if path.startswith("file:") else path
