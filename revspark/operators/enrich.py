@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revspark.functions.text import context_lines, splitlines
@@ -53,6 +53,46 @@ def cache_lookup(prompts: DataFrame, responses: DataFrame, now, ttl_seconds: int
     return hits, misses
 
 
+def asof_lookup(prompts: DataFrame, responses: DataFrame, ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
+    """J6 at each prompt's own time: the rows of ``prompts(prompt_key, ts, …)`` with ``response`` and ``cached_ts``.
+
+    A prompt takes the newest non-empty answer of its key that was stored at its time or before, if that is younger than
+    the TTL; else both are NULL.  Of answers of one key and moment the greatest text wins.  Prompts without a key or a
+    time find none.
+
+    Prompts and answers are sorted together by (key, time) in ranges of any size, so a key with a third of all rows
+    spans many tasks.  What a range needs from those before it is one answer, the last of its first key; it comes
+    from a table of one row a range and is put at the head of the range.
+    """
+    from revspark.session import write_once
+    others = [c for c in prompts.columns if c not in ("prompt_key", "ts")]
+    answers = (responses.where((F.length("response") > 0) & F.col("prompt_key").isNotNull() & F.col("ts").isNotNull())
+               .groupBy("prompt_key", "ts").agg(F.max("response").alias("response")))
+    none = F.lit(None)
+    asked = prompts.select("prompt_key", "ts", F.lit(1).alias("kind"), none.cast("string").alias("response"),
+                           F.struct(*others, F.lit(True).alias("_is")).alias("row"))
+    told = answers.select("prompt_key", "ts", F.lit(0).alias("kind"), "response", none.cast(asked.schema["row"].dataType).alias("row"))
+    order = ["prompt_key", "ts", "kind"]
+    rows = write_once(asked.unionByName(told).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "asof")
+
+    at = F.struct("ts", "response")
+    ends = rows.groupBy("part").agg(F.min("prompt_key").alias("first_key"), F.max("prompt_key").alias("last_key"))
+    last = (rows.where("kind = 0").join(ends.select("part", F.col("last_key").alias("prompt_key")), ["part", "prompt_key"])
+            .groupBy("part", "prompt_key").agg(F.max(at).alias("a")))  # a row a range at most
+    begins = ends.select("part", F.col("first_key").alias("prompt_key"), F.lit(0).alias("step"), none.cast(last.schema["a"].dataType).alias("a"))
+    earlier = Window.partitionBy("prompt_key").orderBy("part", "step").rowsBetween(Window.unboundedPreceding, -1)  # two rows a range at most
+    carried = (begins.unionByName(last.withColumn("step", F.lit(1))).withColumn("a", F.max("a").over(earlier))
+               .where((F.col("step") == 0) & F.col("a").isNotNull())
+               .select("prompt_key", "a.ts", F.lit(0).alias("kind"), "a.response", none.cast(asked.schema["row"].dataType).alias("row"), "part"))
+    before = (Window.partitionBy("part", "prompt_key").orderBy("ts", "kind")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    newest = F.last(F.when(F.col("kind") == 0, F.struct(F.col("ts").alias("cached_ts"), "response")), ignorenulls=True).over(before)
+    found = rows.unionByName(carried).withColumn("_a", newest).where("kind = 1")
+    fresh = F.col("_a.cached_ts") > F.col("ts") - F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
+    return found.select("prompt_key", "ts", *[F.col(f"row.{c}").alias(c) for c in others],
+                        F.when(fresh, F.col("_a.response")).alias("response"), F.when(fresh, F.col("_a.cached_ts")).alias("cached_ts"))
+
+
 def with_context(findings: DataFrame, files: DataFrame, k: int = 3, style: str = "bar") -> DataFrame:
     """Attach the +-k line block around each finding.
 

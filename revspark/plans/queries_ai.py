@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revspark.functions import lookups as L
-from revspark.operators.enrich import cache_lookup, enrich
+from revspark.operators.enrich import asof_lookup, cache_lookup, enrich
 from revspark.operators.normalize import ai_findings, quality_findings, security_findings
 from revspark.operators.prompts import SYSTEM, build_prompts, finding_prompts
 from revspark.operators.reviewers import Reviewer, ReviewerSet, ReviewInputs, run_reviewers, with_fallback
@@ -271,6 +271,27 @@ select distinct 'miss', cast(null as bigint), prompt_key, cast(null as varchar)
 from ev where prompt_key not in (select prompt_key from fresh)"""
 
 
+def q_cache_asof(spark, sf):
+    """Each prompt at its own time: odd submissions ask, even ones are answered after ten minutes, every tenth with nothing."""
+    ev = v5_events(spark, sf)
+    n = F.col("submission_id")
+    answers = ev.where(n % 2 == 0).select("prompt_key", (F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("ts"), F.when(
+        n % 10 != 0, F.concat(F.lit("answer "), n.cast("string"))).otherwise(F.lit("")).alias("response"))
+    out = asof_lookup(ev.where(n % 2 == 1).select("submission_id", "prompt_key", "ts"), answers, CACHE_TTL)
+    return out.select("submission_id", "prompt_key", "response", F.col("cached_ts").cast("string").alias("cached_ts"))
+
+
+Q["cache_asof"] = q_cache_asof
+SQL["cache_asof"] = f"""with ev as (select event_id as submission_id, cast(ts as timestamp) as ts,
+    cast(user_id as varchar) || '/' || event_type as prompt_key from events),
+answers as (select prompt_key, ts + interval 10 minute as ts, max('answer ' || submission_id) as response from ev
+            where submission_id % 2 = 0 and submission_id % 10 <> 0 group by 1, 2)
+select e.submission_id, e.prompt_key, case when a.ts > e.ts - interval {CACHE_TTL} second then a.response end as response,
+  case when a.ts > e.ts - interval {CACHE_TTL} second then cast(a.ts as varchar) end as cached_ts
+from (select * from ev where submission_id % 2 = 1) e
+asof left join answers a on a.prompt_key = e.prompt_key and e.ts >= a.ts"""
+
+
 # --- T10 / T11 -----------------------------------------------------------------
 def q_prompt_worklist(spark, sf):
     files = v1_files(spark, sf)

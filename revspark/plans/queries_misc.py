@@ -14,9 +14,9 @@ from revspark.plans.fixtures import SCAN_RULES, SQL_V2, SQL_V2_DEDUP, V2_ORDER,
 from revspark.plans.queries_text import SQL_V1_SCAN, SQL as TEXT_SQL
 from revspark.plans.review import review_files
 from revspark.session import shared_path, table_path
-from revspark.sources.store import read_reviews, write_reviews
+from revspark.sources.store import commit, committed_reviews, committed_rows, compact, read_reviews, write_reviews
 from revspark.streaming.review_stream import rate_counts, read_stream_table, review_batch_sink, run_available_now, \
-    ttl_dedup
+    run_ttl_dedup
 
 Q = {}
 SQL = {}
@@ -56,7 +56,7 @@ def q_stream_review(spark, sf):
     stream = v1_from_documents(read_stream_table(spark, _glob(sf, "documents"), src.schema))
     sink = review_batch_sink(lambda b: ReviewInputs(files=b, scan_rules=SCAN_RULES))
     out = run_available_now(stream, "stream-review", sink=sink)
-    return spark.read.parquet(out).select("review_id", "n_findings", "overall_score")
+    return committed_reviews(spark, out).select("review_id", "n_findings", "overall_score")
 
 
 Q["stream_review"] = q_stream_review
@@ -64,6 +64,35 @@ SQL["stream_review"] = ("select review_id, n_findings, overall_score from ("
                         + TEXT_SQL["corpus_review"] + ") cr")
 
 
+# --- ST1 + S12: commits and compaction -------------------------------------------
+def q_store_commits(spark, sf):
+    """The scores of all reviews, then those of every fourth anew, as two commits that are compacted; findings stay with the
+    latest write of their review."""
+    kept = dedup_findings(v2_findings(spark, sf), order_cols=V2_ORDER)
+    scores = A.pr_scores(kept, ["review_id", "file_path"])
+    path = shared_path(spark, "committed")
+    for k, (day, rows) in enumerate((("2024-01-01", scores), ("2024-01-02", scores.filter(F.col("review_id") % 4 == 0)))):
+        stamp = {"ts": F.lit(f"{day} 00:00:00").cast("timestamp"), "write_id": F.lit(k).cast("long")}
+        own = kept.join(rows.select("review_id", "file_path"), ["review_id", "file_path"], "left_semi")
+        own = own if k == 0 else own.filter(F.col("severity") == "high")
+        for _ in range(2):  # the second time is a retry: it changes nothing
+            commit(spark, path, f"batch-{k}", {"reviews": rows.withColumns(stamp), "findings": own.withColumns(stamp)})
+    compact(spark, path)
+    n = committed_rows(spark, path, "findings").groupBy("review_id", "file_path").agg(F.count(F.lit(1)).alias("n_findings"))
+    return (committed_reviews(spark, path).join(n, ["review_id", "file_path"], "left")
+            .select("review_id", "file_path", "overall_score", "write_id", F.coalesce("n_findings", F.lit(0)).alias("n_findings")))
+
+
+Q["store_commits"] = q_store_commits
+SQL["store_commits"] = f"""with {SQL_V2}, {SQL_V2_DEDUP}
+select review_id, file_path, greatest(cast(0 as double), cast(round(cast(100 as decimal(4,1)) - sum(cast(case severity
+        when 'critical' then 15.0 when 'high' then 8.0 when 'medium' then 3.0 when 'low' then 1.0 when 'info' then 0.5
+        else 1.0 end as decimal(4,1)) * confidence), 1) as double)) as overall_score,
+  cast(case when review_id % 4 = 0 then 1 else 0 end as bigint) as write_id,
+  cast(count_if(review_id % 4 <> 0 or severity = 'high') as bigint) as n_findings
+from k group by review_id, file_path"""
+
+
 # --- ST2 ---------------------------------------------------------------------
 def _v5_stream(spark, sf):
     ev = table(spark, sf, "events")
@@ -74,7 +103,7 @@ def _v5_stream(spark, sf):
 
 
 def q_stream_ttl_dedup(spark, sf):
-    out = run_available_now(ttl_dedup(_v5_stream(spark, sf)), "stream-ttl")
+    out = run_ttl_dedup(_v5_stream(spark, sf), "stream-ttl")
     return spark.read.parquet(out).select("submission_id", "prompt_key", F.col("ts").cast("string").alias("ts"))
 
 

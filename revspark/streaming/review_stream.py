@@ -1,11 +1,11 @@
 """ST1-ST3: Structured Streaming jobs.
 
 ST1 continuous review: arriving files -> the same batch plan per micro-batch
-    (``foreachBatch``) -> review store, one folder per batch id (a retried batch
-    overwrites its own folder, so the sink is idempotent).
+    (``foreachBatch``) -> review store, one commit per batch id (a reader sees all of a
+    batch or nothing; a batch that has been committed is not written again).
 ST2 TTL de-duplication of prompts: a request passes when it is the first for its
-    key or comes the TTL or more after the last that passed (keyed state; a key's
-    state goes when the watermark is a TTL past it).
+    key or comes the TTL or more after the last that passed (one time a key is kept
+    from batch to batch, and goes when the stream is a TTL past it).
 ST3 rate-limit windows: requests per client per window, flagged over a limit.
 
 Checkpoints and outputs go under the shared checkpoint folder of the session
@@ -17,50 +17,100 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from typing import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-from revspark.session import shared_path
 
+from revspark.session import shared_path, write_once
+
+
+def _passing(key: str, ttl: int):
+    """Rows come sorted by key and time, a key's last passed request of earlier batches first."""
+
+    def run(batches):
+        now, last = None, None  # the key at hand (None: none yet) and its last passed time
+
+        def held():
+            return pd.DataFrame({key: [now[0]], "us": [last], "order": [None], "state": [True]}).astype({"order": "Int64"})
+
+        for b in batches:
+            names = b[key].astype(object).where(b[key].notna(), None).to_numpy()
+            us, carried = b["us"].to_numpy(), b["state"].to_numpy()
+            cuts = [0, *(k for k in range(1, len(b)) if names[k] != names[k - 1]), len(b)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if begin == end:
+                    continue
+                if now is None or now[0] != names[begin]:
+                    if last is not None:
+                        yield held()
+                    now, last = (names[begin],), None
+                if carried[begin]:
+                    last, begin = int(us[begin]), begin + 1
+                keep = []
+                while begin < end:
+                    at = begin if last is None else begin + int(np.searchsorted(us[begin:end], last + ttl))
+                    if at < end:
+                        keep.append(at)
+                        last = int(us[at])
+                    begin = at + 1
+                if keep:
+                    yield b.iloc[keep][[key, "us", "order", "state"]]
+        if last is not None:
+            yield held()
+
+    return run
+
+
+def run_ttl_dedup(stream: DataFrame, name: str, key: str = "prompt_key", ts: str = "ts", ttl_seconds: int = 3600,
+                  order: str = "submission_id", delay_seconds: int = 0) -> str:
+    """ST2: run a stream of requests over everything available now; returns the folder of those that pass (``order, key, ts``).
+
+    A micro-batch's requests of a key are taken by ``(ts, order)``; one passes when the key has no passed request or its
+    own time is at least ``ttl_seconds`` after the last.  Requests that arrive in time order therefore pass or not
+    however the stream is cut into batches; one that arrives after a later request of its key is a repeat of that.
+
+    Memory is bounded however many requests a key has: a batch is reduced to one row per key and time (only
+    the first can pass), sorted by Spark, which spills, and read past one number, the key's last passed time.  The size of a
+    batch is bounded by the stream's ``maxBytesPerTrigger`` or ``maxFilesPerTrigger``.  The last passed times are a table
+    a batch, written with the batch's rows in one commit (:func:`revspark.sources.store.commit`): a batch that is
+    retried gives what it gave.  A time goes once the latest request seen, less ``delay_seconds``, is a TTL past it.
+    Requests without a time do not pass.
+    """
+    from revspark.sources.store import commit, read_committed
 
-def ttl_dedup(stream: DataFrame, key: str = "prompt_key", ts: str = "ts", ttl_seconds: int = 3600,
-              order: str = "submission_id", delay: str = "0 seconds") -> DataFrame:
-    """ST2: requests that pass the TTL; columns ``order, key, ts``.
+    spark, ttl = stream.sparkSession, ttl_seconds * 1_000_000
+    kind = stream.schema[key].dataType.simpleString()
+    state_schema = f"`{key}` {kind}, us bigint, latest bigint"
 
-    The state of a key is the time of its last passed request.  A micro-batch's
-    requests of a key are taken by ``(ts, order)``; one passes when there is no
-    such time or its own is at least ``ttl_seconds`` later.  Requests that arrive
-    in time order therefore pass or not however the stream is cut into batches;
-    one that arrives after a later request of its key is a repeat of that.
-    """
-    ttl_ms = ttl_seconds * 1000
-    out = T.StructType([stream.schema[c] for c in (order, key, ts)])
-
-    def passed(group, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat([b[[order, ts]] for b in batches]).sort_values([ts, order], kind="stable")
-        ms = rows[ts].astype("datetime64[ms]").astype("int64").to_numpy()
-        last = state.get[0] if state.exists else None
-        keep = []
-        for k, t in enumerate(ms.tolist()):
-            if last is None or t - last >= ttl_ms:
-                keep.append(k)
-                last = t
-        state.update((last,))
-        # a time in the past of the watermark is no valid timeout: then the next batch decides
-        if last + ttl_ms > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(last + ttl_ms)
-        if keep:
-            yield rows.iloc[keep].assign(**{key: group[0]})[[order, key, ts]]
-
-    narrow = stream.select(order, key, ts).withWatermark(ts, delay)
-    return narrow.groupBy(key).applyInPandasWithState(passed, out, "last long", "append",
-                                                      GroupStateTimeout.EventTimeTimeout)
+    def sink(batch: DataFrame, batch_id: int, out: str) -> None:
+        known = _last_state(spark, f"{out}/state", batch_id)
+        state = spark.createDataFrame([], state_schema) if known is None else known
+        rows = (batch.where(F.col(ts).isNotNull()).select(key, F.unix_micros(ts).alias("us"), F.col(order).cast("long").alias("order"))
+                .groupBy(key, "us").agg(F.min("order").alias("order")))
+        both = rows.withColumn("state", F.lit(False)).unionByName(
+            state.where("us is not null").select(key, "us", F.lit(None).cast("long").alias("order"), F.lit(True).alias("state")))
+        told = write_once(both.repartition(key).sortWithinPartitions(key, F.desc("state"), "us")
+                          .mapInPandas(_passing(key, ttl), f"`{key}` {kind}, us bigint, `order` bigint, state boolean"), f"{name}-step")
+        seen = [x for x in (rows.agg(F.max("us")).first()[0], state.agg(F.max("latest")).first()[0]) if x is not None]
+        latest = max(seen, default=0)
+        passed = told.where("not state").select(F.col("order").alias(order), key, F.timestamp_micros("us").alias(ts))
+        alive = told.where(F.col("state") & (F.col("us") + ttl > latest - 1_000_000 * delay_seconds))
+        mark = spark.createDataFrame([(None, None, latest)], state_schema)  # keeps the latest time when no key is left
+        commit(spark, f"{out}/state", f"batch-{batch_id:012d}",
+               {"state": alive.select(key, "us", F.lit(latest).cast("long").alias("latest")).unionByName(mark), "passed": passed})
+
+    def _last_state(spark: SparkSession, path: str, batch_id: int):
+        from revspark.sources.store import current_commits
+        earlier = [c for c in current_commits(spark, path) if c.commit_name < f"batch-{batch_id:012d}"]
+        if not earlier:
+            return None
+        return spark.read.parquet(f"{path}/{earlier[-1].folder}/state")
+
+    out = run_available_now(stream, name, sink=sink)
+    result = f"{out}/passed"
+    read_committed(spark, f"{out}/state", "passed").write.parquet(result)
+    return result
 
 
 def rate_counts(stream: DataFrame, window: str = "60 seconds", key: str = "client", ts: str = "ts",
@@ -93,27 +143,30 @@ def run_available_now(df: DataFrame, name: str, sink: Callable | None = None, ou
 
 
 def review_batch_sink(make_inputs: Callable, reviewers=None):
-    """ST1 sink: review every file of the micro-batch and store its reviews and
-    findings under ``batch_id=<id>`` (overwrite: idempotent on retry) in the form
-    of the review store, so ``read_reviews``, ``get_review`` and ``read_findings``
-    read them.  A reviewer that failed marks the batch's reviews ``failed``."""
-    from revspark.plans.review import review_files
-    from revspark.sources.store import findings_path
+    """ST1 sink: review every file of the micro-batch and commit reviews, findings, rejects and errors together, to be read with
+    ``committed_reviews`` and ``committed_rows``.  A reviewer that failed is an error row of each file; a review is
+    ``failed`` only where every reviewer failed, as in :func:`review_files`."""
+    from revspark.plans.review import FILE_KEY, review_files
+    from revspark.sources.store import commit
 
     def sink(batch: DataFrame, batch_id: int, out: str) -> None:
-        r = review_files(make_inputs(batch), reviewers)
+        inputs = make_inputs(batch)
+        r = review_files(inputs, reviewers)
         stamp = {"write_id": F.lit(batch_id).cast("long"), "ts": F.lit(datetime.now(timezone.utc)).cast("timestamp")}
-        reviews = r.file_reviews.withColumns(stamp)
-        if r.failures:
-            reviews = reviews.withColumn("status", F.lit("failed"))
-        r.findings.withColumns(stamp).write.mode("overwrite").parquet(f"{findings_path(out)}/batch_id={batch_id}")
-        reviews.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        errors = r.file_errors
+        for agent, reason in r.failures:
+            errors = errors.unionByName(inputs.files.select(*FILE_KEY, F.lit(agent).alias("agent_name"), F.lit(reason).alias("reason")))
+        tables = {"reviews": r.file_reviews, "findings": r.findings, "rejects": r.rejects, "errors": errors}
+        commit(batch.sparkSession, out, f"batch-{batch_id:012d}", {k: v.withColumns(stamp) for k, v in tables.items()})
     return sink
 
 
-def read_stream_table(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file-source stream over parquet files (a folder or a glob)."""
+def read_stream_table(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None,
+                      max_bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """A file-source stream over parquet files (a folder or a glob), in micro-batches of bounded size."""
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    else:
+        r = r.option("maxBytesPerTrigger", max_bytes_per_trigger)
     return r.parquet(path)

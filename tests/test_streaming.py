@@ -4,7 +4,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from revspark.session import shared_path
-from revspark.streaming.review_stream import rate_counts, read_stream_table, run_available_now, ttl_dedup
+from revspark.streaming.review_stream import rate_counts, read_stream_table, run_available_now, run_ttl_dedup
 
 SCHEMA = "submission_id long, ts timestamp, client long, prompt_key string"
 
@@ -27,7 +27,7 @@ def test_ttl_dedup_however_the_stream_is_cut(spark):
     ]
     for cut in (batches, [[r for b in batches for r in b]], [[r] for b in batches for r in sorted(b, key=lambda r: r[1])]):
         stream = read_stream_table(spark, _write_batches(spark, cut), SCHEMA, max_files_per_trigger=1)
-        out = run_available_now(ttl_dedup(stream), "test-ttl")
+        out = run_ttl_dedup(stream, "test-ttl")
         assert sorted(r.submission_id for r in spark.read.parquet(out).collect()) == [1, 3, 4, 6, 7, 8]
 
 
@@ -60,13 +60,13 @@ def test_review_sink_is_idempotent_per_batch(spark):
     sink(files, 0, out)
     sink(files, 0, out)          # the same micro-batch retried
     sink(files.limit(1), 1, out)
-    got = spark.read.parquet(out)
-    assert got.filter("batch_id = 0").count() == 2 and got.count() == 3
-    r = {row.review_id: (row.n_findings, row.overall_score) for row in got.filter("batch_id = 0").collect()}
-    from revspark.sources.store import get_review, read_findings
-    one = get_review(spark, out, 2).collect()
+    from revspark.sources.store import committed_reviews, committed_rows, read_committed
+    got = read_committed(spark, out, "reviews")
+    assert got.filter("write_id = 0").count() == 2 and got.count() == 3
+    r = {row.review_id: (row.n_findings, row.overall_score) for row in got.filter("write_id = 0").collect()}
+    one = committed_reviews(spark, out, 2).collect()
     assert len(one) == 1 and one[0].file_path == "src/b.py" and one[0].status == "completed"
-    assert [f.rule_id is None and f.severity for f in read_findings(spark, out, 2).collect()] == ["low"]
+    assert [f.rule_id is None and f.severity for f in committed_rows(spark, out, "findings", 2).collect()] == ["low"]
     # R5 (high x 0.85) -> 100 - 6.8 = 93.2; R2 (low x 0.70) -> 99.3
     assert r[1] == (1, 93.2) and r[2] == (1, 99.3)
 
