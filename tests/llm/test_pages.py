@@ -50,6 +50,44 @@ def test_main_text(html, text):
     assert main_text(html) == text
 
 
+def prose(n, word="word"):
+    return " ".join(f"{word}{k} and some more of it." for k in range(n))
+
+
+ART = f"<h1>Title</h1><p>{prose(3)}</p><p>{prose(2)}</p>"
+BODY = f"Title\n\n{prose(3)}\n\n{prose(2)}"
+
+
+@pytest.mark.parametrize("size", [1, 4, 20, 200])
+@pytest.mark.parametrize("other", [
+    '<div class="cookie-notice"><p>{}</p><button>Accept</button></div>', '<section id="comments"><p>{}</p><p>{}</p></section>',
+    "<form action=/x><p>{}</p><input name=q></form>", '<div class="sidebar"><h3>More</h3><p>{}</p></div>', "<aside><p>{}</p></aside>",
+    '<div class="related"><p><a href=/a>{}</a></p></div>', '<div class="ad">{}</div>'])
+def test_furniture_of_any_size_on_unmarked_pages(other, size):
+    """What is named as furniture stays out however long it is, before or behind the article."""
+    other = other.replace("{}", prose(size, "other"))
+    for art, body in ((ART, BODY), (ART.replace("h1", "h2"), BODY)):
+        for layout in (f"<div>{art}</div>{other}", f"{other}<div>{art}</div>", f"<div id=main><div>{art}</div>{other}</div>", f"{art}{other}"):
+            assert main_text(page(layout)) == body
+
+
+def test_every_block_of_the_body_is_kept():
+    links = "".join(f"<p><a href=/{k}>link number {k}</a></p>" for k in range(4))
+    named = "\n\n".join(f"link number {k}" for k in range(4))
+    want = f"{BODY}\n\n{named}\n\nThat is all for today."
+    for layout in ("{}", "<div>{}</div>", "<div><div class=text>{}</div><div><a href=/>About us</a></div></div>"):
+        assert main_text(page(layout.format(f"{ART}{links}<p>That is all for today.</p>"))) == want
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="post-share-enabled">{}</div>', '<div class="search-result-page">{}</div>', "<form>{}</form>",
+                                     '<div class="comments-open">{}</div>', '<form><div class="widget">{}</div></form>'])
+@pytest.mark.parametrize("n", [4, 30])
+def test_wrappers_named_like_furniture(wrapper, n):
+    for art in (f"<h1>Title</h1><p>{prose(n)}</p>", f"<p>Title</p><p>{prose(n)}</p>"):
+        whole = wrapper.format(f"<nav>menu</nav><div>{art}</div><div class=share><a href=/s>Share</a></div>")
+        assert main_text(page(whole + "<div>(c) us</div>")) == f"Title\n\n{prose(n)}"
+
+
 def test_extraction_of_rows(spark):
     rows = [(k, f"http://h/{k}", h, "x") for k, (h, _) in enumerate(CASES)] + [(None, None, None, None), (1, "u", CASES[2][0], "t")]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
