@@ -13,7 +13,7 @@
 The text is shuffled once: both uses of it (taking contexts, cutting spans) read the same exchange.
 
 Defined cases: a null text is empty; matches never cross documents; texts of under WIDTH bytes have none; equal rows are copies;
-ids may be null or repeat; an empty table gives an empty result; other columns are not read.
+ids may be null, negative or repeat, in any share of the rows; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -256,8 +256,9 @@ def dedup(docs: DataFrame, keep: bool = False, hot_texts: int = HOT_TEXTS) -> Da
     """Per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `keep` also the remaining bytes `kept`
     and `spans` ([start, end) in bytes)."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-1)).alias("did"), *_text_key(text), text.alias("text"),
-                       F.octet_length(text).cast("long").alias("n_bytes"))
+    # rows without an id are told apart by their texts; whether a row has one is carried beside
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64(text)).alias("did"), *_text_key(text), text.alias("text"),
+                       F.octet_length(text).cast("long").alias("n_bytes"), F.col("doc_id").isNotNull().alias("named"))
     keys = ["did", "t1", "t2"]
     long = rows.where(F.col("n_bytes") >= WIDTH)
 
@@ -266,17 +267,17 @@ def dedup(docs: DataFrame, keep: bool = False, hot_texts: int = HOT_TEXTS) -> Da
     firsts = materialise(grams.groupBy("t1", "t2").agg(
         F.min("did").alias("did"), F.count(F.lit(1)).alias("copies"), F.first("g.hashes").alias("hashes"),
         F.first("g.own").alias("own")), "grams")
-    each = firsts.select("did", F.explode("hashes").alias("h"))
+    each = firsts.select("did", "t1", F.explode("hashes").alias("h"))
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    known = each.join(counts, "h").groupBy("did").agg(
+    known = each.join(counts, "h").groupBy("did", "t1").agg(  # of one text
         F.collect_list("h").alias("found"), F.collect_list(F.when(F.col("c") > hot_texts, F.col("h"))).alias("hot"))
     nothing = F.expr("cast(array() as array<bigint>)")
-    lists = firsts.select(*keys, "own").join(known, "did", "left").select(
+    lists = firsts.select(*keys, "own").join(known, ["did", "t1"], "left").select(
         *keys, F.array_union("own", F.coalesce("found", nothing)).alias("known"), F.coalesce("hot", nothing).alias("hot"))
     lists = materialise(lists.where(F.size("known") > 0), "repeated")
 
     # both joins with the texts read one exchange
-    source = long.select(*keys, "text")
+    source = long.select(*keys, "named", "text")
     held = source.join(lists.hint("shuffle_merge"), keys).select(*keys, "text", "known", "hot")
     found = (held.mapInArrow(_take_contexts, _CONTEXT).repartition("grp").sortWithinPartitions("grp", "id")
              .mapInArrow(_sort_groups, "id binary, first int, last int"))
@@ -289,7 +290,7 @@ def dedup(docs: DataFrame, keep: bool = False, hot_texts: int = HOT_TEXTS) -> Da
     single = firsts.where("copies = 1").select(*keys)
     cut = (source.join(single.hint("shuffle_merge"), keys).join(spans.hint("shuffle_merge"), keys, "left")
            .withColumn("x", _cutter(keep)(F.when(F.col("ranges").isNotNull(), F.col("text")), "ranges")))
-    own_id = F.when(F.col("did") != -1, F.col("did"))
+    own_id = F.when(F.col("named"), F.col("did"))
     size = F.octet_length("text").cast("long")
     extra = lambda kept, spans: [kept.alias("kept"), spans.alias("spans")] if keep else []
     no_spans = F.expr("cast(array() as array<array<bigint>>)")
