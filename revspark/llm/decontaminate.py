@@ -153,7 +153,7 @@ def _covered(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with a struct column `found`: n_words, spans, items, n_hit, contaminated."""
+    """`docs` with a struct column `__found`: n_words, spans, items, n_hit, contaminated."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -177,15 +177,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
     share = (F.col("__n") > 0) & (LEAST_SHARE * F.col("__n") >= F.col("__f.n_words"))
     return found.withColumn("__n", n_hit).select(
         *docs.columns, F.struct("__f.n_words", "__f.spans", "__f.items", F.col("__n").alias("n_hit"),
-                                share.alias("contaminated")).alias("found"))
+                                share.alias("contaminated")).alias("__found"))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per row of `docs`: the contract's columns and `spans`, the merged removal spans in words."""
-    f = contamination(docs.select("doc_id", "text"), benchmark, **options).select("doc_id", "found.*")
+    f = contamination(docs.select("doc_id", "text"), benchmark, **options).select("doc_id", "__found.*")
     return f.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated", "spans")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    return contamination(docs, benchmark, **options).where(~F.col("found.contaminated")).drop("found")
+    return contamination(docs, benchmark, **options).where(~F.col("__found.contaminated")).drop("__found")
