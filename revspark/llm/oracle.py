@@ -70,11 +70,13 @@ counts as (
   from docs left join lines using (r) left join repeats using (r)),
 judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counts),
 hosts as (select source, count(*) as n, count(*) filter (base_failed) as f from judged where source is not null group by source),
+sums as (
+  select sum(n) as n, sum(f) / sum(n) as mean, sum(n * (f / n) * (f / n)) as q, sum(cast(n as double) * n) as squares, count(*) as k from hosts),
 moments as (
-  select sum(f) / sum(n) as mean, sum(n * (f / n) * (f / n)) / sum(n) as square, avg(1 / n) as inv from hosts),
+  select mean, mean * (1 - mean) as spread, q - n * mean * mean - (k - 1) * mean * (1 - mean) as seen, n - squares / n - (k - 1) as room
+  from sums),
 prior as (
-  select mean, case when square - mean * mean - mean * (1 - mean) * inv > 0
-    then least(1e6, greatest(1.0, mean * (1 - mean) / (square - mean * mean - mean * (1 - mean) * inv) - 1)) else 1.0 end as strength
+  select mean, case when seen <= 0 or room <= 0 then 1e6 else least(1e6, greatest(1.0, spread * room / seen - 1)) end as strength
   from moments),
 verdicts as (select source, (f + mean * strength) / (n + strength) <= 0.5 as host_ok from hosts, prior)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -1,0 +1,50 @@
+"""Cases of the third round: ids of op1, the SQL of op5 on skewed hosts, clashing columns of the pipeline's stages."""
+
+import random
+
+import brute
+import duckdb
+import pandas as pd
+import pytest
+
+from revspark.llm import quality, suffix_dedup
+from revspark.llm.decontaminate import contamination_report, drop_contaminated
+from revspark.llm.oracle import SQL
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+@pytest.mark.parametrize("odd", [-1, None, 7])
+def test_dedup_of_one_id_in_a_third_of_the_rows(spark, odd):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [text(260) for _ in range(3)]
+    rows = [(k if k % 3 else odd, text(rng.randrange(300)) + rng.choice(["", *shared]) + text(rng.randrange(60))) for k in range(45)]
+    rows += [(odd, rows[4][1]), (-1, shared[0]), (None, shared[0]), (odd, None)]
+    got = [tuple(r) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(i, *b) for (i, _), b in zip(rows, brute.repeats([t for _, t in rows], 200), strict=True)]
+    assert ordered(got) == ordered(want) and sum(w[2] > 0 for w in want) > 10
+
+
+def test_the_sql_of_quality_on_skewed_hosts(spark):
+    """One host of 3000 documents beside 1500 of 3, all failing at a rate of 0.2."""
+    rng = random.Random(8)
+    hosts = ["big"] * 3000 + [f"h{k // 3}" for k in range(4500)] + [None] * 5
+    rows = [(k, "too short" if rng.random() < 0.2 else " ".join(f"w{j}" for j in range(12)), h) for k, h in enumerate(hosts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mine = quality.quality_report(docs).drop("source", "host_rate")
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])  # noqa: F841  read by the query
+    told = duckdb.connect().execute(SQL["op5_quality_rules"])
+    names = [d[0] for d in told.description]
+    assert sorted(map(tuple, mine.select(*names).collect())) == sorted(told.fetchall())
+
+
+def test_a_column_named_like_an_inner_one(spark):
+    rows = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen", "x", 3), (2, "a clean text", "y", 4), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, found string, n_words int")
+    benchmark = spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")
+    kept = drop_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+    assert {r["doc_id"]: r["contaminated"] for r in contamination_report(docs, benchmark).collect()} == {1: True, 2: False, 3: False}
