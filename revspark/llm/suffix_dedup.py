@@ -263,9 +263,9 @@ def dedup(docs: DataFrame, keep: bool = False, hot_texts: int = HOT_TEXTS) -> Da
     long = rows.where(F.col("n_bytes") >= WIDTH)
 
     # one row for each distinct text
-    grams = long.select(*keys, _gram_hashes("text").alias("g"))
+    grams = long.select(*keys, "named", _gram_hashes("text").alias("g"))
     firsts = materialise(grams.groupBy("t1", "t2").agg(
-        F.min("did").alias("did"), F.count(F.lit(1)).alias("copies"), F.first("g.hashes").alias("hashes"),
+        F.min("did").alias("did"), F.first("named").alias("named"), F.count(F.lit(1)).alias("copies"), F.first("g.hashes").alias("hashes"),
         F.first("g.own").alias("own")), "grams")
     each = firsts.select("did", "t1", F.explode("hashes").alias("h"))
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -277,7 +277,7 @@ def dedup(docs: DataFrame, keep: bool = False, hot_texts: int = HOT_TEXTS) -> Da
     lists = materialise(lists.where(F.size("known") > 0), "repeated")
 
     # both joins with the texts read one exchange
-    source = long.select(*keys, "named", "text")
+    source = long.select(*keys, "text")
     held = source.join(lists.hint("shuffle_merge"), keys).select(*keys, "text", "known", "hot")
     found = (held.mapInArrow(_take_contexts, _CONTEXT).repartition("grp").sortWithinPartitions("grp", "id")
              .mapInArrow(_sort_groups, "id binary, first int, last int"))
@@ -287,7 +287,7 @@ def dedup(docs: DataFrame, keep: bool = False, hot_texts: int = HOT_TEXTS) -> Da
                         (F.col("p") + F.col("last") + WIDTH).cast("long").alias("b")).alias("r"))
     spans = ranges.groupBy(*keys).agg(F.collect_list("r").alias("ranges"))  # those of one text
 
-    single = firsts.where("copies = 1").select(*keys)
+    single = firsts.where("copies = 1").select(*keys, "named")
     cut = (source.join(single.hint("shuffle_merge"), keys).join(spans.hint("shuffle_merge"), keys, "left")
            .withColumn("x", _cutter(keep)(F.when(F.col("ranges").isNotNull(), F.col("text")), "ranges")))
     own_id = F.when(F.col("named"), F.col("did"))
