@@ -87,26 +87,55 @@ def test_rates_meet_targets(spark, toxic):
 
 
 def test_steps_match_gradient_descent_on_documents(spark):
-    """The rates after the steps are those of projected gradient descent with a rate a document, in plain numpy."""
+    """The rates after the steps are those of scaled projected gradient descent with a rate a document, in plain numpy."""
     rng = np.random.default_rng(1)
     p = np.array([to_grid(list(x)) for x in rng.dirichlet([0.3, 0.3, 0.3], 200)]) / GRID
     tokens = rng.integers(1, 500, 200).astype(float)
     targets = [0.5, 0.3, 0.2]
-    cells = spark.createDataFrame([([int(round(v * GRID)) for v in a], int(t)) for a, t in zip(p, tokens, strict=True)],
-                                  "p array<int>, tokens long").groupBy("p").agg(F.sum("tokens").alias("tokens"))
-    history = rate_history(cells, targets, steps=25, budget=0.5)
+    history = rate_history(_cells(spark, p, tokens), targets, steps=25, budget=0.5, tolerance=0.0)
     aim = np.array(targets) * 0.5
+    mass = tokens @ p / tokens.sum()
     r = y = np.full(200, 0.5)
     t = 1.0
     for k in range(25):
-        g = (y * tokens) @ p / tokens.sum() - aim
+        g = ((y * tokens) @ p / tokens.sum() - aim) / mass
         assert np.allclose(g, history[k], atol=1e-9)
-        fresh = np.maximum(0, y - (p @ g + 1e-4 * (y - 0.5)) / (1 + 1e-4))
+        fresh = np.maximum(0, y - (p @ g + mixing.PULL * (y - 0.5)) / (1 + mixing.PULL))
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y, r, t = fresh + (t - 1) / after * (fresh - r), fresh, after
     assert np.allclose(rates(p, history, 0.5), r)
 
 
+def _cells(spark, p, tokens):
+    return spark.createDataFrame([([int(round(v * GRID)) for v in a], int(t)) for a, t in zip(p, tokens, strict=True)],
+                                 "p array<int>, tokens long").groupBy("p").agg(F.sum("tokens").alias("tokens"))
+
+
+@pytest.mark.parametrize("share", [1e-3, 1e-4])
+def test_rare_domains_meet_their_targets(spark, share):
+    """Production settings; the last domain has `share` of the tokens, hard posteriors and softer ones."""
+    aim = np.array([0.92, 0.06, 0.02]) * mixing.BUDGET
+    for soft in (0, 25):
+        p = np.array([[GRID - soft, soft, 0], [2 * soft, GRID - 2 * soft, 0], [soft, 0, GRID - soft]]) / GRID
+        tokens = np.array([0.9 - share, 0.1, share]) * 1e7
+        history = rate_history(_cells(spark, p, tokens), [0.92, 0.06, 0.02])
+        got = (rates(p, history, mixing.BUDGET) * tokens) @ p / tokens.sum()
+        assert len(history) <= mixing.STEPS and np.allclose(got, aim, rtol=0.01)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark, toxic):
+    cells = _cells(spark, np.array([[1.0, 0.0], [0.9, 0.1]]), np.array([100.0, 200.0]))
+    with pytest.warns(UserWarning, match=r"\[2\]"):
+        rate_history(cells.select(F.concat("p", F.array(F.lit(0))).alias("p"), "tokens"), [0.9, 0.05, 0.05], steps=30)
+    docs, labels = toxic
+    targets = {"clean": 0.7, "toxic": 0.3}
+    out = {r["domain"]: r for r in mixing.expected_tokens(mix(docs, label_domains(labels), targets), targets).collect()}
+    assert set(out) == set(targets) and all(r["met"] for r in out.values())
+    # without labels all posteriors are even: both domains get half, whatever the rates
+    out = mixing.expected_tokens(mix(docs, label_domains(labels.limit(0)), targets, steps=5), targets).collect()
+    assert not any(r["met"] for r in out)
+
+
 def test_grid_adds_up():
     rng = random.Random(1)
     for _ in range(200):
