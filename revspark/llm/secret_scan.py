@@ -10,13 +10,14 @@ cell of their start, so a row meets only the few parts of one cell, however long
 
 Spans are kind:start:end in code points, end exclusive.
 
-Defined cases: a null text is empty; repeated rows and ids give a row each (equal rows share their links); an empty
-table gives an empty result; other columns of the input are not read.
+Defined cases: a null or empty text has no spans; repeated rows and ids give a row each (equal rows share their links); a very
+long text takes time linear in its length and parts, and only its spans are carried; spans of equal start stand in the
+order of their kinds; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revspark.llm.common import materialise
@@ -35,6 +36,8 @@ WEAK = {
 }
 KINDS = [*STRONG, *WEAK]
 SCOPE = 300
+#: Items of an array that are put together at once.
+STRETCH = 256
 PLACEHOLDER = "[REDACTED]"
 
 _SPAN = "struct<s:int,k:int,e:int>"
@@ -53,16 +56,42 @@ def spans_of(text: Column, kind: str) -> Column:
                        lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g")))
     parts = F.zip_with(F.transform(F.split(text, pattern, -1), F.length), pairs,
                        lambda gap, p: F.struct(gap.alias("gap"), p.alias("p")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(_NO_SPANS).alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        s = at + x["gap"]
         e = s + F.coalesce(x["p"]["m"], F.lit(0))
         span = F.struct(s.cast("int").alias("s"), F.lit(k).alias("k"), e.cast("int").alias("e"))
-        return F.struct(e.cast("int").alias("at"),
-                        F.when(x["p"]["g"] >= least, F.array_append(acc["found"], span)).otherwise(acc["found"]).alias("found"))
+        return e, x["p"]["g"] >= least, span
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["found"])).otherwise(F.expr(_NO_SPANS))
+    return F.when(text.rlike(pattern), running(parts, F.expr(_NO_SPANS), step)).otherwise(F.expr(_NO_SPANS))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with `value` evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(parts: Column, none: Column, step) -> Column:
+    """Array of the items that a pass over `parts` (at least one) yields. none: the empty array of items.
+
+    step(at, part) gives the next place, whether there is an item, and the item; the place starts at 0. Items are
+    appended in stretches, as an append copies what is there: a text of many parts takes time linear in them.
+    """
+
+    def inner(acc: Column, x: Column) -> Column:
+        at, has, item = step(acc["at"], x)
+        return F.struct(at.cast("int").alias("at"), F.when(has, F.array_append(acc["found"], item)).otherwise(acc["found"]).alias("found"))
+
+    def whole(held: Column) -> Column:
+        def outer(acc: Column, k: Column) -> Column:
+            one = F.aggregate(F.slice(held, k * STRETCH + 1, F.lit(STRETCH)), F.struct(acc["at"].alias("at"), none.alias("found")), inner)
+            return bound(one, lambda g: F.struct(g["at"].alias("at"), F.array_append(acc["found"], g["found"]).alias("found")))
+
+        last = F.floor((F.size(held) - 1) / STRETCH).cast("int")
+        start = F.struct(F.lit(0).alias("at"), F.slice(F.array(none), 1, 0).alias("found"))
+        return F.aggregate(F.sequence(F.lit(0), last), start, outer, lambda acc: F.flatten(acc["found"]))
+
+    return bound(parts, whole)
 
 
 def joined(spans: Column) -> Column:
@@ -80,18 +109,22 @@ def located(docs: DataFrame) -> DataFrame:
     weak = F.concat(*(spans_of(text, k) for k in WEAK))
     found = docs.select("doc_id", F.sha2(text, 256).alias("key"), strong.alias("strong"), weak.alias("weak"), text.alias("t"))
     pieces = F.transform(F.split("t", "\n\n", -1), lambda p: F.length(p) + 2)
-    ends = F.aggregate(pieces, F.expr("cast(array(0) as array<int>)"),
-                       lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    return found.select("doc_id", "key", "strong", "weak",
-                        F.when(F.size("weak") > 0, ends).otherwise(F.array(F.lit(0))).alias("breaks"))
+    none = F.expr("cast(array() as array<int>)")
+    ends = running(pieces, none, lambda at, n: (at + n, F.lit(True), at + n))
+    return found.select("doc_id", "key", "strong", "weak", F.when(F.size("weak") > 0, ends).otherwise(none).alias("breaks"))
 
 
 def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, key, linked): the weak spans of each (doc_id, key) that have their complements in scope."""
-    block = F.size(F.filter("breaks", lambda b: b <= F.col("x.s")))
-    parts = (rows.where(F.size("weak") > 0).dropDuplicates(["doc_id", "key"])
-             .select("doc_id", "key", "breaks", F.explode(F.concat("strong", "weak")).alias("x"))
-             .select("doc_id", "key", "x", block.alias("block")))
+    some = rows.where(F.size("weak") > 0).dropDuplicates(["doc_id", "key"])
+    parts = some.select("doc_id", "key", F.explode(F.concat("strong", "weak")).alias("x"))
+    ends = some.select("doc_id", "key", F.explode("breaks").alias("s"))
+    # a part's block is the number of empty lines that end at or before its start, counted over its text's sorted parts
+    both = parts.select("doc_id", "key", F.col("x.s").alias("s"), "x").union(
+        ends.select("doc_id", "key", "s", F.lit(None).cast("struct<s:int,k:int,e:int>").alias("x")))
+    so_far = Window.partitionBy("doc_id", "key").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    block = F.sum(F.when(F.col("x").isNull(), 1).otherwise(0)).over(so_far)
+    parts = both.withColumn("block", block).where(F.col("x").isNotNull()).drop("s")
     n = {k: F.lit(KINDS.index(k)) for k in KINDS}
     is_id = F.col("x.k").isin(KINDS.index("access"), KINDS.index("login"))
     ids = parts.where(is_id).select(
@@ -125,15 +158,24 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def redacted(text: Column, spans: Column) -> Column:
     """`text` with every maximal run of overlapping spans (sorted by start) replaced by the placeholder."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    end = F.length(text)
+    last = F.array(F.struct(end.alias("s"), F.lit(0).alias("k"), end.alias("e")))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column, Column]:
+        return F.greatest(at, x["e"]), x["s"] >= at, F.struct(at.alias("a"), x["s"].alias("b"))
+
+    def pieces(some: Column) -> Column:
+        # places are counted from the start of the stretch, as finding one takes time linear in it
+        first = some[0]["a"]
+        part = F.substring(text, first + 1, F.element_at(some, -1)["b"] - first)
+        return bound(part, lambda t: F.array_join(F.transform(some, lambda g: F.substring(t, g["a"] - first + 1, g["b"] - g["a"])), PLACEHOLDER))
 
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["s"] < acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(PLACEHOLDER))
-        return F.struct(F.greatest(acc["at"], x["e"]).cast("int").alias("at"), F.when(inside, acc["out"]).otherwise(more).alias("out"))
+    def whole(held: Column) -> Column:
+        ks = F.sequence(F.lit(0), F.floor((F.size(held) - 1) / STRETCH).cast("int"))
+        return F.array_join(F.transform(ks, lambda k: bound(F.slice(held, k * STRETCH + 1, F.lit(STRETCH)), pieces)), PLACEHOLDER)
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    kept = running(F.concat(spans, last), F.expr("cast(array() as array<struct<a:int,b:int>>)"), step)
+    return F.when(F.size(spans) > 0, bound(kept, whole)).otherwise(text)
 
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
