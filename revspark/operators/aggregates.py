@@ -178,3 +178,16 @@ def file_reviews(files: DataFrame, findings: DataFrame, keys=("review_id", "file
         review_summary(F.col("file_path"), F.col("n_findings"), F.col("n_critical"), F.col("n_high"),
                        F.col("n_medium"), F.col("n_low"), F.col("overall_score"),
                        F.col("ai_summary") if ai_summaries is not None else None).alias("summary"))
+
+
+def findings_cube(findings: DataFrame, dims, sets=None) -> DataFrame:
+    """Counts and summed confidence of findings over grouping sets of ``dims`` (all subsets unless ``sets`` are given), with
+    ``level``, the grouping id: bit by bit, first dimension highest, 1 where a dimension is summed over.
+
+    Findings are counted once by all dimensions; only those few counts are expanded to the sets.
+    """
+    cells = findings.groupBy(*dims).agg(*severity_count_aggs(), F.sum(F.col("confidence").cast("decimal(18,15)")).alias("conf"))
+    names = [c for c in cells.columns if c not in {*dims, "conf"}]
+    grouped = cells.cube(*dims) if sets is None else cells.groupingSets([[F.col(c) for c in s] for s in sets], *dims)
+    return grouped.agg(F.grouping_id(*dims).cast("long").alias("level"), *(F.sum(c).alias(c) for c in names),
+                       F.sum("conf").cast("double").alias("sum_confidence"))

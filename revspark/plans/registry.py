@@ -12,6 +12,7 @@ MODULES = [
     "revspark.plans.queries_pr",
     "revspark.plans.queries_ai",
     "revspark.plans.queries_misc",
+    "revspark.plans.queries_analysis",
 ]
 
 
