@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revspark.functions.text import splitlines
+from revspark.operators.isolation import Child
 from revspark.operators.normalize import (ai_findings, quality_findings, security_findings, to_findings)
 from revspark.schemas import DEFAULT_AGENTS, FINDING_COLUMNS, SECURITY_FALLBACK_EXPLANATION
 
@@ -258,10 +259,15 @@ class FileReviewer:
 
     It runs on the workers, file by file.  A file on which it raises yields one error row instead of findings, so
     the other files, and the other reviewers' findings for that file, are not lost.
+
+    With ``seconds`` (a file) or ``memory_mb`` it runs in a child process of the worker, one a task: a review that takes
+    longer or more memory, or ends its process, yields an error row as well, and the next file gets a new process.
     """
     name: str
     description: str
     review: Callable[[str, str], list]
+    seconds: float | None = None
+    memory_mb: int | None = None
 
 
 _FILE_ITEM = T.StructType([
@@ -273,20 +279,34 @@ _FILE_ITEM = T.StructType([
 
 def _file_items(files: DataFrame, reviewer: FileReviewer) -> DataFrame:
     """(review_id, file_path, item fields, error): findings of every file, or the reason why there are none."""
-    review = reviewer.review
+    review, seconds, memory_mb = reviewer.review, reviewer.seconds, reviewer.memory_mb
     names = _FILE_ITEM.names[1:-1]
 
+    def items_of(path, code):
+        return [tuple(x.get(n) for n in names) for x in review(path, code)]
+
+    def here(path, code):
+        try:
+            return items_of(path, code), None
+        except Exception as e:  # noqa: BLE001 - the reviewer's own code, isolated by file
+            return None, f"{type(e).__name__}: {e}"
+
     def run(batches):
-        for b in batches:
-            rows = []
-            for rid, path, code in zip(b["review_id"], b["file_path"], b["code"]):
-                try:
-                    items = [tuple(x.get(n) for n in names) for x in review(path, code)]
-                    rows += [(rid, path, k, *x, None) for k, x in enumerate(items, 1)]
-                except Exception as e:  # noqa: BLE001 - the reviewer's own code, isolated by file
-                    rows.append((rid, path, 0, *[None] * len(names), f"{type(e).__name__}: {e}"))
-            out = pd.DataFrame(rows, columns=["review_id", "file_path", *_FILE_ITEM.names])
-            yield out.astype({"line_number": "Int32", "item_ord": "int64", "confidence": "float64"})
+        child = None if seconds is None and memory_mb is None else Child(items_of, seconds, memory_mb)
+        try:
+            for b in batches:
+                rows = []
+                for rid, path, code in zip(b["review_id"], b["file_path"], b["code"]):
+                    items, error = (child.call if child else here)(path, code)
+                    if error is None:
+                        rows += [(rid, path, k, *x, None) for k, x in enumerate(items, 1)]
+                    else:
+                        rows.append((rid, path, 0, *[None] * len(names), error))
+                out = pd.DataFrame(rows, columns=["review_id", "file_path", *_FILE_ITEM.names])
+                yield out.astype({"line_number": "Int32", "item_ord": "int64", "confidence": "float64"})
+        finally:
+            if child:
+                child.close()
 
     schema = T.StructType([files.schema["review_id"], files.schema["file_path"], *_FILE_ITEM.fields])
     from revspark.session import write_once

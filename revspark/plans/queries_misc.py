@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from revspark.functions.text import splitlines
@@ -190,6 +192,27 @@ select review_id, cast(coalesce(n.n, 0) + cast(german as int) as bigint) as n_fi
   case when go then 'failed' else 'completed' end as status_alone
 from d left join n using (review_id)"""
 
+def ending_reviewer(file_path: str, code: str) -> list:
+    """Example of a reviewer that ends its process on Go files."""
+    if file_path.endswith(".go"):
+        os._exit(3)
+    return first_line_reviewer(file_path, code)
+
+
+def q_process_isolation(spark, sf):
+    files = v1_files(spark, sf)
+    rs = ReviewerSet([FileReviewer("FirstLine", "", ending_reviewer, seconds=60, memory_mb=4096)])
+    out = review_files(ReviewInputs(files=files), rs)
+    return (out.file_reviews.select("review_id", "n_findings", "status")
+            .join(out.file_errors.select("review_id", "reason"), "review_id", "left"))
+
+
+Q["process_isolation"] = q_process_isolation
+SQL["process_isolation"] = """select doc_id as review_id, cast(lang = 'de' and doc_id % 6 <> 2 as bigint) as n_findings,
+  case when doc_id % 6 = 2 then 'failed' else 'completed' end as status,
+  case when doc_id % 6 = 2 then 'ChildProcessError: process ended with code 3' end as reason
+from documents"""
+
 Q["custom_reviewer"] = q_custom_reviewer
 SQL["custom_reviewer"] = "with " + SQL_V1_SCAN + f""",
 ll as (select review_id, 'low' as severity from l where length(line) > {LONG_LINE}),
