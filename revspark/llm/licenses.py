@@ -1,9 +1,10 @@
 r"""License scan: exact containment join of text blocks with license templates.
 
 A block is a sentence: text between line breaks or after `.`, `!`, `?`, `;` followed by white space, and, as license texts
-are hard-wrapped, every window of up to `LINES` consecutive lines of a sentence that runs over line breaks (to a sentence
-end or a line without words; comment marks are no words). Only windows that need all their lines count. A template is found in a block when the block's distinct words hold at least `THRESHOLD` of the template's distinct words. All such pairs are
-found by a prefix-filter join:
+are hard-wrapped, every stretch of words of a sentence that runs over line breaks (to a sentence end or a line without
+words; comment marks are no words), over however many lines. A template is found in a block when the block's distinct
+words hold at least `THRESHOLD` of the template's distinct words; a stretch over lines may have at most `SPREAD` times as many
+words as the template, or any long list would hold its common words. All such pairs are found by a prefix-filter join:
 
 * the words that templates use are ordered by how often all documents use them, rarest first;
 * a template of k words that must share t = ceil(THRESHOLD * k) of them with a block shares at least one of its first
@@ -11,19 +12,22 @@ found by a prefix-filter join:
 * a block with fewer than t of the templates' words cannot match (length filter);
 * once the first shared word is known at places i of the template and j of the block's ordered words, no more than
   1 + min(k - i, |block| - j) - 1 words can be shared (positional filter);
-* what is left is counted exactly.
+* what is left is counted exactly; in a sentence over lines a window slides over the words that it shares with the template
+  (its stretches, leftmost first, do not overlap; time linear in the sentence for each template that passed).
 
 The templates are a fixed list, so the broadcast index over their prefixes has a fixed size. The phrase labels of the
 contract (`PHRASES`) are counted beside it; the join only adds labels.
 
 Defined cases: null text is empty (no words, labels ""); first_word and last_word are null without phrases; repeated
-rows and ids give a row each; other columns of the input are ignored.
+rows and ids give a row each; of templates that tie on the same words all labels are given; other columns of the input are
+ignored; an empty table gives no rows; a text is read in one pass, in memory of the order of its length.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +42,8 @@ from revspark.llm.common import WORD, struct_array, texts, word_bounds
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 THRESHOLD = 0.9
-LINES = 8
+#: A stretch over lines has at most this many times the words of its template.
+SPREAD = 3
 
 #: Template sentences by label. Of a block's matches, one whose words are all in another match's is dropped.
 TEMPLATES = [
@@ -97,11 +102,13 @@ def word_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
 class PrefixIndex:
     """Templates as words in global order, and the templates listed under each word of their prefixes."""
 
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], counts: dict[bytes, int], threshold: float):
+    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], counts: dict[bytes, int], threshold: float,
+                 lengths: list[int] | None = None):
         vocabulary = frozenset().union(*(words for _, words in templates))
         self.rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
         self.sets = [words for _, words in templates]
         self.labels = [label for label, _ in templates]
+        self.lengths = [len(words) for words in self.sets] if lengths is None else lengths
         self.needed = [max(1, math.ceil(threshold * len(words) - 1e-9)) for words in self.sets]
         self.at: dict[bytes, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.sets):
@@ -114,22 +121,39 @@ class PrefixIndex:
         found = self.held(block)
         return [(t, c) for t, c in found if not any(self.sets[t] < self.sets[u] for u, _ in found)]
 
-    def wrapped(self, lines: list[set[bytes]]) -> list[tuple[int, int, int, float]]:
-        """(first line, last line, template, containment) of the templates that only several lines together hold."""
+    def wrapped(self, words: list[bytes], lines: list[int]) -> list[tuple[int, int, int, float]]:
+        """(first word, last word, template, containment) of the templates that only several lines together hold;
+        `lines` is the line of every word."""
         found = []
-        for t, _ in self.held(set().union(*lines)):
-            own, need = self.sets[t], self.needed[t]
-            shared = [own & words for words in lines]
-            for i in range(len(lines)):
-                held: set[bytes] = set()
-                for j in range(i, min(i + LINES, len(lines))):
-                    held |= shared[j]
-                    if len(held) >= need:
-                        if i == j or len(set().union(*shared[i + 1:j + 1])) < need:
-                            found.append((i, j, t, len(held) / len(own)))
+        for t, _ in self.held(set(words)):
+            own, need, reach = self.sets[t], self.needed[t], SPREAD * self.lengths[t]
+            places = [k for k, w in enumerate(words) if w in own]
+            held: Counter = Counter()
+            left = right = 0
+            while right < len(places):
+                held[words[places[right]]] += 1
+                right += 1
+                while len(held) >= need or places[right - 1] - places[left] >= reach:
+                    first = words[places[left]]
+                    if held[first] == 1 and len(held) >= need and places[right - 1] - places[left] < reach:
+                        last = right - 1  # the least stretch from here; it goes on while it gains words
+                        for k in range(right, len(places)):
+                            if places[k] - places[left] >= reach or len(held) == len(own):
+                                break
+                            if words[places[k]] not in held:
+                                last = k
+                            held[words[places[k]]] += 1
+                        if lines[places[left]] != lines[places[last]]:
+                            got = len({words[k] for k in places[left:last + 1]})
+                            found.append((places[left], places[last], t, got / len(own)))
+                        held.clear()
+                        left = right = last + 1
                         break
-        return [x for x in found if x[0] < x[1] and not any(self.sets[x[2]] < self.sets[y[2]] and x[0] <= y[1] and y[0] <= x[1]
-                                                           for y in found)]
+                    held[first] -= 1
+                    if not held[first]:
+                        del held[first]
+                    left += 1
+        return [x for x in found if not any(self.sets[x[2]] < self.sets[y[2]] and x[0] <= y[1] and y[0] <= x[1] for y in found)]
 
     def held(self, block: set[bytes]) -> list[tuple[int, float]]:
         """(template, containment) of every template that the block holds."""
@@ -165,26 +189,29 @@ def scan(text: bytes, index: PrefixIndex) -> tuple:
                 n += 1
     labels, score, spans = set(base), 1.0 if base else 0.0, []
     if any(w in low for w in index.at):
-        begin, lines, bounds = 0, [], []
+        begin, words, lines, line = 0, [], [], 0
 
-        def add(t: int, c: float, begin: int, end: int) -> None:
+        def add(t: int, c: float, w0: int, w1: int) -> None:
             nonlocal score
             labels.add(index.labels[t])
             score = max(score, c)
-            w0, w1 = int(np.searchsorted(starts, begin)), int(np.searchsorted(starts, end))
             spans.append(f"{index.labels[t]}:{w0}:{w1}")
 
+        at = 0  # words before the line at hand
         for end in [m.end() for m in _BLOCK_END.finditer(low)] + [len(low)]:
-            block = set(_WORDS.findall(low, begin, end))
+            own = _WORDS.findall(low, begin, end)
+            block = set(own)
             for t, c in index.matches(block) if len(block) >= index.least else ():
-                add(t, c, begin, end)
-            if block:
-                lines.append(block)
-                bounds.append((begin, end))
+                add(t, c, at, at + len(own))
+            at += len(own)
+            words += own
+            lines += [line] * len(own)
+            line += 1
             if not block or end == len(low) or low[end - 1] != 0x0A:  # the sentence ends here
-                for i, j, t, c in index.wrapped(lines) if len(lines) > 1 else ():
-                    add(t, c, bounds[i][0], bounds[j][1])
-                lines, bounds = [], []
+                for i, j, t, c in index.wrapped(words, lines) if words and lines[0] != lines[-1] else ():
+                    whole = bisect_left(lines, lines[i]), bisect_right(lines, lines[j])  # reported with its whole lines
+                    add(t, c, at - len(words) + whole[0], at - len(words) + whole[1])
+                words, lines = [], []
             begin = end
     return (len(starts), n, min(firsts, default=None), max(lasts, default=None), ",".join(sorted(base)),
             ",".join(sorted(labels)), score, ",".join(spans))
@@ -198,7 +225,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """Per row of `docs`: the contract's columns and `blocks` (label:first word:end word of every matched block)."""
     sets = template_sets(templates)
     counts = word_counts(docs, frozenset().union(*(words for _, words in sets)))
-    index = PrefixIndex(sets, counts, threshold)
+    index = PrefixIndex(sets, counts, threshold, [len(_WORDS.findall(text.encode().lower())) for _, text in templates])
 
     @F.arrow_udf("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
                  "score double, blocks string")

@@ -3,6 +3,7 @@
 import bisect
 import random
 import re
+import textwrap
 
 import brute
 import duckdb
@@ -10,6 +11,7 @@ import pandas as pd
 import pytest
 
 from revspark.llm import quality, secret_scan, suffix_dedup
+from revspark.llm.licenses import SPREAD, PrefixIndex, license_scan
 from revspark.llm.decontaminate import contamination_report, drop_contaminated
 from revspark.llm.oracle import SQL
 
@@ -93,3 +95,39 @@ def test_secrets_of_very_long_texts(spark):
         at = max(at, e)
     out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
     assert out[1] == "".join(new) + text[at:] and out[2] == "x" * 1_000_000 and out[3] == ""
+
+
+MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+       "documentation files (the \"Software\"), to deal in the Software without restriction")
+
+
+def test_licenses_wrapped_at_any_width(spark):
+    texts = {w: "of the things\n" + "\n".join(["# " + x for x in textwrap.wrap(MIT, w, break_long_words=False, break_on_hyphens=False)]) + "\nand to all" for w in (1, 8, 16, 20, 25, 40, 80)}
+    texts[500] = "\n".join(x + " word" * 9 for x in MIT.split())  # its words are too far apart
+    texts[501] = MIT.replace("free of", "free\n\nof")  # an empty line ends a sentence
+    texts[502] = "the word of\n" * 200_000 + MIT.replace(" ", "\n")
+    rows = [*texts.items(), (503, None), (504, "")]
+    got = {r["doc_id"]: r["labels"] for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "" if 500 <= i != 502 else "mit" for i, _ in rows}
+
+
+def test_wrapped_licenses_against_all_stretches():
+    rng = random.Random(5)
+    sets = [("a", frozenset(b"abcdefgh"[k:k + 1] for k in range(8))), ("b", frozenset((b"a", b"b", b"x"))), ("c", frozenset((b"y", b"z")))]
+    index = PrefixIndex(sets, {}, 0.7, [10, 3, 2])
+    hits = 0
+    for _ in range(400):
+        words = [rng.choice([b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"h", b"x", b"y", b"z", b"-", b"+"]) for _ in range(rng.randrange(2, 40))]
+        got = index.wrapped(words, list(range(len(words))))  # every word is a line
+        for i, j, t, c in got:
+            assert c == len(set(words[i:j + 1]) & sets[t][1]) / len(sets[t][1]) and len(set(words[i:j + 1]) & sets[t][1]) >= index.needed[t]
+            assert j - i < SPREAD * index.lengths[t]
+        for t, (_, own) in enumerate(sets):
+            reach = SPREAD * index.lengths[t]
+            want = [(i, j) for i in range(len(words)) for j in range(i + 1, min(i + reach, len(words)))
+                    if len(set(words[i:j + 1]) & own) >= index.needed[t]]
+            hits += bool(want)
+            # what a smaller template has may stand for a larger one only
+            covered = [x for x in got if x[2] == t or own < sets[x[2]][1]]
+            assert bool(want) == bool(covered) or any(own < o for _, o in sets)
+    assert hits > 200
