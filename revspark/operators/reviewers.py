@@ -277,10 +277,9 @@ _FILE_ITEM = T.StructType([
     T.StructField("confidence", T.DoubleType()), T.StructField("error", T.StringType())])
 
 
-def _file_items(files: DataFrame, reviewer: FileReviewer) -> DataFrame:
-    """(review_id, file_path, item fields, error): findings of every file, or the reason why there are none."""
-    review, seconds, memory_mb = reviewer.review, reviewer.seconds, reviewer.memory_mb
-    names = _FILE_ITEM.names[1:-1]
+def file_caller(reviewer: FileReviewer):
+    """(call, close): ``call(file_path, code) -> (item tuples, error)``, in a child process where the reviewer has limits."""
+    review, names = reviewer.review, _FILE_ITEM.names[1:-1]
 
     def items_of(path, code):
         return [tuple(x.get(n) for n in names) for x in review(path, code)]
@@ -291,22 +290,31 @@ def _file_items(files: DataFrame, reviewer: FileReviewer) -> DataFrame:
         except Exception as e:  # noqa: BLE001 - the reviewer's own code, isolated by file
             return None, f"{type(e).__name__}: {e}"
 
+    if reviewer.seconds is None and reviewer.memory_mb is None:
+        return here, lambda: None
+    child = Child(items_of, reviewer.seconds, reviewer.memory_mb)
+    return child.call, child.close
+
+
+def file_rows(call, review_id, path, code) -> list[tuple]:
+    """The rows of a file: one for each finding, or one with the error."""
+    items, error = call(path, code)
+    if error is not None:
+        return [(review_id, path, 0, *[None] * (len(_FILE_ITEM) - 2), error)]
+    return [(review_id, path, k, *x, None) for k, x in enumerate(items, 1)]
+
+
+def _file_items(files: DataFrame, reviewer: FileReviewer) -> DataFrame:
+    """(review_id, file_path, item fields, error): findings of every file, or the reason why there are none."""
     def run(batches):
-        child = None if seconds is None and memory_mb is None else Child(items_of, seconds, memory_mb)
+        call, close = file_caller(reviewer)
         try:
             for b in batches:
-                rows = []
-                for rid, path, code in zip(b["review_id"], b["file_path"], b["code"]):
-                    items, error = (child.call if child else here)(path, code)
-                    if error is None:
-                        rows += [(rid, path, k, *x, None) for k, x in enumerate(items, 1)]
-                    else:
-                        rows.append((rid, path, 0, *[None] * len(names), error))
+                rows = [row for x in zip(b["review_id"], b["file_path"], b["code"]) for row in file_rows(call, *x)]
                 out = pd.DataFrame(rows, columns=["review_id", "file_path", *_FILE_ITEM.names])
                 yield out.astype({"line_number": "Int32", "item_ord": "int64", "confidence": "float64"})
         finally:
-            if child:
-                child.close()
+            close()
 
     schema = T.StructType([files.schema["review_id"], files.schema["file_path"], *_FILE_ITEM.fields])
     from revspark.session import write_once

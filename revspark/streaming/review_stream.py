@@ -6,7 +6,8 @@ ST1 continuous review: arriving files -> the same batch plan per micro-batch
 ST2 TTL de-duplication of prompts: a request passes when it is the first for its
     key or comes the TTL or more after the last that passed (one time a key is kept
     from batch to batch, and goes when the stream is a TTL past it).
-ST3 rate-limit windows: requests per client per window, flagged over a limit.
+ST3 rate-limit windows: requests per client per window, flagged over a limit; sessions of requests with
+    a gap, and the requests that came too late for theirs.
 
 Checkpoints and outputs go under the shared checkpoint folder of the session
 (``spark.checkpoint.dir``), never a machine-local path.
@@ -62,6 +63,13 @@ def _passing(key: str, ttl: int):
     return run
 
 
+def _last_state(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame | None:
+    """The state that the last batch (before ``batch_id``) committed."""
+    from revspark.sources.store import current_commits
+    earlier = [c for c in current_commits(spark, path) if batch_id is None or c.commit_name < f"batch-{batch_id:012d}"]
+    return spark.read.parquet(f"{path}/{earlier[-1].folder}/state") if earlier else None
+
+
 def run_ttl_dedup(stream: DataFrame, name: str, key: str = "prompt_key", ts: str = "ts", ttl_seconds: int = 3600,
                   order: str = "submission_id", delay_seconds: int = 0) -> str:
     """ST2: run a stream of requests over everything available now; returns the folder of those that pass (``order, key, ts``).
@@ -100,13 +108,6 @@ def run_ttl_dedup(stream: DataFrame, name: str, key: str = "prompt_key", ts: str
         commit(spark, f"{out}/state", f"batch-{batch_id:012d}",
                {"state": alive.select(key, "us", F.lit(latest).cast("long").alias("latest")).unionByName(mark), "passed": passed})
 
-    def _last_state(spark: SparkSession, path: str, batch_id: int):
-        from revspark.sources.store import current_commits
-        earlier = [c for c in current_commits(spark, path) if c.commit_name < f"batch-{batch_id:012d}"]
-        if not earlier:
-            return None
-        return spark.read.parquet(f"{path}/{earlier[-1].folder}/state")
-
     out = run_available_now(stream, name, sink=sink)
     result = f"{out}/passed"
     read_committed(spark, f"{out}/state", "passed").write.parquet(result)
@@ -122,17 +123,78 @@ def rate_counts(stream: DataFrame, window: str = "60 seconds", key: str = "clien
                     (F.col("n") > limit).alias("over_limit")))
 
 
+def run_sessions(stream: DataFrame, name: str, key: str = "client", ts: str = "ts", gap_seconds: int = 1800,
+                 delay_seconds: int = 0, folder: str | None = None) -> str:
+    """ST3 sessions: runs of a key's requests, each at most ``gap_seconds`` after the one before.  Runs over everything available
+    now and returns the output folder, for :func:`read_sessions` and :func:`read_late`; with the ``folder`` of an
+    earlier run it goes on where that one ended.
+
+    The watermark is the latest time of earlier batches less ``delay_seconds``.  A request before it is late: it goes to the late
+    rows, whole, and into no session.  Every other one is in a session, however requests come cut into batches and in what
+    order.  A session closes once no request that is not late can join it.
+
+    A batch's requests and the open sessions are merged by Spark's ``session_window``: an open session is a row whose gap
+    spans it.  Requests of one time are combined before the shuffle, the merge of a key reads its sorted windows one by one, so
+    a hot key needs time in one task but no memory.  What is kept from batch to batch is the open sessions.  Closed sessions, open
+    ones and late rows of a batch become visible in one commit, so that a retried batch gives what it gave.  Requests
+    without a time are late rows; a null key is a key.
+    """
+    from revspark.sources.store import commit
+
+    spark, gap, delay = stream.sparkSession, gap_seconds * 1_000_000, delay_seconds * 1_000_000
+    kind = stream.schema[key].dataType.simpleString()
+    state_schema = f"`{key}` {kind}, first_us bigint, last_us bigint, n bigint, latest bigint"
+
+    def sink(batch: DataFrame, batch_id: int, out: str) -> None:
+        state = _last_state(spark, out, batch_id)
+        latest = None if state is None else state.agg(F.max("latest")).first()[0]
+        us = F.unix_micros(F.col(ts))
+        late = us.isNull() if latest is None else us.isNull() | (us < latest - delay)
+        points = batch.where(~late).select(key, us.alias("first_us"), us.alias("last_us"), F.lit(1).cast("long").alias("n"))
+        if state is not None:
+            points = points.union(state.where("n > 0").select(key, "first_us", "last_us", "n"))
+        span = F.concat((F.col("last_us") - F.col("first_us") + gap).cast("string"), F.lit(" microseconds"))
+        merged = write_once(
+            points.withColumn("at", F.timestamp_micros("first_us")).groupBy(key, F.session_window("at", span).alias("w"))
+            .agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n")).drop("w"), f"{name}-step")
+        seen = [x for x in (latest, merged.agg(F.max("last_us")).first()[0]) if x is not None]
+        now = max(seen, default=None)
+        shut = F.lit(False) if now is None else F.col("last_us") + gap < now - delay
+        mark = spark.createDataFrame([(None, None, None, 0, now)], state_schema)  # keeps the latest time when no session is open
+        commit(spark, out, f"batch-{batch_id:012d}", {
+            "state": merged.where(~shut).select(key, "first_us", "last_us", "n", F.lit(now).cast("long").alias("latest")).unionByName(mark),
+            "sessions": merged.where(shut), "late": batch.where(late)})
+
+    return run_available_now(stream, name, sink=sink, folder=folder)
+
+
+def read_sessions(spark: SparkSession, out: str, key: str = "client", gap_seconds: int = 1800) -> DataFrame:
+    """key, session_start, session_end (its last request and the gap), n and closed, of all batches so far."""
+    from revspark.sources.store import read_committed
+    closed = read_committed(spark, out, "sessions").withColumn("closed", F.lit(True))
+    rows = closed.unionByName(_last_state(spark, out).where("n > 0").drop("latest").withColumn("closed", F.lit(False)))
+    return rows.select(key, F.timestamp_micros("first_us").alias("session_start"),
+                       F.timestamp_micros(F.col("last_us") + gap_seconds * 1_000_000).alias("session_end"), "n", "closed")
+
+
+def read_late(spark: SparkSession, out: str) -> DataFrame:
+    """The requests that came too late, as they came."""
+    from revspark.sources.store import read_committed
+    return read_committed(spark, out, "late")
+
+
 def run_available_now(df: DataFrame, name: str, sink: Callable | None = None, output_mode: str = "append",
-                      fmt: str = "parquet") -> str:
+                      fmt: str = "parquet", folder: str | None = None) -> str:
     """Run a streaming DataFrame over everything available now.
 
     Without ``sink`` the rows are appended to a parquet folder; with ``sink`` it
     is called per micro-batch (``foreachBatch``) with ``(batch_df, batch_id,
-    out_path)``.  Returns the output folder.
+    out_path)``.  Returns the output folder.  With the ``folder`` of an earlier run the
+    stream goes on from its checkpoint.
     """
     spark = df.sparkSession
-    out = shared_path(spark, f"{name}-out")
-    ckpt = shared_path(spark, f"{name}-ckpt")
+    out = folder or shared_path(spark, f"{name}-out")
+    ckpt = f"{out}-ckpt"
     w = df.writeStream.option("checkpointLocation", ckpt).outputMode(output_mode).trigger(availableNow=True)
     if sink is None:
         q = w.format(fmt).option("path", out).start()
