@@ -13,6 +13,7 @@ MODULES = [
     "revspark.plans.queries_ai",
     "revspark.plans.queries_misc",
     "revspark.plans.queries_analysis",
+    "revspark.plans.queries_sources",
 ]
 
 

@@ -7,13 +7,14 @@
     extension  lower-cased, with its dot ("" without one)
     size       bytes
     code       its text as UTF-8 (bad bytes replaced); null above ``max_bytes`` (64 MB) and where it cannot be read
-    error      why it cannot be read; an archive that cannot be opened is one row with no file_path
+    error      why it cannot be read; an archive that cannot be opened is one row with no file_path and extension ""
 
 A zip or plain tar archive is cut by offset into splits of ``split_bytes`` (32 MB); a task reads the directory (zip) or
 walks the headers, seeking over the contents (tar), and opens only the members that begin in its split. Compressed tars
 have no such offsets and are one split each. Plain files are put together up to a split's size. The driver lists
 paths and sizes and opens nothing. Filters on archive, file_path and extension (=, IN, their negations, LIKE 'x%' and
-'%x') go to the reader: archives and files that fail get no task, and members that fail are not inflated.
+'%x') and the option ``prefix`` (of file_path; errors of whole archives stay) go to the reader: archives and files that
+fail get no task, and members that fail are not inflated.
 
 Files are opened with Arrow's file systems, so a folder may be local (shared) or on any of them; a task holds one member.
 """
@@ -91,6 +92,7 @@ class RepositoryReader(DataSourceReader):
         self.path = options["path"]
         self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
         self.max_bytes = int(options.get("max_bytes", MAX_BYTES))
+        self.prefix = options.get("prefix", "")
         self.tests: list = []
 
     def pushFilters(self, filters):
@@ -104,7 +106,9 @@ class RepositoryReader(DataSourceReader):
                 yield f
 
     def _wanted(self, archive, path, only=None) -> bool:
-        row = {"archive": archive, "file_path": path, "extension": None if path is None else extension_of(path)}
+        row = {"archive": archive, "file_path": path, "extension": extension_of(path or "")}
+        if path is not None and not path.startswith(self.prefix):
+            return False
         tests = self.tests if only is None else [t for t in self.tests if (t.child if isinstance(t, Not) else t).attribute == (only,)]
         return all(_holds(t, row) for t in tests)
 
@@ -176,7 +180,7 @@ class RepositoryReader(DataSourceReader):
         except (tarfile.TarError, zipfile.BadZipFile, EOFError) as e:
             # a directory that cannot be read is told once, not once a split
             if (split.begin == 0 or split.kind != "zip") and self._wanted(name, None):
-                yield (name, None, None, None, None, f"{type(e).__name__}: {e}")
+                yield (name, None, "", None, None, f"{type(e).__name__}: {e}")
 
     def _zip(self, name, z, split):
         for m in z.infolist():
@@ -211,24 +215,20 @@ def read_archives(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("repository").options(**options).load(path)
 
 
-def read_repository(spark: SparkSession, path: str, languages: list[str] | None = None, prefix: str | None = None,
-                    **options) -> tuple[DataFrame, DataFrame]:
-    """(files, errors): ``files(review_id, archive, file_path, language, size, code)`` as :func:`read_files` gives them,
-    of the given languages and below the given path only, and the rows that could not be read.
+def read_repository(spark: SparkSession, path: str, languages: list[str] | None = None, prefix: str = "", **options) -> DataFrame:
+    """``files(review_id, archive, file_path, language, size, code)`` as :func:`read_files` gives them, of the given languages
+    and below the given path only, with ``error``: rows that could not be read have one, and neither code nor language.
 
     Files whose extension belongs to another language are not opened; the language of a file without a known extension
     follows from its text.
     """
-    rows = read_archives(spark, path, **options)
-    errors = rows.where(F.col("error").isNotNull()).select("archive", "file_path", "size", "error")
-    if prefix:
-        rows = rows.where(F.col("file_path").startswith(prefix))
+    rows = read_archives(spark, path, prefix=prefix, **options)
     if languages is not None:
         rows = rows.where(~F.col("extension").isin([e for e, lang in LANGUAGE_BY_EXTENSION if lang not in languages]))
-    files = rows.where(F.col("code").isNotNull()).select(
+    files = rows.select(
         F.xxhash64("archive", "file_path").alias("review_id"), "archive", "file_path",
-        detect_language(F.col("file_path"), F.col("code")).alias("language"), "size", "code")
-    return files if languages is None else files.where(F.col("language").isin(languages)), errors
+        F.when(F.col("error").isNull(), detect_language(F.col("file_path"), F.col("code"))).alias("language"), "size", "code", "error")
+    return files if languages is None else files.where(F.col("language").isin(languages) | F.col("error").isNotNull())
 
 
 def write_archives(files: DataFrame, path: str, kind: str = "zip", archive_bytes: int = ARCHIVE_BYTES) -> int:

@@ -13,7 +13,8 @@ FAST = ["dedup_findings", "severity_sorted", "review_score", "pr_score", "agent_
         "line_metrics_by_language", "summary_prompts", "review_payloads", "prompt_worklist", "ingest_contents",
         "agent_union", "custom_reviewer", "validate_submissions", "validate_pr_requests", "ingest_prs",
         "ingest_comments", "parse_responses", "test_rules", "cache_asof", "store_commits", "file_isolation",
-        "stream_ttl_dedup", "stream_review", "reject_findings"]
+        "stream_ttl_dedup", "stream_review", "reject_findings", "read_repository", "report_rejects",
+        "by_severity_of_reviews", "stream_sessions", "stream_late_rows", "sketch_estimates", "sql_reviewer"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 

@@ -37,10 +37,10 @@ def test_every_file_once_however_it_is_split(spark, folder, kind, split):
 
 
 def test_languages_and_paths(spark, folder):
-    files, errors = R.read_repository(spark, str(folder / "zip"), languages=["python"], prefix="src/a/")
+    files = R.read_repository(spark, str(folder / "zip"), languages=["python"], prefix="src/a/")
     assert {r["file_path"] for r in files.collect()} == {n for n, _ in FILES if n.startswith("src/a/") and n.endswith(".py")}
-    assert errors.count() == 0
-    assert R.read_repository(spark, str(folder))[0].count() == 4 * len(FILES)
+    assert files.where("error is not null").count() == 0
+    assert R.read_repository(spark, str(folder)).count() == 4 * len(FILES)
 
 
 def test_filters_reach_the_reader(monkeypatch, folder):
@@ -77,17 +77,21 @@ def test_what_cannot_be_read(spark, tmp_path):
     data = bytearray((tmp_path / "crc.zip").read_bytes())
     data[data.index(b"hello")] = 0x4A
     (tmp_path / "crc.zip").write_bytes(data)
-    files, errors = R.read_repository(spark, str(tmp_path), split_bytes=64, max_bytes=2999)
+    rows = R.read_repository(spark, str(tmp_path), split_bytes=64, max_bytes=2999)
+    files, errors = rows.where("error is null"), rows.where("error is not null")
     assert {(r["archive"], r["file_path"], r["code"]) for r in files.collect()} == {
         (None, "empty.py", ""), (None, "bytes.py", "a�b"), ("x.tar", "empty.py", "")}
     got = {(r["archive"], r["file_path"]): r["error"] for r in errors.collect()}
     assert {("bad.zip", None), ("crc.zip", "a.py"), ("x.tar", "one.py"), ("x.tar", "two.py"), ("cut.tgz", "one.py")} <= set(got)
     assert "BadZipFile" in got["bad.zip", None] and "larger" in got["x.tar", "one.py"]
     assert any(a == "bad.tar" for a, _ in got) and errors.where("archive = 'bad.zip'").count() == 1
+    some = R.read_repository(spark, str(tmp_path), languages=["python"], prefix="e", split_bytes=64)  # broken archives are told
+    assert some.where("archive = 'bad.zip'").count() == 1
+    assert {r["file_path"] for r in some.where("error is null").collect()} == {"empty.py"}
 
 
 def test_empty_folder_and_empty_table(spark, tmp_path):
     none = spark.createDataFrame([], "file_path string, code string")
     assert R.write_archives(none, str(tmp_path / "z")) == 0
     (tmp_path / "y").mkdir()
-    assert R.read_repository(spark, str(tmp_path / "y"))[0].count() == 0
+    assert R.read_repository(spark, str(tmp_path / "y")).count() == 0
