@@ -45,6 +45,8 @@ R6_MESSAGE = "Test file has functions that don't follow test naming convention"
 R6_SUGGESTION = "Prefix test functions with 'test_' for pytest discovery"
 
 FILE_KEY = ["review_id", "file_path"]
+# The kinds of code elements that the testing rules read.
+RULE_KINDS = ("function", "async_function", "loop", "file")
 
 
 def is_test_file(path: Column) -> Column:
@@ -83,7 +85,7 @@ class ReviewInputs:
         they are then checkpointed once instead of parsed twice."""
         if self.elements is None:
             from revspark.operators.structure import extract_elements
-            self.elements = extract_elements(self.files, checkpoint=self.ai_responses is not None)
+            self.elements = extract_elements(self.files, checkpoint=self.ai_responses is not None, kinds=RULE_KINDS)
         return self.elements
 
 

@@ -21,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def spread(df: DataFrame, rows: int, per_task: int = 10_000) -> DataFrame:
+    """The ``rows`` rows of ``df`` over many tasks, for work that is heavy by row: a file of narrow rows has few splits."""
+    most = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // (5 * per_task)))
+    return df.repartition(max(1, min(most, -(-rows // per_task))))
+
+
+def by_key(df: DataFrame, rows: int, key: str, per_task: int = 100_000) -> DataFrame:
+    """``df`` by ``key`` in so many partitions that a task's sort does not grow with ``rows``; a few are left to Spark."""
+    conf, n = df.sparkSession.conf, -(-rows // per_task)
+    if n <= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(n, int(conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def _case(col, pairs, default=None):
     expr = None
     for k, v in pairs:
@@ -286,9 +300,9 @@ def v7_code_expr():
 
 
 def v7_files(spark, sf_dir) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     pk, size = F.col("p_partkey"), F.col("p_size")
-    return p.select(
+    return spread(p, p.count()).select(
         pk.alias("review_id"),
         F.concat(F.lit("src/part_"), pk.cast("string"), F.lit(".py")).alias("file_path"),
         v7_code_expr().alias("code"),

@@ -121,13 +121,13 @@ def review_prs(requests: DataFrame, prs: DataFrame, pr_files: DataFrame, content
     will be read.
     """
     from revspark.operators.normalize import validate_findings
-    from revspark.operators.reviewers import ReviewerSet, ReviewInputs, run_isolated
+    from revspark.operators.reviewers import RULE_KINDS, ReviewerSet, ReviewInputs, run_isolated
     from revspark.operators.structure import extract_elements
     from revspark.sources.github import review_payloads
 
     att = attach_contents(pr_files, prs, contents)
     files = att.select(file_key().alias("review_id"), F.col("filename").alias("file_path"), "code")
-    el = extract_elements(files, checkpoint=materialize)
+    el = extract_elements(files, checkpoint=materialize, kinds=RULE_KINDS)
     reviewers = reviewers or ReviewerSet()
     run = run_isolated(ReviewInputs(files=files, elements=el, scan_rules=scan_rules), reviewers)
     valid, rejects = validate_findings(run.findings.select(*FINDING_COLUMNS))

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from revspark.operators.reviewers import (R1_MESSAGE, R1_SUGGESTION, R2_MESSAGE, R2_SUGGESTION, R3_MESSAGE,
                                           R3_SUGGESTION, R4_MESSAGE, R4_SUGGESTION, R5_MESSAGE, R5_SUGGESTION,
-                                          R6_MESSAGE, R6_SUGGESTION, testing_findings)
+                                          R6_MESSAGE, R6_SUGGESTION, RULE_KINDS, testing_findings)
 from revspark.operators.structure import extract_elements
 from revspark.plans.fixtures import SQL_V7, v7_files
 
 Q = {}
 SQL = {}
+FUNCTION_KINDS = ("function", "async_function")
 
 
 def v7_all(spark, sf):
@@ -52,8 +53,8 @@ v7a as (
 
 # --- X1 X2 X8 ------------------------------------------------------------------
 def q_functions(spark, sf):
-    e = extract_elements(v7_all(spark, sf).select("review_id", "file_path", "code"))
-    return e.filter(F.col("kind").isin("function", "async_function")).select(
+    e = extract_elements(v7_all(spark, sf).select("review_id", "file_path", "code"), kinds=FUNCTION_KINDS)
+    return e.filter(F.col("kind").isin(*FUNCTION_KINDS)).select(
         "review_id", "name", "is_async", "line", "n_args", "args", "has_return")
 
 
@@ -71,7 +72,9 @@ select review_id, 'am', true, class_line + 3, 1, 'self', false from v7a where no
 
 # --- X3 X4 ---------------------------------------------------------------------
 def q_classes_methods(spark, sf):
-    e = extract_elements(v7_all(spark, sf).select("review_id", "file_path", "code"))
+    # classes and methods are both read from what one parse wrote
+    e = extract_elements(v7_all(spark, sf).select("review_id", "file_path", "code"), checkpoint=True,
+                         kinds=("class", "method"))
     # a method carries the position of its class, which is unique in the file; names need not be
     m = e.filter(F.col("kind") == "method").select("review_id", "walk_ord", F.col("name").alias("method"), "line", "is_async")
     c = (e.filter(F.col("kind") == "class").select("review_id", "walk_ord", F.col("name").alias("class_name"),
@@ -90,7 +93,8 @@ from v7a where not broken and has_class"""
 
 # --- X5 X6 X9 ------------------------------------------------------------------
 def q_indicators(spark, sf):
-    e = extract_elements(v7_all(spark, sf).select("review_id", "file_path", "code"))
+    e = extract_elements(v7_all(spark, sf).select("review_id", "file_path", "code"),
+                         kinds=("conditional", "loop", "error_handling", "parse_error", "file"))
     return e.groupBy("review_id").agg(
         F.count_if(F.col("kind") == "conditional").alias("n_conditional"),
         F.count_if(F.col("kind") == "loop").alias("n_loop"),
@@ -114,8 +118,8 @@ from v7a"""
 
 # --- X7 ----------------------------------------------------------------------
 def q_complexity(spark, sf):
-    e = extract_elements(v7_all(spark, sf).select("review_id", "file_path", "code"))
-    return e.filter(F.col("kind").isin("function", "async_function")).select("review_id", "name", "complexity")
+    e = extract_elements(v7_all(spark, sf).select("review_id", "file_path", "code"), kinds=FUNCTION_KINDS)
+    return e.filter(F.col("kind").isin(*FUNCTION_KINDS)).select("review_id", "name", "complexity")
 
 
 Q["complexity"] = q_complexity
@@ -129,7 +133,7 @@ union all select review_id, 'am', 2 from v7a where not broken and has_class"""
 # --- R1-R7 ---------------------------------------------------------------------
 def _testing(spark, sf):
     files = v7_all(spark, sf).select("review_id", "file_path", "code")
-    return testing_findings(files, extract_elements(files))
+    return testing_findings(files, extract_elements(files, kinds=RULE_KINDS))
 
 
 def _rule_out(df):
