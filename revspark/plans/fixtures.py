@@ -226,13 +226,15 @@ from v3)"""
 
 def v4_pr_files(spark, sf_dir) -> DataFrame:
     from pyspark.sql import Window
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                                  "l_quantity", "l_linestatus", "l_returnflag")
-    j = o.join(li, F.col("l_orderkey") == F.col("o_orderkey"))
-    w = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    # joined, numbered and grouped by one column of one name: the rows are shuffled once
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pr_key"), "o_orderpriority", "o_custkey")
+    lines = table(spark, sf_dir, "lineitem")
+    li = lines.select(F.col("l_orderkey").alias("pr_key"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                      "l_linestatus", "l_returnflag")
+    j = o.join(by_key(li, lines.count(), "pr_key"), "pr_key")
+    w = Window.partitionBy("pr_key").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return j.select(
-        F.col("o_orderkey").alias("pr_key"), (1 + F.col("o_orderkey")).cast("int").alias("pr_number"),
+        "pr_key", (1 + F.col("pr_key")).cast("int").alias("pr_number"),
         F.col("o_orderpriority").alias("title"), "o_custkey",
         F.concat(F.lit("src/f_"), F.col("l_partkey").cast("string"),
                  F.when(F.col("l_linestatus") == "F", F.lit(".py")).otherwise(F.lit(".js"))).alias("filename"),
