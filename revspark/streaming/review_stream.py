@@ -31,34 +31,40 @@ def _passing(key: str, ttl: int):
 
     def run(batches):
         now, last = None, None  # the key at hand (None: none yet) and its last passed time
+        columns = [key, "us", "order", "state"]
 
-        def held():
-            return pd.DataFrame({key: [now[0]], "us": [last], "order": [None], "state": [True]}).astype({"order": "Int64"})
+        def held(keys, times):
+            return pd.DataFrame({key: keys, "us": times, "order": None, "state": True}).astype({"us": "int64", "order": "Int64"})
 
         for b in batches:
             names = b[key].astype(object).where(b[key].notna(), None).to_numpy()
-            us, carried = b["us"].to_numpy(), b["state"].to_numpy()
-            cuts = [0, *(k for k in range(1, len(b)) if names[k] != names[k - 1]), len(b)]
+            us, carried = b["us"].to_numpy(), b["state"].to_numpy(dtype=bool)
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(b)]
+            keep, keys, times = [], [], []  # of the whole batch: a table for every key would take longer than its rows
             for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
                 if begin == end:
                     continue
                 if now is None or now[0] != names[begin]:
                     if last is not None:
-                        yield held()
+                        keys.append(now[0])
+                        times.append(last)
                     now, last = (names[begin],), None
                 if carried[begin]:
                     last, begin = int(us[begin]), begin + 1
-                keep = []
                 while begin < end:
-                    at = begin if last is None else begin + int(np.searchsorted(us[begin:end], last + ttl))
+                    at = begin
+                    if last is not None and us[at] < last + ttl:
+                        at += int(us[begin:end].searchsorted(last + ttl))
                     if at < end:
                         keep.append(at)
                         last = int(us[at])
                     begin = at + 1
-                if keep:
-                    yield b.iloc[keep][[key, "us", "order", "state"]]
+            if keep:
+                yield b.iloc[keep][columns]
+            if keys:
+                yield held(keys, times)
         if last is not None:
-            yield held()
+            yield held([now[0]], [last])
 
     return run
 
