@@ -15,7 +15,7 @@ from revspark.plans.fixtures import SCAN_RULES, SQL_V2, SQL_V2_DEDUP, V2_ORDER,
     v2_findings
 from revspark.plans.queries_text import SQL_V1_SCAN, SQL as TEXT_SQL
 from revspark.plans.review import review_files
-from revspark.session import shared_path, table_path
+from revspark.session import shared_path, table_path, write_once
 from revspark.sources.store import commit, committed_reviews, committed_rows, compact, read_reviews, write_reviews
 from revspark.streaming.review_stream import rate_counts, read_stream_table, review_batch_sink, run_available_now, \
     run_ttl_dedup
@@ -70,8 +70,9 @@ SQL["stream_review"] = ("select review_id, n_findings, overall_score from ("
 def q_store_commits(spark, sf):
     """The scores of all reviews, then those of every fourth anew, as two commits that are compacted; findings stay with the
     latest write of their review."""
-    kept = dedup_findings(v2_findings(spark, sf), order_cols=V2_ORDER)
-    scores = A.pr_scores(kept, ["review_id", "file_path"])
+    # every table of both commits reads the findings and scores: each is computed once, by file
+    kept = write_once(dedup_findings(v2_findings(spark, sf), order_cols=V2_ORDER), "kept")
+    scores = write_once(A.pr_scores(kept, ["review_id", "file_path"]), "scores")
     path = shared_path(spark, "committed")
     for k, (day, rows) in enumerate((("2024-01-01", scores), ("2024-01-02", scores.filter(F.col("review_id") % 4 == 0)))):
         stamp = {"ts": F.lit(f"{day} 00:00:00").cast("timestamp"), "write_id": F.lit(k).cast("long")}
