@@ -319,9 +319,10 @@ def _file_items(files: DataFrame, reviewer: FileReviewer) -> DataFrame:
             close()
 
     schema = T.StructType([files.schema["review_id"], files.schema["file_path"], *_FILE_ITEM.fields])
-    from revspark.session import write_once
+    from revspark.session import small_batches, write_once
     # findings and errors both read it, and a reviewer need not give the same answer twice
-    return write_once(files.select(*FILE_KEY, "code").mapInPandas(run, schema), "file-items")
+    with small_batches(files.sparkSession):
+        return write_once(files.select(*FILE_KEY, "code").mapInPandas(run, schema), "file-items")
 
 
 BUILTIN = {
