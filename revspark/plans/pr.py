@@ -33,8 +33,10 @@ def attach_contents(pr_files: DataFrame, prs: DataFrame, contents: DataFrame) ->
     f = eligible_files(pr_files).join(prs.select("pr_key", "repo", "head_sha"), "pr_key")
     c = contents.select("repo", F.col("path").alias("filename"), F.col("ref").alias("head_sha"), "code")
     key = ["repo", "filename", "head_sha"]
-    # empty texts stay out of the shuffle; a text stored more than once counts once
-    c = where_computed(c, F.col("code").isNotNull() & (F.length("code") > 0)).groupBy(*key).agg(F.max("code").alias("code"))
+    # empty texts stay out of the shuffle; a text stored more than once counts once.  Texts go to their key first, so that they
+    # are sorted there only, and not before the shuffle as well
+    c = (where_computed(c, F.col("code").isNotNull() & (F.length("code") > 0)).repartition(*key)
+         .groupBy(*key).agg(F.max("code").alias("code")))
     return f.join(c, key)
 
 

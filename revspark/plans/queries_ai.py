@@ -295,7 +295,7 @@ asof left join answers a on a.prompt_key = e.prompt_key and e.ts >= a.ts"""
 # --- T10 / T11 -----------------------------------------------------------------
 def q_prompt_worklist(spark, sf):
     files = v1_files(spark, sf)
-    el = extract_elements(files)
+    el = extract_elements(files, kinds=("function", "async_function"))
     p = build_prompts("quality", files).unionByName(build_prompts("security", files)) \
         .unionByName(build_prompts("testing", files, el))
     cache = (p.filter((F.col("kind") == "quality") & (F.col("review_id") % 2 == 0))
