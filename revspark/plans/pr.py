@@ -34,8 +34,11 @@ def attach_contents(pr_files: DataFrame, prs: DataFrame, contents: DataFrame) ->
     c = contents.select("repo", F.col("path").alias("filename"), F.col("ref").alias("head_sha"), "code")
     key = ["repo", "filename", "head_sha"]
     # empty texts stay out of the shuffle; a text stored more than once counts once.  Texts go to their key first, so that they
-    # are sorted there only, and not before the shuffle as well
-    c = (where_computed(c, F.col("code").isNotNull() & (F.length("code") > 0)).repartition(*key)
+    # are sorted there only, and not before the shuffle as well; their number of partitions stands: what reads them parses them,
+    # and Spark would join partitions by their bytes, which are few
+    spark = contents.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    c = (where_computed(c, F.col("code").isNotNull() & (F.length("code") > 0)).repartition(n, *key)
          .groupBy(*key).agg(F.max("code").alias("code")))
     return f.join(c, key)
 

@@ -114,5 +114,5 @@ def test_contents_are_sorted_after_the_shuffle_only(spark):
                                   "repo string, path string, ref string, code string")
     df = attach_contents(files, prs, texts)
     plan = df._jdf.queryExecution().sparkPlan().toString()
-    assert plan.index("partial_max") < plan.index("RepartitionBy" if "RepartitionBy" in plan else "REPARTITION_BY_COL")
+    assert plan.index("partial_max") < plan.index("REPARTITION_BY_NUM")
     assert [(r.pr_key, r.code) for r in df.collect()] == [(1, "y")]
