@@ -86,8 +86,7 @@ def where_computed(df, cond: Column):
     projection that computes the column and the expression is then evaluated
     twice; a 0-or-1 row generator is not pushed, so the value is computed once.
     """
-    return df.select("*", F.explode(F.array_compact(F.array(F.when(cond, F.lit(True))))).alias("_keep")) \
-        .drop("_keep")
+    return df.select("*", F.explode(F.when(cond, F.array(F.lit(True)))).alias("_keep")).drop("_keep")
 
 
 def splitlines(text) -> Column:

@@ -224,15 +224,19 @@ from v3)"""
 # V4 pull requests and their files
 # ---------------------------------------------------------------------------
 
-def v4_pr_files(spark, sf_dir) -> DataFrame:
+def v4_order():
+    """The order of a PR's files."""
     from pyspark.sql import Window
+    return Window.partitionBy("pr_key").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+def v4_pr_files(spark, sf_dir) -> DataFrame:
     # joined, numbered and grouped by one column of one name: the rows are shuffled once
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pr_key"), "o_orderpriority", "o_custkey")
     lines = table(spark, sf_dir, "lineitem")
     li = lines.select(F.col("l_orderkey").alias("pr_key"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                       "l_linestatus", "l_returnflag")
     j = o.join(by_key(li, lines.count(), "pr_key"), "pr_key")
-    w = Window.partitionBy("pr_key").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return j.select(
         "pr_key", (1 + F.col("pr_key")).cast("int").alias("pr_number"),
         F.col("o_orderpriority").alias("title"), "o_custkey",
@@ -240,8 +244,19 @@ def v4_pr_files(spark, sf_dir) -> DataFrame:
                  F.when(F.col("l_linestatus") == "F", F.lit(".py")).otherwise(F.lit(".js"))).alias("filename"),
         _case(F.col("l_returnflag"), [("A", "added"), ("N", "modified")], "removed").alias("status"),
         F.col("l_quantity").cast("int").alias("additions"),
-        "l_linenumber", "l_partkey", "l_suppkey",
-        F.row_number().over(w).cast("long").alias("file_ord"))
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        F.row_number().over(v4_order()).cast("long").alias("file_ord"))
+
+
+def v4_lists(spark, sf_dir, item, part_size: int) -> DataFrame:
+    """(pr_key, part, json): the JSON lists of ``item``, ``part_size`` files of a PR in each, in the files' order.  A list's
+    first file takes the next ones from the window that numbered them: no second grouping, no sort within a list."""
+    v = v4_pr_files(spark, sf_dir).withColumn("item", F.to_json(item))
+    later = [F.lead("item", k).over(v4_order()).alias(f"item_{k}") for k in range(1, part_size)]
+    first = v.select("pr_key", "file_ord", "item", *later).where((F.col("file_ord") - 1) % part_size == 0)
+    items = F.concat_ws(",", "item", *[f"item_{k}" for k in range(1, part_size)])
+    return first.select("pr_key", ((F.col("file_ord") - 1) / part_size).cast("long").alias("part"),
+                        F.concat(F.lit("["), items, F.lit("]")).alias("json"))
 
 
 SQL_V4 = """v4 as (select o_orderkey as pr_key, cast(1 + o_orderkey as int) as pr_number, o_orderpriority as title, o_custkey,

@@ -14,10 +14,11 @@ from revspark.functions import text as TX
 from revspark.operators.dedup import dedup_findings
 from revspark.operators.reviewers import testing_findings
 from revspark.operators.structure import extract_elements
-from revspark.plans.fixtures import SQL_V4, table, v4_pr_files, v7_code_expr
+from revspark.plans.fixtures import SQL_V4, table, v4_lists, v4_pr_files, v7_code_expr
 from revspark.plans.pr import attach_contents, eligible_files, pr_rollup, review_prs
 from revspark.plans.queries_code import SQL_V7_TESTING
 from revspark.plans.queries_ingest import sql_case
+from revspark.session import write_once
 from revspark.sources.files import validate_pr_requests
 from revspark.sources.github import (comment_payloads, comment_rows, ingest_contents, ingest_pr_comments,
                                      ingest_prs, review_payloads)
@@ -59,24 +60,23 @@ def _pr_json(spark, sf):
 
 
 def _files_json(spark, sf, part_size: int = 3):
-    v = v4_pr_files(spark, sf).withColumn("part", ((F.col("file_ord") - 1) / part_size).cast("long"))
-    item = F.struct(F.col("file_ord").alias("_o"), F.col("filename").alias("filename"),
+    item = F.struct(F.col("filename").alias("filename"),
                     F.col("status").alias("status"), F.col("additions").alias("additions"),
                     F.lit(0).alias("deletions"), F.col("additions").alias("changes"),
                     F.lit(None).cast("string").alias("patch"), F.lit("").alias("contents_url"))
-    return (v.groupBy("pr_key", "part")
-            .agg(F.to_json(F.transform(F.array_sort(F.collect_list(item)), lambda s: s.dropFields("_o")))
-                 .alias("json")))
+    return v4_lists(spark, sf, item, part_size)
 
 
 def _contents(spark, sf):
     """Content records (repo, path, ref, content, encoding) at each PR head."""
-    v = v4_pr_files(spark, sf).join(_requests(spark, sf).select("pr_key", "repo_owner", "repo_name"), "pr_key")
+    # the lines lie by pr_key: what is distinct before repo and ref are derived (another for each order) takes no second shuffle
+    v = v4_pr_files(spark, sf).select("pr_key", "o_custkey", "filename", F.col("l_partkey").alias("p_partkey")).distinct()
     p = table(spark, sf, "part").select("p_partkey", "p_size", v7_code_expr().alias("code"))
-    d = (v.select(F.concat_ws("/", "repo_owner", "repo_name").alias("repo"), F.col("filename").alias("path"),
-                  F.sha1(F.concat(F.lit("head"), F.col("pr_key").cast("string"))).alias("ref"),
-                  F.col("l_partkey").alias("p_partkey")).distinct()
-         .join(p, "p_partkey"))
+    k = F.col("pr_key")
+    repo = F.concat_ws("/", F.concat(F.lit("org"), F.col("o_custkey").cast("string")),
+                       F.concat(F.lit("repo"), (k % 10).cast("string")))
+    d = v.join(p, "p_partkey").select(repo.alias("repo"), F.col("filename").alias("path"),
+                                      F.sha1(F.concat(F.lit("head"), k.cast("string"))).alias("ref"), "p_partkey", "code")
     pk = F.col("p_partkey")
     b64 = F.regexp_replace(F.base64(F.encode("code", "utf-8")), "(.{60})", "$1\n")
     content = (F.when(pk % 11 == 0, F.lit(""))
@@ -98,12 +98,14 @@ def _attached(spark, sf):
     return req, prs, files, att
 
 
-def _pipeline(spark, sf, materialize: bool = True):
+def _pipeline(spark, sf, materialize: bool = True, keep_findings: bool = False):
     """The fixture inputs reviewed with the library's PR plan (default reviewers:
     without scanner reports or stored answers only the testing rules fire)."""
     req, prs, files, att = _attached(spark, sf)
+    if materialize:  # the files' review, the rollup and the payloads read them
+        prs = write_once(prs, "prs")
     contents = ingest_contents(_contents(spark, sf)).select("repo", "path", "ref", "code")
-    out = review_prs(req, prs, files, contents, materialize=materialize)
+    out = review_prs(req, prs, files, contents, materialize=materialize, keep_findings=keep_findings)
     return req, prs, files, att, out.file_stats, out.findings, out
 
 
@@ -210,16 +212,14 @@ from c"""
 
 # --- S10 ---------------------------------------------------------------------
 def _comments_json(spark, sf, part_size: int = 3):
-    v = v4_pr_files(spark, sf).withColumn("part", ((F.col("file_ord") - 1) / part_size).cast("long"))
-    item = F.struct(F.col("file_ord").alias("_o"), (F.col("pr_key") * 100 + F.col("file_ord")).alias("id"),
+    item = F.struct((F.col("pr_key") * 100 + F.col("file_ord")).alias("id"),
                     F.col("filename").alias("path"), F.col("additions").alias("line"),
                     F.concat(F.lit("Please check "), F.col("filename")).alias("body"),
                     F.struct(F.concat(F.lit("u"), F.col("l_suppkey").cast("string")).alias("login")).alias("user"),
                     F.lit("2024-01-01T00:00:00Z").alias("created_at"))
-    arr = F.transform(F.array_sort(F.collect_list(item)), lambda s: s.dropFields("_o"))
     js = F.when(F.col("pr_key") % 5 == 0, F.to_json(F.struct(F.lit("Not Found").alias("message")))) \
-        .otherwise(F.to_json(arr))
-    return v.groupBy("pr_key", "part").agg(js.alias("json"))
+        .otherwise(F.col("json"))
+    return v4_lists(spark, sf, item, part_size).select("pr_key", "part", js.alias("json"))
 
 
 def q_ingest_comments(spark, sf):
@@ -342,12 +342,13 @@ from c where comment_ord <= 20"""
 
 # --- S13 ---------------------------------------------------------------------
 def q_review_payloads(spark, sf):
-    *_, out = _pipeline(spark, sf)
-    p = out.payloads
+    *_, out = _pipeline(spark, sf, keep_findings=True)
+    # parsed in a column of its own: a field taken from the call has the payload parsed for that field
     parsed = F.from_json("payload", "commit_id string, body string, event string, "
                                     "comments array<struct<path string, line int, body string>>")
-    return p.select("pr_key", F.md5("payload").alias("md5"), parsed["commit_id"].alias("commit_id"),
-                    parsed["event"].alias("event"), F.size(parsed["comments"]).cast("bigint").alias("n_comments"))
+    p = out.payloads.select("pr_key", "payload", parsed.alias("p"))
+    return p.select("pr_key", F.md5("payload").alias("md5"), F.col("p.commit_id").alias("commit_id"),
+                    F.col("p.event").alias("event"), F.size("p.comments").cast("bigint").alias("n_comments"))
 
 
 Q["review_payloads"] = q_review_payloads

@@ -113,14 +113,18 @@ def decode_contents(content: Column, encoding: Column) -> Column:
     """
     enc = F.coalesce(encoding, F.lit("base64"))
     c = F.coalesce(content, F.lit(""))
-    # Fast path: drop line breaks/blanks with translate; only text that still
-    # holds other non-alphabet characters pays for the regex clean-up.
+    # Fast path: Spark's decoder itself passes over breaks and blanks, but for those after the padding, of which the last line's
+    # break is the one that occurs.  Only text that it does not take is cleaned: by translate, which looks up every character,
+    # and by a regex if non-alphabet characters are left.
+    last = (F.when(c.endswith("\r\n"), F.substring(c, F.lit(1), F.length(c) - 2))
+            .when(c.endswith("\n"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c))
     t = F.translate(c, "\n\r \t", "")
     clean = F.when(F.length(F.translate(t, BASE64_ALPHABET, "")) == 0, t) \
         .otherwise(F.regexp_replace(t, "[^A-Za-z0-9+/=]", ""))
-    b = F.try_to_binary(clean, F.lit("base64"))
-    decoded = F.when(F.is_valid_utf8(b), F.decode(b, "utf-8"))
-    return F.when((enc == "base64") & (F.length(c) > 0), decoded).otherwise(c)
+    b = F.coalesce(F.try_to_binary(last, F.lit("base64")), F.try_to_binary(clean, F.lit("base64")))
+    # the bytes are named once: named in a condition and in its value, they would be decoded twice
+    decoded = F.try_validate_utf8(b.cast("string"))
+    return F.when((enc == "base64") & (c != ""), decoded).otherwise(c)
 
 
 def ingest_contents(df: DataFrame) -> DataFrame:
@@ -175,19 +179,19 @@ def review_payloads(prs: DataFrame, findings: DataFrame, summaries: DataFrame,
     """
     c = comment_rows(findings, limit)
     comments = (c.groupBy("pr_key")
-                .agg(F.array_sort(F.collect_list(F.struct(
+                .agg(F.sort_array(F.collect_list(F.struct(
                     F.col("comment_ord").alias("_o"), F.col("file_path").alias("path"),
                     F.col("line_number").alias("line"), F.col("body").alias("body")))).alias("cs")))
-    n = findings.groupBy("pr_key").agg(F.count(F.lit(1)).alias("n_findings"))
     body = F.struct(F.col("head_sha").alias("commit_id"), F.col("summary").alias("body"),
                     F.lit("COMMENT").alias("event"),
                     F.when(F.size("cs") > 0,
                            F.transform("cs", lambda s: s.dropFields("_o"))).alias("comments"))
-    return (prs.filter(F.col("post_review"))
-            .join(n, "pr_key").filter(F.col("n_findings") > 0)
-            .join(summaries, "pr_key")
-            .join(comments, "pr_key", "left")
-            .select("pr_key", F.to_json(body).alias("payload")))
+    asked = prs.filter(F.col("post_review"))
+    if limit > 0:  # a PR with findings has comments: findings are read once
+        asked = asked.join(comments, "pr_key")
+    else:
+        asked = asked.join(findings.select("pr_key").distinct(), "pr_key").join(comments, "pr_key", "left")
+    return asked.join(summaries, "pr_key").select("pr_key", F.to_json(body).alias("payload"))
 
 
 def comment_payloads(findings: DataFrame, prs: DataFrame) -> DataFrame:
